@@ -86,9 +86,10 @@ def impute_mean(df: DataFrame, spectrum: str = "spectrum") -> DataFrame:
 
 
 def zero_to_mean(df: DataFrame, spectrum: str = "spectrum") -> DataFrame:
-    """Zeros -> band mean, the mean being taken *before* zeros are removed."""
+    """Zeros (and missing values) -> band mean, the mean being taken *before* zeros
+    are removed."""
     return fill_from_band_stat(df, band_stat_arrays(df, "mean", spectrum), spectrum,
-                               when=lambda x: x == 0)
+                               when=lambda x: (x == 0) | x.isNull())
 
 
 def zero_fill_neighbors(df: DataFrame, chunk_span: int = 1 << 20) -> DataFrame:
