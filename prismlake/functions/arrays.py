@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
+
+
+def zero() -> Column:
+    return F.lit(0.0)
 
 
 def col(c: str | Column) -> Column:
@@ -18,7 +21,7 @@ def col(c: str | Column) -> Column:
 
 
 def arr_sum(c: str | Column) -> Column:
-    return F.aggregate(col(c), ZERO, lambda acc, x: acc + x)
+    return F.aggregate(col(c), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def arr_mean(c: str | Column) -> Column:
@@ -26,21 +29,37 @@ def arr_mean(c: str | Column) -> Column:
 
 
 def arr_centered_power_sum(c: str | Column, center: Column, power: int) -> Column:
-    return F.aggregate(col(c), ZERO, lambda acc, x: acc + F.pow(x - center, F.lit(float(power))))
+    return F.aggregate(col(c), F.lit(0.0), lambda acc, x: acc + F.pow(x - center, F.lit(float(power))))
+
+
+def arr_var_pop_about(c: str | Column, mean: Column) -> Column:
+    """Population variance about an already computed mean *column*.
+
+    Catalyst does not hoist expressions out of a lambda, so a per-row scalar such as
+    the mean must be a column of its own before it is used inside ``aggregate`` /
+    ``transform`` -- otherwise it is recomputed for every element.
+    """
+    return F.aggregate(col(c), F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(col(c))
 
 
-def arr_var_pop(c: str | Column) -> Column:
-    """Two-pass population variance (mean first, then squared deviations)."""
-    m = arr_mean(c)
-    return F.aggregate(col(c), ZERO, lambda acc, x: acc + (x - m) * (x - m)) / F.size(col(c))
+def with_row_moments(df, spectrum: str = "spectrum", mean: str = "_m", std: str = "_sd"):
+    """Add per-row mean and population std columns (two projections, each O(n))."""
+    return (df.withColumn(mean, arr_mean(spectrum))
+            .withColumn(std, F.sqrt(arr_var_pop_about(spectrum, F.col(mean)))))
 
 
-def arr_std_pop(c: str | Column) -> Column:
-    return F.sqrt(arr_var_pop(c))
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    Catalyst's CollapseProject inlines projected columns into higher-order-function
+    lambdas, where they are then re-evaluated for every array element.  Binding the
+    value through ``aggregate``'s finish function keeps it a single evaluation.
+    """
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
 
 
 def arr_dot(a: str | Column, b: str | Column) -> Column:
-    return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), ZERO, lambda acc, x: acc + x)
+    return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def arr_max(c: str | Column) -> Column:
@@ -81,6 +100,6 @@ def weighted_windows(c: str | Column, weights: list[list[float]]) -> Column:
         start = F.least(F.greatest(i - F.lit(h), F.lit(0)), n - F.lit(w))
         row = F.element_at(lit_w, i - start + 1)
         return F.aggregate(F.zip_with(F.slice(arr, start + 1, F.lit(w)), row, lambda a, b: a * b),
-                           ZERO, lambda acc, x: acc + x)
+                           F.lit(0.0), lambda acc, x: acc + x)
 
     return F.when(n < F.lit(w), arr).otherwise(F.transform(arr, out))

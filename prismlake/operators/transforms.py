@@ -46,7 +46,7 @@ def prep_rowmax(df: DataFrame) -> DataFrame:
     """x / max(x) per row; a zero max is replaced by 1e-6."""
     m = F.array_max("spectrum")
     m = F.when(m == 0, F.lit(ROWMAX_ZERO)).otherwise(m)
-    return _set(df, F.transform("spectrum", lambda x: x / m))
+    return _set(df, A.let(m, lambda mx: F.transform("spectrum", lambda x: x / mx)))
 
 
 def prep_reflectance(df: DataFrame) -> DataFrame:
@@ -85,10 +85,14 @@ def prep_endpoint_baseline(df: DataFrame) -> DataFrame:
 
 def prep_snv(df: DataFrame) -> DataFrame:
     """(x - mean) / std (ddof 0); a zero std becomes 1e-9."""
-    m = A.arr_mean("spectrum")
-    sd = A.arr_std_pop("spectrum")
-    sd = F.when(sd == 0, F.lit(SNV_STD_FLOOR)).otherwise(sd)
-    return _set(df, F.transform("spectrum", lambda x: (x - m) / sd))
+    s = F.col("spectrum")
+
+    def with_mean(m):
+        var = F.aggregate(s, A.zero(), lambda acc, x: acc + (x - m) * (x - m)) / F.size(s)
+        return A.let(F.sqrt(var), lambda sd: F.transform(
+            s, lambda x: (x - m) / F.when(sd == 0, F.lit(SNV_STD_FLOOR)).otherwise(sd)))
+
+    return _set(df, A.let(A.arr_mean(s), with_mean))
 
 
 @lru_cache(maxsize=None)
@@ -143,15 +147,15 @@ def prep_msc(df: DataFrame) -> DataFrame:
     least squares x ~ a*m + b per row, output (x - b) / a."""
     joined = df.join(mean_spectrum(df), "dataset")
     s, m = F.col("spectrum"), F.col("stat")
-    mm = A.arr_mean(m)
-    xm = A.arr_mean(s)
-    sxy = F.aggregate(F.zip_with(m, s, lambda a, b: (a - mm) * (b - xm)), A.ZERO, lambda acc, v: acc + v)
-    sxx = F.aggregate(m, A.ZERO, lambda acc, a: acc + (a - mm) * (a - mm))
-    slope = sxy / sxx
-    icept = xm - slope * mm
-    return (joined.withColumn("_a", slope).withColumn("_b", icept)
-            .withColumn("spectrum", F.transform("spectrum", lambda x: (x - F.col("_b")) / F.col("_a")))
-            .drop("stat", "_a", "_b"))
+
+    def fit(mm, xm):
+        sxy = F.aggregate(F.zip_with(m, s, lambda a, b: (a - mm) * (b - xm)), A.zero(), lambda acc, v: acc + v)
+        sxx = F.aggregate(m, A.zero(), lambda acc, a: acc + (a - mm) * (a - mm))
+        return A.let(sxy / sxx, lambda slope: A.let(xm - slope * mm, lambda icept: F.transform(
+            s, lambda x: (x - icept) / slope)))
+
+    out = A.let(A.arr_mean(m), lambda mm: A.let(A.arr_mean(s), lambda xm: fit(mm, xm)))
+    return joined.withColumn("spectrum", out).drop("stat")
 
 
 def prep_msc_deriv1(df: DataFrame) -> DataFrame:
@@ -239,8 +243,10 @@ def _band_stats_arrays(df: DataFrame, aggs: dict) -> DataFrame:
     from prismlake.sources.schema import spectrum_to_long
     long = spectrum_to_long(df.select("dataset", "sample_id", "spectrum"))
     st = long.groupBy("dataset", "band").agg(*[e.alias(n) for n, e in aggs.items()])
+    def field(name):
+        return lambda s: s[name]
     return st.groupBy("dataset").agg(*[
-        F.transform(F.array_sort(F.collect_list(F.struct("band", n))), lambda s, n=n: s[n]).alias(n) for n in aggs])
+        F.transform(F.array_sort(F.collect_list(F.struct("band", n))), field(n)).alias(n) for n in aggs])
 
 
 def scale_standard(df: DataFrame) -> DataFrame:
@@ -281,13 +287,13 @@ def _arr_quantile(sorted_arr, n, p: float):
     return a + frac * (b - a)
 
 
-def spectrum_stats_columns(spectrum: str = "spectrum") -> dict:
+def spectrum_stats_columns(spectrum: str = "spectrum", mean=None) -> dict:
     """The 10 per-spectrum features: mean, std (ddof 0), bias-corrected skewness and
     excess kurtosis, q25, q75, range, entropy, start/end ratio and slope (last two
     only for more than 10 bands)."""
     s = F.col(spectrum)
     n = F.size(s).cast("double")
-    m = A.arr_mean(s)
+    m = mean if mean is not None else A.arr_mean(s)
     m2 = A.arr_centered_power_sum(s, m, 2) / n
     m3 = A.arr_centered_power_sum(s, m, 3) / n
     m4 = A.arr_centered_power_sum(s, m, 4) / n
@@ -305,24 +311,32 @@ def spectrum_stats_columns(spectrum: str = "spectrum") -> dict:
         "f_q25": _arr_quantile(srt, F.size(s), 0.25),
         "f_q75": _arr_quantile(srt, F.size(s), 0.75),
         "f_range": F.array_max(s) - F.array_min(s),
-        "f_entropy": -F.aggregate(s, A.ZERO, lambda acc, x: acc + x * F.log(x + F.lit(ENTROPY_EPS))),
+        "f_entropy": -F.aggregate(s, A.zero(), lambda acc, x: acc + x * F.log(x + F.lit(ENTROPY_EPS))),
         "f_ratio_start_end": F.when(n > 10, first / (last + F.lit(RATIO_EPS))),
         "f_slope": F.when(n > 10, (last - first) / n),
     }
 
 
+def _feature_struct() -> F.Column:
+    """All features as one struct, with the row mean bound once (see ``arrays.let``)."""
+    def body(m):
+        cols = spectrum_stats_columns(mean=m)
+        return F.struct(*[e.alias(k) for k, e in cols.items()])
+    return A.let(A.arr_mean("spectrum"), body)
+
+
 def feat_spectrum_stats(df: DataFrame) -> DataFrame:
-    cols = spectrum_stats_columns()
-    return df.select(*[c for c in df.columns], *[e.alias(k) for k, e in cols.items()])
+    return df.withColumn("_f", _feature_struct()).select(*df.columns, "_f.*")
 
 
 def feat_append(df: DataFrame) -> DataFrame:
     """Spectrum with the engineered features appended (bands first)."""
-    cols = spectrum_stats_columns()
-    extra = [e for k, e in cols.items() if k not in ("f_ratio_start_end", "f_slope")]
-    tail = F.array(*extra)
-    long_tail = F.when(F.size("spectrum") > 10, F.concat(tail, F.array(cols["f_ratio_start_end"], cols["f_slope"]))).otherwise(tail)
-    return df.withColumn("spectrum", F.concat(F.col("spectrum"), long_tail))
+    names = ["f_mean", "f_std", "f_skewness", "f_kurtosis", "f_q25", "f_q75", "f_range", "f_entropy"]
+    staged = df.withColumn("_f", _feature_struct())
+    tail = F.array(*[F.col(f"_f.{k}") for k in names])
+    long_tail = F.when(F.size("spectrum") > 10, F.concat(
+        tail, F.array(F.col("_f.f_ratio_start_end"), F.col("_f.f_slope")))).otherwise(tail)
+    return staged.withColumn("spectrum", F.concat(F.col("spectrum"), long_tail)).drop("_f")
 
 
 def feat_row_slope(df: DataFrame, wavelengths: list[float]) -> DataFrame:

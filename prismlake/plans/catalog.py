@@ -52,12 +52,16 @@ def round_columns(df: DataFrame, digits: dict[str, int]) -> DataFrame:
         if d is None:
             out.append(F.col(f"`{f.name}`"))
         elif isinstance(f.dataType, T.ArrayType):
-            out.append(F.transform(F.col(f"`{f.name}`"), lambda v, d=d: _round(v, d)).alias(f.name))
+            out.append(F.transform(F.col(f"`{f.name}`"), _rounder(d)).alias(f.name))
         else:
             out.append(_round(F.col(f"`{f.name}`").cast("double"), d).alias(f.name))
     return df.select(*out)
 
 
+def _rounder(d: int):
+    return lambda v: _round(v, d)
+
+
 def _round(c, d: int):
     """Half away from zero at ``d`` decimals, computed as round(c * 10^d) / 10^d so
     that Spark and DuckDB perform the identical IEEE operations."""
