@@ -1 +1,276 @@
-"""Queries."""
+"""Queries for SURVEY §2.6-2.7: cross-validated models, LOO, prediction, calibration."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from prismlake.operators import evaluate as ev
+from prismlake.operators import predict as pr
+from prismlake.plans import selection as sel
+from prismlake.plans.catalog import register
+from prismlake.sources import files
+from prismlake.sources import fixtures as fx
+from prismlake.sources.fixtures import duck_with
+
+RUNTIME_PREPS = ["Reflectance", "Absorbance", "Continuum Removal"]
+BAND = 20   # the single band of the OLS checks (0-based)
+
+_FOLDS = ("fo", f"""select dataset, sample_id, spectrum[{BAND + 1}] as x, target, cast((rn - 1) % 5 as int) as fold
+    from (select *, row_number() over (partition by dataset order by md5(cast(sample_id as varchar) || '|42'), sample_id) as rn
+          from spectra) q""")
+_FIT_ALL = ("fit_all", "select dataset, regr_slope(target, x) as b, regr_intercept(target, x) as a, count(*) as n, "
+                       "avg(x) as xm, var_pop(x) * count(*) as sxx from fo group by dataset")
+_PRED = ("pred", "select fo.dataset, fo.sample_id, fo.target, greatest(f.a + f.b * fo.x, 0.001) as y_pred "
+                 "from fo join fit_all f on fo.dataset = f.dataset")
+
+
+def _one_band(spark, sf):
+    return fx.spectra(spark, sf).withColumn("spectrum", F.array(F.col("spectrum")[BAND]))
+
+
+def _predictions(spark, sf):
+    s1 = _one_band(spark, sf)
+    return pr.batch_predict(s1, pr.fit_linear(s1, "ols"))
+
+
+# ----------------------------------------------------------------- cross-validation
+
+@register("cv_ols_single_band", duck_with("""
+    select fo.dataset, 'none' as preprocessing, 'ols' as model, fo.fold, fo.sample_id, fo.target as y_true,
+      t.a + t.b * fo.x as y_pred
+    from fo join (select k.dataset, k.fold, regr_slope(d.target, d.x) as b, regr_intercept(d.target, d.x) as a
+                  from fo d join (select distinct dataset, fold from fo) k on d.dataset = k.dataset and d.fold <> k.fold
+                  group by k.dataset, k.fold) t on fo.dataset = t.dataset and fo.fold = t.fold""",
+    "spectra", extra=[_FOLDS]), ["y_true", "y_pred"])
+def q_cv_ols_single_band(spark, sf):
+    oof, _ = sel.cross_validate(_one_band(spark, sf), ["none"], ["ols"])
+    return oof.drop("params")
+
+
+@register("cv_oof_predictions", None, note="nested 5x3 CV of PLS and linear KRR over the runtime preprocessings")
+def q_cv_oof_predictions(spark, sf):
+    oof, _ = sel.cross_validate(fx.spectra(spark, sf), RUNTIME_PREPS, ["pls", "krr"])
+    return oof
+
+
+@register("cv_leaderboard", None, note="flagship: nested CV -> pooled metrics -> ranked leaderboard")
+def q_cv_leaderboard(spark, sf):
+    oof, _ = sel.cross_validate(fx.spectra(spark, sf), RUNTIME_PREPS, ["pls", "krr"])
+    return ev.leaderboard_r2(oof.drop("params"))
+
+
+@register("model_pls", None)
+def q_model_pls(spark, sf):
+    _, coefs = sel.cross_validate(fx.spectra(spark, sf), ["Absorbance"], ["pls"])
+    return coefs.select("dataset", "preprocessing", "model", "fold", "params", "inner_rmse", "intercept")
+
+
+@register("model_krr", None)
+def q_model_krr(spark, sf):
+    _, coefs = sel.cross_validate(fx.spectra(spark, sf), ["Absorbance"], ["krr"])
+    return coefs.select("dataset", "preprocessing", "model", "fold", "params", "inner_rmse", "intercept")
+
+
+@register("refit_best", None)
+def q_refit_best(spark, sf):
+    oof, coefs = sel.cross_validate(fx.spectra(spark, sf), RUNTIME_PREPS, ["pls", "krr"])
+    best = ev.best_combination(oof.drop("params")).select("dataset", "preprocessing", "model")
+    return (coefs.where(F.col("fold") == -1).join(best, ["dataset", "preprocessing", "model"])
+            .select("dataset", "preprocessing", "model", "params", "intercept", F.size("coef").alias("n_coef")))
+
+
+@register("cv_tuned_vs_default", None)
+def q_cv_tuned_vs_default(spark, sf):
+    return sel.cv_tuned_vs_default(fx.spectra(spark, sf), ["Absorbance"], ["pls", "krr"])
+
+
+@register("model_fixed_set", None)
+def q_model_fixed_set(spark, sf):
+    """Fixed-parameter models: CV metrics plus a hold-out split in the same row."""
+    spectra = fx.spectra(spark, sf)
+    oof, _ = sel.cross_validate(spectra, ["Absorbance"], ["pls", "krr"], tuned=False)
+    cv = ev.regression_metrics(oof.drop("params")).select("dataset", "preprocessing", "model",
+                                                          F.col("r2").alias("cv_r2"), F.col("rmse").alias("cv_rmse"))
+    split = ev.train_test_split(spectra)
+    from prismlake.operators.transforms import prep_absorbance
+    prepped = prep_absorbance(split)
+    out = None
+    for model in ["pls", "krr"]:
+        fit = pr.fit_linear(prepped.where(F.col("split") == "train"), model, sel.DEFAULT_PARAMS[model])
+        test = pr.batch_predict(prepped.where(F.col("split") == "test"), fit, floor=None).select(
+            "dataset", F.lit("Absorbance").alias("preprocessing"), F.lit(model).alias("model"), F.lit(0).alias("fold"),
+            "sample_id", F.col("target").alias("y_true"), "y_pred")
+        out = test if out is None else out.unionByName(test)
+    ho = ev.regression_metrics(out).select("dataset", "preprocessing", "model", F.col("r2").alias("holdout_r2"),
+                                           F.col("rmse").alias("holdout_rmse"))
+    return cv.join(ho, ["dataset", "preprocessing", "model"])
+
+
+# ----------------------------------------------------------------- leave-one-out
+
+_LOO = ("loo", """select fo.dataset, fo.sample_id, fo.target as y_true, f.a + f.b * fo.x as y_fit,
+      1.0 / f.n + (fo.x - f.xm) * (fo.x - f.xm) / f.sxx as leverage,
+      fo.target - (fo.target - (f.a + f.b * fo.x)) / (1 - (1.0 / f.n + (fo.x - f.xm) * (fo.x - f.xm) / f.sxx)) as y_pred
+    from fo join fit_all f on fo.dataset = f.dataset""")
+
+
+@register("loo_predictions", duck_with("select * from loo", "spectra", extra=[_FOLDS, _FIT_ALL, _LOO]),
+          ["y_true", "y_fit", "leverage", "y_pred"])
+def q_loo_predictions(spark, sf):
+    return sel.loo_linear(_one_band(spark, sf))
+
+
+_LOO_METRICS = """select dataset, n, case when vt > 0 then 1 - sse / (vt * n) end as r2, sqrt(sse / n) as rmse, sae / n as mae,
+      case when sqrt(sse / n) > 0 then sqrt(vt) / sqrt(sse / n) end as rpd
+    from (select dataset, count(y_pred) as n, sum((y_pred - y_true) * (y_pred - y_true)) as sse,
+            sum(abs(y_pred - y_true)) as sae, var_pop(y_true) as vt from loo group by dataset) a"""
+
+
+@register("loo_metrics", duck_with(_LOO_METRICS, "spectra", extra=[_FOLDS, _FIT_ALL, _LOO]), ["r2", "rmse", "mae", "rpd"])
+def q_loo_metrics(spark, sf):
+    return sel.loo_metrics(sel.loo_linear(_one_band(spark, sf)))
+
+
+@register("loo_run_summary", duck_with("select dataset, 'ols' as model, r2, rmse, n from (" + _LOO_METRICS + ") m",
+                                       "spectra", extra=[_FOLDS, _FIT_ALL, _LOO]), ["r2", "rmse"])
+def q_loo_run_summary(spark, sf):
+    m = sel.loo_metrics(sel.loo_linear(_one_band(spark, sf)))
+    return m.select("dataset", F.lit("ols").alias("model"), "r2", "rmse", "n")
+
+
+# ----------------------------------------------------------------- importance
+
+@register("permutation_importance", None)
+def q_permutation_importance(spark, sf):
+    spectra = fx.spectra(spark, sf)
+    return sel.permutation_importance(spectra, pr.fit_linear(spectra, "pls", '{"n_components": 8}'), n_repeats=15)
+
+
+@register("native_importance", None)
+def q_native_importance(spark, sf):
+    _, coefs = sel.cross_validate(fx.spectra(spark, sf), ["Absorbance"], ["pls"])
+    return sel.native_importance(coefs.where(F.col("fold") == -1))
+
+
+@register("importance_with_stats", None)
+def q_importance_with_stats(spark, sf):
+    from prismlake.operators import profile as pf
+    spectra = fx.spectra(spark, sf)
+    imp = sel.permutation_importance(spectra, pr.fit_linear(spectra, "pls", '{"n_components": 8}'), n_repeats=10)
+    st = pf.band_stats(spectra).select("dataset", "band", "mean", "var_pop")
+    corr = pf.band_target_corr(spectra).select("dataset", "band", "r")
+    return (imp.join(st, ["dataset", "band"], "left").join(corr, ["dataset", "band"], "left")
+            .dropna().orderBy("dataset", F.desc("importance_mean"), "band"))
+
+
+@register("metric_melt", duck_with("""
+    select b.dataset, b.band, w.wavelength, m.metric, m.value from bst b join bands w on b.band = w.band,
+      lateral (select * from (values ('mean', b.mean), ('std_samp', b.std_samp), ('var_pop', b.var_pop)) v(metric, value)) m""",
+    "spectra_long", extra=[("bst", "select dataset, band, avg(value) as mean, stddev_samp(value) as std_samp, "
+                                   "var_pop(value) as var_pop from spectra_long group by dataset, band")]), {"value": 9})
+def q_metric_melt(spark, sf):
+    from prismlake.operators import profile as pf
+    st = pf.band_stats(fx.spectra(spark, sf)).select("dataset", "band", "mean", "std_samp", "var_pop")
+    long = st.unpivot(["dataset", "band"], ["mean", "std_samp", "var_pop"], "metric", "value")
+    return long.join(F.broadcast(fx.bands(spark)), "band").select("dataset", "band", "wavelength", "metric", "value")
+
+
+# ----------------------------------------------------------------- prediction
+
+@register("batch_predict", duck_with("select dataset, sample_id, target, y_pred from pred", "spectra",
+                                     extra=[_FOLDS, _FIT_ALL, _PRED]), ["target", "y_pred"])
+def q_batch_predict(spark, sf):
+    return _predictions(spark, sf).select("dataset", "sample_id", "target", "y_pred")
+
+
+@register("prediction_summary", duck_with("""select dataset, avg(y_pred) as mean_pred, stddev_pop(y_pred) as std_pred,
+    min(y_pred) as min_pred, max(y_pred) as max_pred, count(y_pred) as n_pred from pred group by dataset""",
+    "spectra", extra=[_FOLDS, _FIT_ALL, _PRED]), ["mean_pred", "std_pred", "min_pred", "max_pred"])
+def q_prediction_summary(spark, sf):
+    return pr.prediction_summary(_predictions(spark, sf))
+
+
+@register("residuals", duck_with("""select p.dataset, p.sample_id, row_number() over (partition by p.dataset order by p.sample_id) as sample,
+    p.target as actual, p.y_pred, p.y_pred - p.target as residual, abs(p.y_pred - p.target) as abs_residual, a.axis_pad
+    from pred p join (select dataset, greatest((greatest(max(target), max(y_pred)) - least(min(target), min(y_pred))) * 0.05, 1e-6)
+      as axis_pad from pred group by dataset) a on p.dataset = a.dataset""",
+    "spectra", extra=[_FOLDS, _FIT_ALL, _PRED]), ["actual", "y_pred", "residual", "abs_residual", "axis_pad"])
+def q_residuals(spark, sf):
+    return pr.residuals(_predictions(spark, sf))
+
+
+_CAL = ("cal", "select dataset, regr_slope(y_pred, target) as cal_slope, regr_intercept(y_pred, target) as cal_intercept "
+               "from pred group by dataset")
+
+
+@register("calibration_fit", duck_with("select * from cal", "spectra", extra=[_FOLDS, _FIT_ALL, _PRED, _CAL]),
+          ["cal_slope", "cal_intercept"])
+def q_calibration_fit(spark, sf):
+    return pr.calibration_fit(_predictions(spark, sf))
+
+
+@register("calibrate_predictions", duck_with("""
+    select dataset, avg(abs(d)) as mae, sqrt(avg(d * d)) as rmse, avg(d) as bias,
+      case when count(*) >= 2 then power(corr(target, calibrated), 2) end as r2
+    from (select p.*, case when abs(c.cal_slope) > 1e-9 then (p.y_pred - c.cal_intercept) / c.cal_slope else p.y_pred end as calibrated,
+            (case when abs(c.cal_slope) > 1e-9 then (p.y_pred - c.cal_intercept) / c.cal_slope else p.y_pred end) - p.target as d
+          from pred p join cal c on p.dataset = c.dataset) q group by dataset""",
+    "spectra", extra=[_FOLDS, _FIT_ALL, _PRED, _CAL]), ["mae", "rmse", "bias", "r2"])
+def q_calibrate_predictions(spark, sf):
+    return pr.calibrate_predictions(_predictions(spark, sf))[1]
+
+
+@register("map_actuals", duck_with("""
+    select dataset, avg(abs(d)) as mae, sqrt(avg(d * d)) as rmse, avg(d) as bias,
+      case when count(*) >= 2 then power(corr(mapped, y_pred), 2) end as r2
+    from (select p.*, c.cal_slope * p.target + c.cal_intercept as mapped, p.y_pred - (c.cal_slope * p.target + c.cal_intercept) as d
+          from pred p join cal c on p.dataset = c.dataset) q group by dataset""",
+    "spectra", extra=[_FOLDS, _FIT_ALL, _PRED, _CAL]), ["mae", "rmse", "bias", "r2"])
+def q_map_actuals(spark, sf):
+    return pr.map_actuals(_predictions(spark, sf))[1]
+
+
+# ----------------------------------------------------------------- model bundle
+
+def _bundle(spark, sf):
+    """Write model table, band table and run log under the shared scratch folder; read back."""
+    s1 = _one_band(spark, sf)
+    root = files.scratch_path(spark, "bundle")
+    pr.fit_linear(s1, "ols").write.mode("overwrite").parquet(f"{root}/model")
+    fx.bands(spark).write.mode("overwrite").parquet(f"{root}/bands")
+    fx.run_log_lines(spark, sf).write.mode("overwrite").partitionBy("dataset").text(f"{root}/run_log")
+    model = spark.read.parquet(f"{root}/model")
+    bands = spark.read.parquet(f"{root}/bands")
+    log = spark.read.text(f"{root}/run_log").withColumnRenamed("value", "line")
+    return model, bands, log
+
+
+@register("write_model_bundle", duck_with("""
+    select f.dataset, 'ols' as model, f.a as intercept, f.b as coef0, l.n_log_lines
+    from fit_all f join (select dataset, count(*) as n_log_lines from run_log_lines group by dataset) l on f.dataset = l.dataset""",
+    "spectra", "run_log_lines", extra=[_FOLDS, _FIT_ALL]), ["intercept", "coef0"])
+def q_write_model_bundle(spark, sf):
+    model, _bands, log = _bundle(spark, sf)
+    counts = log.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_log_lines"))
+    return model.select("dataset", "model", "intercept", F.col("coef")[0].alias("coef0")).join(counts, "dataset")
+
+
+@register("model_registry", duck_with(f"""
+    select b.dataset, 'pls' as model, (select max(len(spectrum)) from spectra) as n_features,
+      (select min(wavelength) from bands) as wl_first, (select max(wavelength) from bands) as wl_last, b.r2 as best_r2, b.rmse as best_rmse
+    from (select dataset, r2, rmse, row_number() over (partition by dataset order by r2 desc, rmse asc, preprocessing desc, model desc) as rn
+          from (select dataset, regexp_extract(line, '{files.RUN_LOG_PATTERN}', 1) as preprocessing,
+                  regexp_extract(line, '{files.RUN_LOG_PATTERN}', 2) as model,
+                  try_cast(regexp_extract(line, '{files.RUN_LOG_PATTERN}', 3) as double) as r2,
+                  try_cast(regexp_extract(line, '{files.RUN_LOG_PATTERN}', 4) as double) as rmse from run_log_lines) p
+          where r2 is not null and preprocessing <> '') b where rn = 1""", "spectra", "bands", "run_log_lines"),
+    ["best_r2", "best_rmse"])
+def q_model_registry(spark, sf):
+    spectra = fx.spectra(spark, sf)
+    models = pr.fit_linear(spectra, "pls", '{"n_components": 8}')
+    bands = fx.bands(spark)
+    wl = bands.agg(F.min("wavelength").alias("wl_first"), F.max("wavelength").alias("wl_last"))
+    best = files.best_from_log(files.parse_run_log(fx.run_log_lines(spark, sf))).select(
+        "dataset", F.col("r2").alias("best_r2"), F.col("rmse").alias("best_rmse"))
+    return (models.select("dataset", "model", F.size("coef").alias("n_features"))
+            .crossJoin(F.broadcast(wl)).join(best, "dataset"))
