@@ -21,6 +21,7 @@ import json
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +36,25 @@ DEFAULT_PARAMS = {"pls": '{"n_components": 2}', "krr": '{"alpha": 1.0, "kernel":
 
 
 def prepare(spectra: DataFrame, preps: list[str], registry: dict | None = None, k: int = 5,
-            inner_k: int = 3, seed: int = 42) -> DataFrame:
-    """Folds + preprocessing variants + the reference's validity mask."""
+            inner_k: int = 3, seed: int = 42, persist: bool = True) -> DataFrame:
+    """Folds + preprocessing variants + the reference's validity mask.
+
+    The folded spectra and the variants are persisted (memory, spilling to disk):
+    the variants feed both the Gram pass and the scoring pass, and some transforms
+    (neighbour fill, band medians) contain shuffles that should run once per
+    selection run.  Lost executors recompute their partitions from lineage.
+    """
     from prismlake.operators.transforms import registry as default_registry
     reg = registry or default_registry()
     folded = evaluate.kfold_assign(spectra, k=k, inner_k=inner_k, seed=seed)
+    if persist:
+        folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for name in preps:
         v = reg[name](folded).withColumn("preprocessing", F.lit(name))
         v = clean.mask_valid_rows(v).select("dataset", "preprocessing", "sample_id", "fold", "inner", "spectrum", "target")
         out = v if out is None else out.unionByName(v)
-    return out
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 
 
 def _solver(models: list[str], k: int, inner_k: int, tuned: bool):
