@@ -1 +1,41 @@
-"""Queries."""
+"""Queries for SURVEY §2.4: target transforms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from prismlake.operators import targets as tg
+from prismlake.plans.catalog import register
+from prismlake.sources import fixtures as fx
+from prismlake.sources.fixtures import duck_with
+
+
+@register("target_log1p", duck_with(
+    "select dataset, sample_id, target, ln(1 + target) as y_log1p, exp(ln(1 + target)) - 1 as y_back from spectra",
+    "spectra"), ["target", "y_log1p", "y_back"])
+def q_target_log1p(spark, sf):
+    return tg.target_log1p(fx.spectra(spark, sf)).select("dataset", "sample_id", "target", "y_log1p", "y_back")
+
+
+@register("skew_before_after", duck_with(
+    "select dataset, skewness(target) as skew_before, skewness(ln(1 + target)) as skew_after from spectra group by dataset",
+    "spectra"), ["skew_before", "skew_after"])
+def q_skew_before_after(spark, sf):
+    return tg.skew_before_after(tg.target_log1p(fx.spectra(spark, sf)))
+
+
+@register("target_boxcox", None, note="lambda by grid-refined maximum likelihood; checked by invariants in tests")
+def q_target_boxcox(spark, sf):
+    return tg.power_transform(fx.spectra(spark, sf), "box-cox").select("dataset", "sample_id", "target", "method", "lambda", "y_power")
+
+
+@register("target_yeojohnson", None)
+def q_target_yeojohnson(spark, sf):
+    # lineitem-derived target with non-positive values forces the Yeo-Johnson branch
+    tab = fx.oof(spark, sf).select("dataset", "sample_id", (F.col("y_pred") - F.col("y_true")).alias("target"))
+    return tg.power_transform(tab, "auto").select("dataset", "sample_id", "target", "method", "lambda", "y_power")
+
+
+@register("target_quantile_normal", None)
+def q_target_quantile_normal(spark, sf):
+    return tg.target_quantile_normal(fx.spectra(spark, sf)).select("dataset", "sample_id", "target", "y_qnormal")

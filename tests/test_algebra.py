@@ -184,3 +184,39 @@ def test_cv_constant_target_has_null_r2(spark):
     df = spark.createDataFrame(rows, "dataset STRING, preprocessing STRING, model STRING, fold INT, sample_id BIGINT, y_true DOUBLE, y_pred DOUBLE")
     r = regression_metrics(df).first()
     assert r["r2"] is None and r["rpd"] is not None and r["rpd"] == 0
+
+
+def test_boxcox_lambda_is_likelihood_max_and_inverts(spark):
+    from prismlake.operators.targets import power_transform
+    rng = np.random.default_rng(9)
+    y = np.exp(rng.normal(1.0, 0.5, 400))
+    df = spark.createDataFrame([("D", i, float(v)) for i, v in enumerate(y)], "dataset STRING, sample_id BIGINT, target DOUBLE")
+    out = power_transform(df, "box-cox", standardize=False).toPandas()
+    lam = out["lambda"].iloc[0]
+
+    def llf(l):
+        t = np.log(y) if abs(l) < 1e-12 else (y ** l - 1) / l
+        return (l - 1) * np.log(y).sum() - len(y) / 2 * np.log(t.var())
+    assert llf(lam) >= max(llf(lam - 1e-3), llf(lam + 1e-3))
+    t = out.sort_values("sample_id")["y_power"].to_numpy()
+    back = np.exp(t) if abs(lam) < 1e-12 else (t * lam + 1) ** (1 / lam)
+    assert np.allclose(back, y)
+
+
+def test_yeojohnson_chosen_for_non_positive(spark):
+    from prismlake.operators.targets import power_transform
+    df = spark.createDataFrame([("D", i, float(v)) for i, v in enumerate(np.linspace(-3, 9, 50))],
+                               "dataset STRING, sample_id BIGINT, target DOUBLE")
+    out = power_transform(df, "auto").toPandas()
+    assert (out["method"] == "yeo-johnson").all()
+    assert abs(out["y_power"].mean()) < 1e-9 and abs(out["y_power"].std(ddof=0) - 1) < 1e-9
+
+
+def test_quantile_normal_is_monotone_and_centered(spark):
+    from prismlake.operators.targets import target_quantile_normal
+    rng = np.random.default_rng(10)
+    y = rng.gamma(2.0, size=301)
+    df = spark.createDataFrame([("D", i, float(v)) for i, v in enumerate(y)], "dataset STRING, sample_id BIGINT, target DOUBLE")
+    out = target_quantile_normal(df).toPandas().sort_values("target")
+    z = out["y_qnormal"].to_numpy()
+    assert (np.diff(z) > 0).all() and abs(np.median(z)) < 1e-9
