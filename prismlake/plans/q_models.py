@@ -274,3 +274,21 @@ def q_model_registry(spark, sf):
         "dataset", F.col("r2").alias("best_r2"), F.col("rmse").alias("best_rmse"))
     return (models.select("dataset", "model", F.size("coef").alias("n_features"))
             .crossJoin(F.broadcast(wl)).join(best, "dataset"))
+
+
+# ----------------------------------------------------------------- tree ensembles
+
+def _tree_cv(spark, sf, model):
+    from prismlake.operators.trees import cv_tree_model
+    prepared = sel.prepare(fx.spectra(spark, sf), ["Absorbance"])
+    return cv_tree_model(prepared, model)
+
+
+@register("model_rf", None, note="Spark ML random forest, fixed configuration, 5-fold out-of-fold")
+def q_model_rf(spark, sf):
+    return _tree_cv(spark, sf, "rf")[0]
+
+
+@register("model_gbt", None, note="Spark ML gradient-boosted trees, fixed configuration, 5-fold out-of-fold")
+def q_model_gbt(spark, sf):
+    return _tree_cv(spark, sf, "gbr")[0]

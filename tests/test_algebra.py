@@ -220,3 +220,19 @@ def test_quantile_normal_is_monotone_and_centered(spark):
     out = target_quantile_normal(df).toPandas().sort_values("target")
     z = out["y_qnormal"].to_numpy()
     assert (np.diff(z) > 0).all() and abs(np.median(z)) < 1e-9
+
+
+def test_tree_models_small(spark):
+    from prismlake.operators.trees import cv_tree_model
+    rng = np.random.default_rng(11)
+    X = rng.random((60, 4))
+    y = 5 * (X[:, 0] > 0.5) + X[:, 1]
+    rows = [("D", "none", i, i % 3, [float(v) for v in X[i]], float(y[i])) for i in range(60)]
+    df = spark.createDataFrame(rows, "dataset STRING, preprocessing STRING, sample_id BIGINT, fold INT, spectrum ARRAY<DOUBLE>, target DOUBLE")
+    for model, params in [("rf", {"numTrees": 20}), ("gbr", {"maxIter": 10})]:
+        oof, imp = cv_tree_model(df, model, params, k=3)
+        got = oof.toPandas()
+        assert len(got) == 60 and got["y_pred"].notna().all()
+        assert np.corrcoef(got["y_true"], got["y_pred"])[0, 1] > 0.8
+        first = imp.toPandas()["importance"].iloc[0]
+        assert int(np.argmax(first)) == 0
