@@ -292,3 +292,24 @@ def q_model_rf(spark, sf):
 @register("model_gbt", None, note="Spark ML gradient-boosted trees, fixed configuration, 5-fold out-of-fold")
 def q_model_gbt(spark, sf):
     return _tree_cv(spark, sf, "gbr")[0]
+
+
+# ----------------------------------------------------------------- streaming
+
+@register("stream_batch_predict", duck_with("select dataset, sample_id, target, y_pred from pred", "spectra",
+                                            extra=[_FOLDS, _FIT_ALL, _PRED]), ["target", "y_pred"])
+def q_stream_batch_predict(spark, sf):
+    """Single-band OLS scoring of spectra arriving as a file stream of ``embeddings``."""
+    from prismlake.streaming.scoring import run_available_now, stream_predict
+    emb = fx.table(spark, sf, "embeddings")
+    stream = spark.readStream.schema(emb.schema).parquet(f"{sf}/embeddings.parque[t]")
+
+    def to_spectra(df):
+        return df.selectExpr(
+            "concat('T', cast(1 + label % 5 as string)) as dataset", "vec_id as sample_id",
+            "transform(embedding, e -> 0.5D + 0.5D * cast(e as double)) as spectrum").selectExpr(
+            "dataset", "sample_id", f"array(spectrum[{BAND}]) as spectrum",
+            "20D + 40D*spectrum[5] - 25D*spectrum[20] + 30D*spectrum[40]*spectrum[50] + 2D*((sample_id*7919) % 101)/101D as target")
+    models = pr.fit_linear(_one_band(spark, sf), "ols")
+    sink = run_available_now(spark, stream_predict(stream, models, to_spectra))
+    return spark.read.parquet(sink).select("dataset", "sample_id", "target", "y_pred")
