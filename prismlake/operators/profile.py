@@ -408,3 +408,22 @@ def dataset_comparison(spectra: DataFrame) -> DataFrame:
     return (df.withColumn("performance_outlook", performance_outlook(F.col("max_correlation")))
             .withColumn("recommendations", F.filter(recs, lambda x: x.isNotNull()))
             .drop("_dyn", "refl_max", "mean_of_means"))
+
+
+def qq_points(spectra: DataFrame) -> DataFrame:
+    """Normal probability plot: ordered targets against normal quantiles of Filliben's
+    order-statistic medians, with the least-squares line and its r."""
+    from prismlake.functions.distributed import with_ordinal
+    from prismlake.functions.normal import norm_ppf
+    t = spectra.where(F.col("target").isNotNull()).select("dataset", "sample_id", "target")
+    ranked = with_ordinal(t, ["target", "sample_id"], group="dataset", name="i")
+    n = ranked.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    nn = F.col("n").cast("double")
+    last = F.pow(F.lit(0.5), 1 / nn)
+    m = (F.when(F.col("i") == F.col("n"), last).when(F.col("i") == 1, 1 - last)
+         .otherwise((F.col("i") - 0.3175) / (nn + 0.365)))
+    pts = ranked.join(n, "dataset").select("dataset", "i", norm_ppf(m).alias("theoretical"), F.col("target").alias("ordered"))
+    fit = pts.groupBy("dataset").agg(F.regr_slope("ordered", "theoretical").alias("slope"),
+                                     F.regr_intercept("ordered", "theoretical").alias("intercept"),
+                                     F.corr("ordered", "theoretical").alias("r"))
+    return pts.join(fit, "dataset")

@@ -343,6 +343,23 @@ def q_performance_outlook(spark, sf):
     return pf.dataset_comparison(S(spark, sf)).select("dataset", "performance_outlook")
 
 
+def _qq_sql() -> str:
+    from prismlake.plans.sqlbits import sql_norm_ppf
+    m = ("case when i = n then power(0.5, 1.0 / n) when i = 1 then 1 - power(0.5, 1.0 / n) "
+         "else (i - 0.3175) / (n + 0.365) end")
+    return duck_with(f"""
+    select p.*, f.slope, f.intercept, f.r from p join (select dataset, regr_slope(ordered, theoretical) as slope,
+      regr_intercept(ordered, theoretical) as intercept, corr(ordered, theoretical) as r from p group by dataset) f
+      on p.dataset = f.dataset""", "spectra", extra=[("p", f"""select dataset, i, {sql_norm_ppf(m)} as theoretical, target as ordered
+      from (select dataset, target, row_number() over (partition by dataset order by target, sample_id) as i,
+              count(*) over (partition by dataset) as n from spectra where target is not null) q""")])
+
+
+@register("qq_points", _qq_sql(), ["theoretical", "ordered", "slope", "intercept", "r"])
+def q_qq_points(spark, sf):
+    return pf.qq_points(S(spark, sf))
+
+
 @register("pca_scores", None)
 def q_pca_scores(spark, sf):
     return pf.pca(S(spark, sf))[0]
