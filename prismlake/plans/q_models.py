@@ -313,3 +313,23 @@ def q_stream_batch_predict(spark, sf):
     models = pr.fit_linear(_one_band(spark, sf), "ols")
     sink = run_available_now(spark, stream_predict(stream, models, to_spectra))
     return spark.read.parquet(sink).select("dataset", "sample_id", "target", "y_pred")
+
+
+# ----------------------------------------------------------------- kernel models
+
+def _kernel_cv(spark, sf, kernel, gamma=None, degree=3):
+    from prismlake.operators.kernel import nystrom_map
+    prepared = sel.prepare(fx.spectra(spark, sf), ["Absorbance"])
+    mapped = nystrom_map(prepared, kernel, gamma, degree)
+    coefs = sel.fit_coefficients(mapped, ["krr"])
+    return sel.score(mapped, coefs).withColumn("model", F.lit(f"krr_{kernel}"))
+
+
+@register("model_krr_rbf", None, note="kernel ridge, RBF kernel through Nystrom features, nested CV over alpha")
+def q_model_krr_rbf(spark, sf):
+    return _kernel_cv(spark, sf, "rbf")
+
+
+@register("model_krr_poly", None, note="kernel ridge, polynomial kernel (degree 2) through Nystrom features")
+def q_model_krr_poly(spark, sf):
+    return _kernel_cv(spark, sf, "poly", degree=2)

@@ -236,3 +236,20 @@ def test_tree_models_small(spark):
         assert np.corrcoef(got["y_true"], got["y_pred"])[0, 1] > 0.8
         first = imp.toPandas()["importance"].iloc[0]
         assert int(np.argmax(first)) == 0
+
+
+def test_nystrom_with_all_landmarks_equals_exact_krr(spark):
+    from prismlake.operators.kernel import _kernel_np, nystrom_map
+    from prismlake.operators.gram import Moments
+    from prismlake.operators.linear import ridge_no_intercept
+    rng = np.random.default_rng(12)
+    X = rng.random((40, 5))
+    y = np.sin(3 * X[:, 0]) + X[:, 1]
+    df = _spectra_df(spark, X, y)
+    phi = np.array(nystrom_map(df, "rbf", gamma=0.7, m=40).orderBy("sample_id").toPandas()["spectrum"].tolist())
+    Z = np.column_stack([phi, y])
+    m = Moments.from_packed(np.concatenate([[40], Z.sum(0), (Z.T @ Z).ravel()]), Z.shape[1])
+    _, beta = ridge_no_intercept(m, 1.0)
+    K = _kernel_np(X, X, "rbf", 0.7, 3, 1.0)
+    dual = np.linalg.solve(K + np.eye(40), y)
+    assert np.allclose(phi @ beta, K @ dual, atol=1e-6)
