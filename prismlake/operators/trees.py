@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 # The reference's fixed-set configurations (first grid point of
 # each searched model).
 RF_PARAMS = dict(numTrees=200, maxDepth=20, minInstancesPerNode=1, featureSubsetStrategy="sqrt", seed=42)
+ROWS_PER_PARTITION = 200_000
 GBT_PARAMS = dict(maxIter=200, stepSize=0.1, maxDepth=3, subsamplingRate=1.0, seed=42)
 
 
@@ -40,13 +41,19 @@ def cv_tree_model(prepared: DataFrame, model: str, params: dict | None = None, k
     ``prepared``: (dataset, preprocessing, sample_id, fold, spectrum, target).
     """
     data = prepared.withColumn("features", array_to_vector("spectrum"))
-    keys = [(r["dataset"], r["preprocessing"]) for r in prepared.select("dataset", "preprocessing").distinct().collect()]
-    jobs = [(ds, prep, f) for ds, prep in sorted(keys) for f in range(k)]
+    spark = prepared.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    sizes = {(r["dataset"], r["preprocessing"]): r["count"]
+             for r in prepared.groupBy("dataset", "preprocessing").count().collect()}   # one row per key
+    jobs = [(ds, prep, f) for ds, prep in sorted(sizes) for f in range(k)]
 
     def fit(job):
         ds, prep, f = job
         part = data.where((F.col("dataset") == ds) & (F.col("preprocessing") == prep))
-        m = make_estimator(model, params).fit(part.where(F.col("fold") != f))
+        # partitions sized to the training set: tiny sets in one task (job latency
+        # dominates), large sets keep full parallelism
+        nparts = max(1, min(par, -(-sizes[(ds, prep)] // ROWS_PER_PARTITION)))
+        m = make_estimator(model, params).fit(part.where(F.col("fold") != f).coalesce(nparts))
         pred = (m.transform(part.where(F.col("fold") == f))
                 .select("dataset", "preprocessing", F.lit(model).alias("model"), "fold", "sample_id",
                         F.col("target").alias("y_true"), F.col("prediction").alias("y_pred")))
@@ -59,7 +66,6 @@ def cv_tree_model(prepared: DataFrame, model: str, params: dict | None = None, k
     oof = None
     for pred, _ in results:
         oof = pred if oof is None else oof.unionByName(pred)
-    spark = prepared.sparkSession
     imps = spark.createDataFrame([r for _, r in results],
                                  "dataset STRING, preprocessing STRING, model STRING, fold INT, importance ARRAY<DOUBLE>")
     return oof, imps

@@ -380,3 +380,9 @@ def q_pca_explained(spark, sf):
     "spectra_long", extra=[_CORR]), ["slope", "intercept", "x", "y_fit"])
 def q_linear_fit(spark, sf):
     return pf.linear_fit(S(spark, sf))
+
+
+@register("isolation_outliers", None, note="isolation forest (100 trees, 256-row subsamples), contamination 0.1")
+def q_isolation_outliers(spark, sf):
+    from prismlake.operators.isolation import isolation_outliers
+    return isolation_outliers(S(spark, sf))

@@ -253,3 +253,14 @@ def test_nystrom_with_all_landmarks_equals_exact_krr(spark):
     K = _kernel_np(X, X, "rbf", 0.7, 3, 1.0)
     dual = np.linalg.solve(K + np.eye(40), y)
     assert np.allclose(phi @ beta, K @ dual, atol=1e-6)
+
+
+def test_isolation_share_and_planted_outliers(spark):
+    from prismlake.operators.isolation import isolation_outliers
+    rng = np.random.default_rng(13)
+    X = rng.normal(0, 1, (300, 4))
+    X[:5] += 8.0
+    out = isolation_outliers(_spectra_df(spark, X, np.zeros(300)), n_trees=50).toPandas()
+    share = out["is_outlier"].mean()
+    assert abs(share - 0.1) <= 0.01
+    assert out.sort_values("sample_id")["is_outlier"].iloc[:5].all()

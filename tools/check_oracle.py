@@ -8,6 +8,7 @@ sorted by name, values compared exactly after the query's own rounding).
 from __future__ import annotations
 
 import json
+import os
 import sys
 import time
 
@@ -70,6 +71,8 @@ def main():
     for name, q in all_queries().items():
         if pats and not any(p in name for p in pats):
             continue
+        if name in os.environ.get("EXCLUDE", "").split(","):
+            continue
         t0 = time.time()
         try:
             sdf = q.spark(spark, sf_dir).toPandas()
