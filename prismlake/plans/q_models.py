@@ -333,3 +333,8 @@ def q_model_krr_rbf(spark, sf):
 @register("model_krr_poly", None, note="kernel ridge, polynomial kernel (degree 2) through Nystrom features")
 def q_model_krr_poly(spark, sf):
     return _kernel_cv(spark, sf, "poly", degree=2)
+
+
+@register("loo_pls", None, note="exact leave-one-out PLS (8 components) by Gram downdates")
+def q_loo_pls(spark, sf):
+    return sel.loo_metrics(sel.loo_pls(fx.spectra(spark, sf), 8))

@@ -264,3 +264,21 @@ def test_isolation_share_and_planted_outliers(spark):
     share = out["is_outlier"].mean()
     assert abs(share - 0.1) <= 0.01
     assert out.sort_values("sample_id")["is_outlier"].iloc[:5].all()
+
+
+def test_loo_pls_downdate_equals_refit(spark):
+    from prismlake.operators.gram import Moments
+    from prismlake.operators.linear import pls1_path
+    from prismlake.plans.selection import loo_pls
+    rng = np.random.default_rng(14)
+    X = rng.random((30, 6))
+    y = X @ rng.random(6) + rng.normal(0, 0.05, 30)
+    got = loo_pls(_spectra_df(spark, X, y), 3).orderBy("sample_id").toPandas()["y_pred"].to_numpy()
+    want = []
+    for i in range(30):
+        keep = np.arange(30) != i
+        Z = np.column_stack([X[keep], y[keep]])
+        m = Moments.from_packed(np.concatenate([[29], Z.sum(0), (Z.T @ Z).ravel()]), 7)
+        b0, b = pls1_path(m, 3)[2]
+        want.append(b0 + X[i] @ b)
+    assert np.allclose(got, want, atol=1e-8)
