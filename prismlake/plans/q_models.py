@@ -338,3 +338,13 @@ def q_model_krr_poly(spark, sf):
 @register("loo_pls", None, note="exact leave-one-out PLS (8 components) by Gram downdates")
 def q_loo_pls(spark, sf):
     return sel.loo_metrics(sel.loo_pls(fx.spectra(spark, sf), 8))
+
+
+@register("model_svr", None, note="epsilon-insensitive SVR (squared loss) on Nystrom RBF features, finite Newton")
+def q_model_svr(spark, sf):
+    from prismlake.operators.kernel import nystrom_map
+    from prismlake.operators.svr import svr_cv
+    prepared = sel.prepare(fx.spectra(spark, sf), ["Absorbance"])
+    mapped = nystrom_map(prepared, "rbf")
+    return (svr_cv(mapped).withColumn("preprocessing", F.lit("Absorbance")).withColumn("model", F.lit("svr"))
+            .select("dataset", "preprocessing", "model", "fold", "sample_id", "y_true", "y_pred"))
