@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
     """Cut Arrow batches so that a slice holds about ``limit`` bytes of ``column``
     (one row at least), which bounds the working memory of a Python task."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if i > start and total + (size or 0) > limit:

@@ -39,9 +39,24 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_sequences(pieces, WINDOW)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.simhash import simhash_components
+
+    return simhash_components(read(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.substrings import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op4_bpe_codec": op4_bpe_codec,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
