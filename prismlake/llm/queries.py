@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.llm.common import read
@@ -52,11 +52,62 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _count_kind(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.pii import BASE, find_pii, span_text
+
+    found = find_pii(read(spark, sf_dir, "documents"))
+    counts = [_count_kind(k) for k in BASE]
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+def _op5_sql() -> str:
+    """The same spans by list functions.  Patterns and limits are stated on their own."""
+    around = "g[i][greatest(length(g[i]) - 49, 1):] || ' ' || g[i + 1][:50]"
+    digits = "regexp_replace(m[i], '[^0-9]', '', 'g')"
+    luhn = (f"(list_sum(list_transform(range(1, length({digits}) + 1), lambda j: case when j % 2 = 1 then reverse({digits})[j]::int "
+            f"else (reverse({digits})[j]::int * 2) // 10 + (reverse({digits})[j]::int * 2) % 10 end)) % 10 = 0)")
+    plain = "replace(m[i], ' ', '')"
+    mod97 = (f"(list_reduce(list_prepend(0::hugeint, list_transform(string_split({plain}[5:] || {plain}[1:4], ''), "
+             "lambda c: (case when ascii(c) < 58 then ascii(c) - 48 else ascii(c) - 55 end)::hugeint)), "
+             "lambda a, v: case when v < 10 then (a * 10 + v) % 97 else (a * 100 + v) % 97 end) = 1)")
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+               "(list_max(list_transform(string_split(m[i], '.'), lambda p: p::double)) <= 255)"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", f"(length({digits}) between 16 and 19 and {luhn})"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"(length({digits}) between 8 and 15)"),
+        "iban": (r"\b[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}\b", mod97),
+        "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", rf"regexp_matches({around}, '(?i)\b(?:ssn|social security)\b')"),
+    }
+    parts = []
+    for kind, (pattern, ok) in kinds.items():
+        start = ("list_sum(list_transform(g[1:i], lambda x: length(x))) + "
+                 "coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)")
+        parts.append(f"""{kind}_spans as (select doc_id, list_transform(list_filter(range(1, len(m) + 1), lambda i: {ok}),
+            lambda i: '{kind}:' || ({start})::bigint || ':' || ({start} + length(m[i]))::bigint) as s
+            from (select doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') as m,
+                  string_split_regex(coalesce(text, ''), '{pattern}') as g from documents))""")
+    names = list(kinds)
+    joins = " ".join(f"join {k}_spans using (doc_id)" for k in names[1:])
+    listed = lambda ks: "list_concat(" * (len(ks) - 1) + f"{ks[0]}_spans.s" + "".join(f", {k}_spans.s)" for k in ks[1:])
+    return f"""with {', '.join(parts)}
+        select doc_id, {', '.join(f'len({k}_spans.s)::bigint as n_{k}' for k in names[:4])},
+               sha256(coalesce(array_to_string({listed(names[:4])}, ','), '')) as base_sha256,
+               coalesce(array_to_string({listed(names)}, ','), '') as spans
+        from {names[0]}_spans {joins}"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_pii": op5_pii,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_pii": _op5_sql()}
