@@ -21,11 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismlake.llm.bpe import encode_documents
 from prismlake.llm.common import materialize
 
 WINDOW = 2048
 END_ID = 1
-BUCKET_ROWS = 50_000       # pieces of one length that are ranked in one task
+BUCKET_ROWS = 1_000        # pieces of one length that are ranked in one task
 
 
 def cut_documents(encoded: DataFrame, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id") -> DataFrame:
@@ -129,3 +130,8 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW, length_col: str =
 
     placed = ranked.withColumn("_place", place(F.col(length_col), F.col("_rank") + F.col("_first")))
     return placed.select(*carried, "_place.sequence_id", "_place.offset")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenize and pack: one row per piece with its ids and its place."""
+    return assign_sequences(cut_documents(encode_documents(docs, tokenizer, id_col, text_col), window, id_col=id_col), window)

@@ -102,12 +102,21 @@ def _op5_sql() -> str:
         from {names[0]}_spans {joins}"""
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.langid import held_out, identify, train_on_documents
+
+    docs = read(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), train_on_documents(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_pii": op5_pii,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_langid": op10_langid,
 }
 
 ORACLES: dict[str, str] = {"op5_pii": _op5_sql()}

@@ -143,10 +143,10 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                              names=["c1", "c2", "at", "h16", "h32", "ha", "hb"])
 
 
-def _kept(text: str, runs: list[dict] | None) -> tuple[int, int, str]:
+def _kept(text: str, runs: list[dict] | None, as_is: bool) -> tuple[int, int, str]:
     words = text.encode().split()
     if not runs:
-        return len(words), 0, b" ".join(words).decode()
+        return len(words), 0, text if as_is else b" ".join(words).decode()
     edge = np.zeros(len(words) + 1, np.int32)
     for run in runs:
         mask, start = run["mask"], run["start"]
@@ -186,19 +186,23 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
         F.collect_list(F.struct("start", "mask")).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
-    """One row per input row: id, ``n_words``, ``n_removed`` and ``kept``, the words that
-    stay joined by one space; ``carry`` names further columns to pass on."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), as_is: bool = False) -> DataFrame:
+    """One row per input row: id, the columns in ``carry``, ``n_words``, ``n_removed`` and
+    ``kept``: the words that stay, joined by one space.  ``as_is``: a text that loses
+    nothing is kept as it is, and a null text stays null."""
     key = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    base = docs.select(F.struct(id_col, *carry).alias("row"), text_or_empty(text_col).alias("text")).withColumn("key", key)
-    marked = base.join(materialize(repeated_runs(base.select("key", "text"))), "key", "left").select("row", "text", "runs")
+    base = docs.select(F.struct(id_col, *carry).alias("row"), F.col(text_col).isNull().alias("absent"),
+                       text_or_empty(text_col).alias("text")).withColumn("key", key)
+    marked = base.join(materialize(repeated_runs(base.select("key", "text"))), "key", "left").select("row", "absent", "text", "runs")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            rows = [_kept(t, r) for t, r in zip(part.column("text").to_pylist(), part.column("runs").to_pylist())]
+            rows = [_kept(t, r, as_is) for t, r in zip(part.column("text").to_pylist(), part.column("runs").to_pylist())]
             n, gone, kept = ([r[k] for r in rows] for k in range(3))
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                                             names=["row", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("absent"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
+                                              pa.array(kept, pa.string())], names=["row", "absent", "n_words", "n_removed", "kept"])
 
     row_type = base.schema["row"].dataType.simpleString()
-    return marked.mapInArrow(keep, f"row {row_type}, n_words long, n_removed long, kept string").select("row.*", "n_words", "n_removed", "kept")
+    out = marked.mapInArrow(keep, f"row {row_type}, absent boolean, n_words long, n_removed long, kept string")
+    kept = F.when(F.col("absent"), F.lit(None)).otherwise(F.col("kept")) if as_is else F.col("kept")
+    return out.select("row.*", "n_words", "n_removed", kept.alias("kept"))
