@@ -45,6 +45,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm import secrets
+
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secrets.BASE]
+    base = F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    return found.select("doc_id", *(_count_kind(k) for k in kinds), F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+                        secrets.span_text(F.col("spans")).alias("spans"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismlake.llm.substrings import remove_repeats
 
@@ -115,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_pii": op5_pii,
+    "op6_secrets": op6_secrets,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_langid": op10_langid,
 }
