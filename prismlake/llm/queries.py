@@ -112,6 +112,12 @@ def _op5_sql() -> str:
         from {names[0]}_spans {joins}"""
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.neighbours import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismlake.llm.langid import held_out, identify, train_on_documents
 
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_neighbours": op8_neighbours,
     "op10_langid": op10_langid,
 }
 
