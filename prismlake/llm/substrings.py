@@ -166,18 +166,19 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     """(key, text) -> (key, runs): for each text with repeated windows, the runs they
     are in, as first window start and a bit mask of repeated windows."""
     runs = materialize(texts.mapInArrow(_run_batches, _RUNS))
-    again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("anchor")
+    # the counts are written tables, so that a frequent anchor's rows can be split in the joins
+    again = materialize(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("anchor"))
     runs = materialize(runs.join(again, "anchor", "left_semi")
                        .groupBy("key", "start", "shape", "anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("n")))
     contexts = materialize(runs.groupBy("c1", "c2", "shape", "anchor")
                            .agg(F.sum("n").alias("n"), F.min(F.struct("key", "start")).alias("place")))
-    several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("anchor")
+    several = materialize(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("anchor"))
     asked = (contexts.join(several, "anchor", "left_semi").groupBy(F.col("place.key").alias("key"))
              .agg(F.collect_list(F.struct(F.col("place.start").alias("start"), "shape", "c1", "c2")).alias("runs")))
     windows = materialize(texts.join(asked, "key").mapInArrow(_window_batches, _WINDOWS).distinct())
     for columns in (["h16"], ["h32"], ["ha", "hb"]):
         found = windows.groupBy(*columns).agg(F.min("c1").alias("low"), F.max("c1").alias("high")).where("low <> high").select(*columns)
-        windows = materialize(windows.join(found, columns, "left_semi"))
+        windows = materialize(windows.join(materialize(found), columns, "left_semi"))
     one = F.lit(1).cast("long")
     masks = (contexts.where("n >= 2").select("c1", "c2", (F.call_function("shiftleft", one, F.col("shape") % 64) - 1).alias("mask"))
              .unionByName(windows.select("c1", "c2", F.call_function("shiftleft", one, F.col("at")).alias("mask")))
