@@ -118,6 +118,13 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.quality import quality_rules
+
+    out = quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismlake.llm.langid import held_out, identify, train_on_documents
 
@@ -134,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_neighbours": op8_neighbours,
+    "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
 
