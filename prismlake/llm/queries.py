@@ -118,6 +118,12 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_pseudolikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.pseudolikelihood import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismlake.llm.quality import quality_rules
 
@@ -136,6 +142,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op3_pseudolikelihood": op3_pseudolikelihood,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
