@@ -38,7 +38,7 @@ LONG_CHARS = 1 << 16       # longer texts are encoded by several tasks
 PIECE_CHARS = 1 << 15      # length of the leaves of such texts
 WINDOW_TOKENS = 16         # first window on each side of a join
 AGREE_TOKENS = 4           # tokens that must agree on each side
-CACHE_SEGMENTS = 400_000   # cached segments per Python worker
+CACHE_SEGMENTS = 250_000   # cached segments per Python worker
 
 # Fixed value: the pre-token pattern of the byte-level tokenizer.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -40,7 +40,17 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.step_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written steps that no DataFrame still in use reads."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.step_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(col: str | Column) -> Column:

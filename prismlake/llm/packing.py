@@ -106,19 +106,19 @@ def _slots(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[str, n
 
 def assign_sequences(pieces: DataFrame, window: int = WINDOW, length_col: str = "length") -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.  Any other columns are carried."""
-    carried = pieces.columns
     rows = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    lengths = rows.select("_row", F.col(length_col).alias("_length"))          # all that is planned on; the pieces stay where they are
     counts = np.zeros(window + 1, np.int64)
-    for length, n in rows.groupBy(length_col).count().collect():       # at most ``window`` rows
+    for length, n in lengths.groupBy("_length").count().collect():             # at most ``window`` rows
         counts[length] = n
     slots = _slots(plan_windows(counts, window), window)
     buckets = max(1, -(-int(counts.max()) // BUCKET_ROWS))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(length_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = (rows.groupBy(length_col, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-              .select(length_col, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
-    inside = Window.partitionBy(length_col, "_bucket").orderBy("_row")
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(firsts, [length_col, "_bucket"])
+    lengths = lengths.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (lengths.groupBy("_length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+              .select("_length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    inside = Window.partitionBy("_length", "_bucket").orderBy("_row")
+    ranked = lengths.withColumn("_rank", F.row_number().over(inside) - 1).join(firsts, ["_length", "_bucket"])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -128,8 +128,10 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW, length_col: str =
         return pd.DataFrame({"sequence_id": slots["window"][at] + inside // slots["n"][at],
                              "offset": slots["offset"][at] + inside % slots["n"][at] * length.to_numpy()})
 
-    placed = ranked.withColumn("_place", place(F.col(length_col), F.col("_rank") + F.col("_first")))
-    return placed.select(*carried, "_place.sequence_id", "_place.offset")
+    placed = (ranked.withColumn("_place", place(F.col("_length").cast("long"), F.col("_rank") + F.col("_first")))
+              .select("_row", "_place.sequence_id", "_place.offset"))
+    # the small side is hashed, so that pieces with their ids are neither sorted nor spilled
+    return rows.join(placed.hint("shuffle_hash"), "_row").drop("_row")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import materialize, text_or_empty, text_slices
+from prismlake.llm.common import discard, materialize, text_or_empty, text_slices
 
 WINDOW = 35
 ANCHOR = 8
@@ -164,27 +164,34 @@ def _kept(text: str, runs: list[dict] | None, as_is: bool) -> tuple[int, int, st
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
     """(key, text) -> (key, runs): for each text with repeated windows, the runs they
-    are in, as first window start and a bit mask of repeated windows."""
-    runs = materialize(texts.mapInArrow(_run_batches, _RUNS))
+    are in, as first window start and a bit mask of repeated windows (a written table)."""
+    every = materialize(texts.mapInArrow(_run_batches, _RUNS))
     # the counts are written tables, so that a frequent anchor's rows can be split in the joins
-    again = materialize(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("anchor"))
-    runs = materialize(runs.join(again, "anchor", "left_semi")
+    again = materialize(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("anchor"))
+    runs = materialize(every.join(again, "anchor", "left_semi")
                        .groupBy("key", "start", "shape", "anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("n")))
+    discard(every, again)
     contexts = materialize(runs.groupBy("c1", "c2", "shape", "anchor")
                            .agg(F.sum("n").alias("n"), F.min(F.struct("key", "start")).alias("place")))
     several = materialize(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("anchor"))
     asked = (contexts.join(several, "anchor", "left_semi").groupBy(F.col("place.key").alias("key"))
              .agg(F.collect_list(F.struct(F.col("place.start").alias("start"), "shape", "c1", "c2")).alias("runs")))
     windows = materialize(texts.join(asked, "key").mapInArrow(_window_batches, _WINDOWS).distinct())
+    discard(several)
     for columns in (["h16"], ["h32"], ["ha", "hb"]):
-        found = windows.groupBy(*columns).agg(F.min("c1").alias("low"), F.max("c1").alias("high")).where("low <> high").select(*columns)
-        windows = materialize(windows.join(materialize(found), columns, "left_semi"))
+        found = materialize(windows.groupBy(*columns).agg(F.min("c1").alias("low"), F.max("c1").alias("high"))
+                            .where("low <> high").select(*columns))
+        longer = materialize(windows.join(found, columns, "left_semi"))
+        discard(windows, found)
+        windows = longer
     one = F.lit(1).cast("long")
     masks = (contexts.where("n >= 2").select("c1", "c2", (F.call_function("shiftleft", one, F.col("shape") % 64) - 1).alias("mask"))
              .unionByName(windows.select("c1", "c2", F.call_function("shiftleft", one, F.col("at")).alias("mask")))
              .groupBy("c1", "c2").agg(F.bit_or("mask").alias("mask")))
-    return runs.select("key", "start", "c1", "c2").join(masks, ["c1", "c2"]).groupBy("key").agg(
-        F.collect_list(F.struct("start", "mask")).alias("runs"))
+    result = materialize(runs.select("key", "start", "c1", "c2").join(materialize(masks), ["c1", "c2"]).groupBy("key").agg(
+        F.collect_list(F.struct("start", "mask")).alias("runs")))
+    discard(runs, contexts, windows)
+    return result
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), as_is: bool = False) -> DataFrame:
@@ -194,7 +201,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
     base = docs.select(F.struct(id_col, *carry).alias("row"), F.col(text_col).isNull().alias("absent"),
                        text_or_empty(text_col).alias("text")).withColumn("key", key)
-    marked = base.join(materialize(repeated_runs(base.select("key", "text"))), "key", "left").select("row", "absent", "text", "runs")
+    marked = base.join(repeated_runs(base.select("key", "text")), "key", "left").select("row", "absent", "text", "runs")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
