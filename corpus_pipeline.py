@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import materialize, read
+from prismlake.llm.common import discard, materialize, read
 from prismlake.llm.langid import UNKNOWN, identify, train_on_documents
 from prismlake.llm.packing import pack_documents
 from prismlake.llm.pii import redact
@@ -73,7 +73,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), ()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        discard(*before)
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
