@@ -87,8 +87,8 @@ def weighted_windows(c: str | Column, weights: list[list[float]]) -> Column:
 
     ``weights[o]`` is the weight row used for an output whose window starts
     ``o`` bands before it.  Window start is clamped to the array so the first and
-    last outputs use the end-window fits.  Arrays shorter than the window are
-    returned unchanged.
+    last outputs use the end-window fits.  Arrays shorter than the window give
+    null.
     """
     w = len(weights)
     h = w // 2
@@ -102,4 +102,4 @@ def weighted_windows(c: str | Column, weights: list[list[float]]) -> Column:
         return F.aggregate(F.zip_with(F.slice(arr, start + 1, F.lit(w)), row, lambda a, b: a * b),
                            F.lit(0.0), lambda acc, x: acc + x)
 
-    return F.when(n < F.lit(w), arr).otherwise(F.transform(arr, out))
+    return F.when(n >= F.lit(w), F.transform(arr, out))

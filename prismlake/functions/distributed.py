@@ -7,8 +7,8 @@
   task ever holds more than ``max_buffer`` values of one group.
 * ``top_k_per_group`` -- per-group top-k in two phases (salted sub-groups first),
   so a hot group is never sorted in one task.
-* ``with_ordinal`` -- dense 1-based row position by an ordering, computed from a
-  range-partitioned sort plus per-partition offsets (no single-task window).
+* ``with_ordinal`` -- dense 1-based row position by an ordering, from buckets that a
+  row's own values decide, plus the buckets' counts (no single-task window).
 """
 
 from __future__ import annotations
@@ -101,25 +101,66 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
     return survivors.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
 
 
+def _order_value(df: DataFrame, col: str) -> Column:
+    """A double that grows with ``col``: numbers as they are, hexadecimal digests by
+    their first eight digits."""
+    if dict(df.dtypes)[col] == "string":
+        return F.conv(F.substring(F.col(col), 1, 8), 16, 10).cast("double")
+    return F.col(col).cast("double")
+
+
+def _bucket_of(value: Column, bounds: list[float]) -> Column:
+    """Number of ``bounds`` (ascending) at or below ``value``, by binary search."""
+    steps, step = [], 1
+    while step <= len(bounds):
+        steps.insert(0, step)
+        step *= 2
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*[F.lit(float(b)) for b in bounds])
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda i, s: F.when(
+        F.coalesce(F.get(table, i + s - 1) <= value, F.lit(False)), i + s).otherwise(i))
+
+
 def with_ordinal(df: DataFrame, order_cols: list[str], group: str | None = None,
-                 name: str = "_pos", num_partitions: int | None = None) -> DataFrame:
+                 name: str = "_pos", bucket_rows: int = 50_000) -> DataFrame:
     """Add a 1-based position by ``order_cols`` (within ``group`` when given).
 
-    Range-partition + local sort; ``monotonically_increasing_id`` then numbers rows
-    inside each partition in sorted order and a tiny per-partition count table turns
-    that into global offsets.  ``order_cols`` must make the order total.
+    Rows go to buckets by their own values: literal bounds on the first order column
+    (fetched once, from approximate percentiles), and a value that fills a bucket on its
+    own is split by the second order column.  A row's bucket never depends on where the
+    row is processed, so counting the buckets and numbering the rows inside them agree
+    whichever columns each side reads.  ``order_cols`` must make the order total; the
+    first two are numbers or hexadecimal digests.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = ([group] if group else []) + order_cols
-    s = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.withColumn("_off", F.coalesce(
-        F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    g = s.join(offsets, "_pid").withColumn("_g", F.col("_off") + F.col("_local") + 1).drop("_pid", "_local", "_off")
-    if group is None:
-        return g.withColumnRenamed("_g", name)
-    first = g.groupBy(group).agg(F.min("_g").alias("_first"))
-    return g.join(first, group).withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")
+    first = _order_value(df, order_cols[0])
+    n = df.count()
+    buckets = min(4096, -(-n // bucket_rows))
+    inner: list[Column] = []
+    if buckets > 1:
+        shares = [k / buckets for k in range(1, buckets)]
+        exact = F.lit(10 * buckets)
+        probe = [F.percentile_approx(first, shares, exact).alias("b1")]
+        if len(order_cols) > 1:
+            second = _order_value(df, order_cols[1])
+            probe.append(F.percentile_approx(second, shares, exact).alias("b2"))
+        found = df.agg(*probe).first()
+        marks = found["b1"] or []
+        heavy = sorted({a for a, b in zip(marks, marks[1:]) if a == b})
+        inner.append(_bucket_of(first, sorted(set(marks))).alias("_b1"))
+        if heavy and len(order_cols) > 1 and dict(df.dtypes)[order_cols[0]] != "string":
+            # a heavy value has one bucket that starts at it; what follows in that bucket is set apart
+            inner.append(F.when(first.isin(heavy), F.lit(0)).otherwise(F.lit(1)).alias("_b2"))
+            inner.append(F.when(first.isin(heavy), _bucket_of(second, sorted(set(found["b2"] or [])))).otherwise(F.lit(0)).alias("_b3"))
+    names = ["_b1", "_b2", "_b3"][:len(inner)]
+    keys = ([group] if group else []) + names
+    placed = df.select("*", *inner)
+    local = F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(*order_cols))
+    if not names:
+        return placed.withColumn(name, local.cast("long"))
+    before = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+               .select(*(F.col(k).alias(f"_o{k}") for k in keys), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")))
+    same = [F.col(k).eqNullSafe(F.col(f"_o{k}")) for k in keys]
+    numbered = placed.withColumn("_local", local).join(offsets, same)
+    return numbered.select(*df.columns, (F.col("_off") + F.col("_local")).alias(name))

@@ -109,8 +109,8 @@ def zero_fill_neighbors(df: DataFrame, chunk_span: int = 1 << 20) -> DataFrame:
     after = Window.partitionBy(*key).orderBy("sample_id").rowsBetween(0, Window.unboundedFollowing)
     local = (long.withColumn("ff", F.last("value", ignorenulls=True).over(before))
              .withColumn("bf", F.first("value", ignorenulls=True).over(after)))
-    edges = (long.where(F.col("value").isNotNull()).groupBy(*key)
-             .agg(F.max_by("value", "sample_id").alias("last_v"), F.min_by("value", "sample_id").alias("first_v")))
+    at = F.when(F.col("value").isNotNull(), F.col("sample_id"))        # a chunk without a value still gets what is carried over it
+    edges = long.groupBy(*key).agg(F.max_by("value", at).alias("last_v"), F.min_by("value", at).alias("first_v"))
     cw_prev = Window.partitionBy("dataset", "band").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     cw_next = Window.partitionBy("dataset", "band").orderBy("chunk").rowsBetween(1, Window.unboundedFollowing)
     carry = (edges.withColumn("carry_ff", F.last("last_v", ignorenulls=True).over(cw_prev))
@@ -161,7 +161,7 @@ def filter_z_outliers(df: DataFrame, z: float = Z_LIMIT, share: float = Z_SHARE)
     """Drop rows with |z(target)| > z in datasets where more than ``share`` of rows exceed it."""
     stats = df.groupBy("dataset").agg(F.avg("target").alias("_m"), F.stddev_pop("target").alias("_s"),
                                       F.count("target").alias("_n"))
-    zed = F.abs((F.col("target") - F.col("_m")) / F.col("_s"))
+    zed = F.abs(F.try_divide(F.col("target") - F.col("_m"), F.col("_s")))
     flagged = df.join(stats, "dataset").withColumn("_out", F.coalesce(zed > z, F.lit(False)))
     share_tbl = flagged.groupBy("dataset").agg((F.sum(F.col("_out").cast("long")) / F.first("_n")).alias("_share"))
     return (flagged.join(share_tbl, "dataset")

@@ -147,7 +147,8 @@ def _ranked(df: DataFrame, order: list, k: int | None, part=("dataset",)) -> Dat
     return out.where(F.col("rank") <= k) if k else out
 
 
-def leaderboard_r2(oof: DataFrame, k: int = 15) -> DataFrame:
+def leaderboard_r2(oof: DataFrame, k: int | None = None) -> DataFrame:
+    """All combinations by pooled R2; ``k`` keeps the top k of each dataset."""
     m = regression_metrics(oof)
     return _ranked(m, [F.desc_nulls_last("r2"), "preprocessing", "model"], k)
 

@@ -8,6 +8,8 @@ preprocessing), never on whole data.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
 from prismlake.operators.gram import Moments
@@ -108,3 +110,21 @@ def fit_grid(model: str, m: Moments, max_pls: int = max(PLS_COMPONENTS)) -> dict
     if model == "ols":
         return {"{}": ols(m)}
     raise ValueError(model)
+
+
+def fit_params(model: str, m: Moments, params: str | None = None) -> tuple[str, tuple[float, np.ndarray]]:
+    """One fit with the given JSON parameters, on the grid or not; without parameters the
+    first grid point."""
+    if params is None:
+        fits = fit_grid(model, m)
+        chosen = next(iter(fits))
+        return chosen, fits[chosen]
+    given = json.loads(params)
+    if model == "pls":
+        n = int(given["n_components"])
+        return params, pls1_path(m, n, scale=given.get("scale", True))[n - 1]
+    if model == "krr" and given.get("kernel", "linear") == "linear":
+        return params, ridge_no_intercept(m, float(given["alpha"]))
+    if model == "ols" and not given:
+        return params, ols(m)
+    raise ValueError(f"{model} cannot be fitted with {params}")

@@ -27,9 +27,7 @@ def fit_linear(spectra: DataFrame, model: str = "pls", params: str | None = None
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
         m = Moments.from_packed(r["g"], int(r["p"]) + 1)
-        fits = L.fit_grid(model, m)
-        chosen = params if params in fits else next(iter(fits))
-        b0, coef = fits[chosen]
+        chosen, (b0, coef) = L.fit_params(model, m, params)
         return pd.DataFrame([(key[0], model, chosen, float(b0), np.asarray(coef).tolist())],
                             columns=["dataset", "model", "params", "intercept", "coef"])
     g = gram_pass(spectra, ["dataset"], "spectrum", "target")

@@ -53,7 +53,7 @@ def dataset_summary(spectra: DataFrame, bands: DataFrame) -> DataFrame:
         F.min(t).alias("target_min"), F.max(t).alias("target_max"))
     return (s.crossJoin(F.broadcast(wl))
             .withColumn("target_range", F.col("target_max") - F.col("target_min"))
-            .withColumn("target_cv", F.col("target_std") / F.col("target_mean") * 100))
+            .withColumn("target_cv", F.try_divide("target_std", "target_mean") * 100))
 
 
 def target_shape(spectra: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def target_shape(spectra: DataFrame) -> DataFrame:
 def target_skew_unbiased(spectra: DataFrame) -> DataFrame:
     n = F.count("target").cast("double")
     return spectra.groupBy("dataset").agg(
-        (F.skewness("target") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"))
+        F.try_divide(F.skewness("target") * F.sqrt(n * (n - 1)), n - 2).alias("skewness"))
 
 
 def missing_profile(spectra: DataFrame) -> DataFrame:
@@ -84,12 +84,12 @@ def duplicate_rows(spectra: DataFrame) -> DataFrame:
 
 def z_outlier_counts(spectra: DataFrame) -> DataFrame:
     st = spectra.groupBy("dataset").agg(F.avg("target").alias("_m"), F.stddev_pop("target").alias("_s"))
-    z = F.abs((F.col("target") - F.col("_m")) / F.col("_s"))
+    z = F.abs(F.try_divide(F.col("target") - F.col("_m"), F.col("_s")))
     return (spectra.join(st, "dataset").groupBy("dataset").agg(
         F.count_if(z > 2).alias("outliers_2std"), F.count_if(z > 3).alias("outliers_3std"),
         F.count("target").alias("_n"))
-        .withColumn("pct_2std", F.col("outliers_2std") / F.col("_n") * 100)
-        .withColumn("pct_3std", F.col("outliers_3std") / F.col("_n") * 100).drop("_n"))
+        .withColumn("pct_2std", F.try_divide("outliers_2std", "_n") * 100)
+        .withColumn("pct_3std", F.try_divide("outliers_3std", "_n") * 100).drop("_n"))
 
 
 def box_stats(spectra: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def histogram(values: DataFrame, value: str = "target", bins: int = 30, key: str
     """Equal-width bins between min and max; the last bin is closed.  Empty bins included."""
     rng = values.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
+    b = F.least(F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), width)), F.lit(0)), F.lit(bins - 1)).cast("int")
     counts = (values.where(F.col(value).isNotNull()).join(rng, key)
               .withColumn("bin", F.when(width == 0, F.lit(0)).otherwise(b))
               .groupBy(key, "bin").agg(F.count(F.lit(1)).alias("count")))
@@ -125,7 +125,7 @@ def histogram(values: DataFrame, value: str = "target", bins: int = 30, key: str
                     (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("lo"),
                     (F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins).alias("hi"),
                     F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-                    (F.coalesce("count", F.lit(0)) / (F.col("_n") * (F.col("_hi") - F.col("_lo")) / bins)).alias("density")))
+                    F.try_divide(F.coalesce("count", F.lit(0)), F.col("_n") * (F.col("_hi") - F.col("_lo")) / bins).alias("density")))
 
 
 def density_normal_overlay(spectra: DataFrame, points: int = 100) -> DataFrame:
@@ -150,13 +150,13 @@ def kde_curve(spectra: DataFrame, gridsize: int = 200, cut: float = 3.0) -> Data
     st = (st.withColumn("_a", F.col("_lo") - cut * F.col("_bw"))
           .withColumn("_step", (F.col("_hi") + cut * F.col("_bw") - F.col("_a")) / (gridsize - 1)))
     grid_idx = F.sequence(F.lit(0), F.lit(gridsize - 1))
-    contrib = F.transform(grid_idx, lambda k: F.exp(-0.5 * F.pow((F.col("_a") + k * F.col("_step") - F.col("target")) / F.col("_bw"), 2)))
+    contrib = F.transform(grid_idx, lambda k: F.exp(-0.5 * F.pow(F.try_divide(F.col("_a") + k * F.col("_step") - F.col("target"), F.col("_bw")), 2)))
     rows = (spectra.where(F.col("target").isNotNull()).join(F.broadcast(st), "dataset")
             .select("dataset", "_n", "_bw", "_a", "_step", F.posexplode(contrib).alias("k", "c")))
     return (rows.groupBy("dataset", "k").agg(F.sum("c").alias("_s"), F.first("_n").alias("_n"), F.first("_bw").alias("_bw"),
                                             F.first("_a").alias("_a"), F.first("_step").alias("_step"))
             .select("dataset", "k", (F.col("_a") + F.col("k") * F.col("_step")).alias("x"),
-                    (F.col("_s") / (F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi))).alias("density")))
+                    F.try_divide(F.col("_s"), F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi)).alias("density")))
 
 
 # ----------------------------------------------------------------- per band
@@ -192,7 +192,7 @@ def band_quartile_envelope(spectra: DataFrame, sample_rank: int = 1) -> DataFram
 
 def band_cv(spectra: DataFrame) -> DataFrame:
     st = band_stats(spectra)
-    return st.select("dataset", "band", (F.col("std_samp") / F.col("mean") * 100).alias("cv"))
+    return st.select("dataset", "band", (F.try_divide("std_samp", "mean") * 100).alias("cv"))
 
 
 def band_cv_high(spectra: DataFrame, quantile: float = 0.9) -> DataFrame:
@@ -235,7 +235,7 @@ def reflectance_extent(spectra: DataFrame) -> DataFrame:
     means = st.groupBy("dataset").agg(F.avg("mean").alias("mean_of_means"), F.avg("std_samp").alias("mean_of_stds"))
     return (ext.join(means, "dataset")
             .withColumn("refl_range", F.col("refl_max") - F.col("refl_min"))
-            .withColumn("refl_cv", F.col("mean_of_stds") / F.col("mean_of_means") * 100))
+            .withColumn("refl_cv", F.try_divide("mean_of_stds", "mean_of_means") * 100))
 
 
 def spectral_resolution(bands: DataFrame) -> DataFrame:
@@ -391,8 +391,8 @@ def dataset_comparison(spectra: DataFrame) -> DataFrame:
     base = spectra.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("n_samples"), F.max(F.size("spectrum")).alias("n_features"),
         F.avg(t).alias("target_mean"), F.stddev_samp(t).alias("target_std"),
-        (F.max(t) - F.min(t)).alias("target_range"), (F.stddev_samp(t) / F.avg(t) * 100).alias("target_cv"),
-        F.skewness(t).alias("target_skewness"), (F.max(t) / F.min(t)).alias("_dyn"))
+        (F.max(t) - F.min(t)).alias("target_range"), (F.try_divide(F.stddev_samp(t), F.avg(t)) * 100).alias("target_cv"),
+        F.skewness(t).alias("target_skewness"), F.try_divide(F.max(t), F.min(t)).alias("_dyn"))
     ext = reflectance_extent(spectra).select("dataset", "refl_range", "refl_max", "mean_of_means")
     outl = z_outlier_counts(spectra).select("dataset", "outliers_2std", "outliers_3std")
     corr = band_target_corr(spectra).groupBy("dataset").agg(F.max("abs_r").alias("max_correlation"),

@@ -18,7 +18,8 @@ from prismlake.functions.normal import norm_ppf
 
 GRID_POINTS = 41
 LAMBDA_RANGE = (-2.0, 2.0)
-REFINEMENTS = 4
+FINAL_STEP = 1e-4
+MAX_PASSES = 60
 # Fixed values of the quantile-to-normal mapping.
 N_QUANTILES = 1000
 BOUNDS_THRESHOLD = 1e-7
@@ -58,19 +59,24 @@ def power_lambdas(df: DataFrame, method: str = "auto") -> DataFrame:
     info = info.withColumn("center", F.lit(0.0)).withColumn("step", F.lit((LAMBDA_RANGE[1] - LAMBDA_RANGE[0]) / (GRID_POINTS - 1)))
     half = (GRID_POINTS - 1) // 2
     best = None
-    for _ in range(REFINEMENTS):
+    for _ in range(MAX_PASSES):
         info = info.checkpoint(eager=True)          # tiny: one row per dataset
+        if info.where(F.col("step") > FINAL_STEP).isEmpty():
+            break
         lams = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.col("center") + k * F.col("step"))
-        rows = (base.join(F.broadcast(info.select("dataset", "method", "center", "step")), "dataset")
+        rows = (base.join(info.select("dataset", "method", "center", "step"), "dataset")
                 .select("dataset", F.posexplode(F.transform(lams, lambda lam: F.struct(
                     lam.alias("lam"), _transform(F.col("method"), F.col("target"), lam).alias("t")))).alias("k", "v")))
         sums = rows.groupBy("dataset", "k").agg(F.first("v.lam").alias("lam"), F.var_pop("v.t").alias("var_t"))
         llf = sums.join(info, "dataset").withColumn("llf", F.when(
             F.col("method") == "box-cox", (F.col("lam") - 1) * F.col("sum_log")).otherwise((F.col("lam") - 1) * F.col("sum_slog"))
             - F.col("n") / 2 * F.log(F.col("var_t")))
-        best = llf.groupBy("dataset").agg(F.max_by(F.struct("lam", "llf"), "llf").alias("b"))
-        info = (info.drop("center").join(best.select("dataset", F.col("b.lam").alias("center")), "dataset")
-                .withColumn("step", F.col("step") / ((GRID_POINTS - 1) / 4)))
+        best = llf.groupBy("dataset").agg(F.max_by(F.struct("lam", "k"), "llf").alias("b"))
+        # a maximum at the end of the grid moves the grid on (twice as wide); one inside it narrows the grid
+        at_end = F.col("b.k").isin(0, 2 * half)
+        info = (info.drop("center").join(best, "dataset")
+                .withColumn("center", F.coalesce(F.col("b.lam"), F.lit(1.0)))
+                .withColumn("step", F.when(at_end, F.col("step") * 2).otherwise(F.col("step") / ((GRID_POINTS - 1) / 4))).drop("b"))
     return info.select("dataset", "method", F.col("center").alias("lambda"))
 
 
@@ -80,7 +86,7 @@ def power_transform(df: DataFrame, method: str = "auto", standardize: bool = Tru
     out = df.join(lam, "dataset").withColumn("y_power", _transform(F.col("method"), F.col("target"), F.col("lambda")))
     if standardize:
         st = out.groupBy("dataset").agg(F.avg("y_power").alias("_m"), F.stddev_pop("y_power").alias("_s"))
-        out = out.join(st, "dataset").withColumn("y_power", (F.col("y_power") - F.col("_m")) / F.col("_s")).drop("_m", "_s")
+        out = out.join(st, "dataset").withColumn("y_power", F.try_divide(F.col("y_power") - F.col("_m"), F.col("_s"))).drop("_m", "_s")
     return out
 
 
@@ -131,6 +137,6 @@ def target_quantile_normal(df: DataFrame, n_quantiles: int = N_QUANTILES) -> Dat
 def skew_before_after(df: DataFrame, transformed: str = "y_log1p") -> DataFrame:
     """Bias-corrected skewness of the target before and after a transform."""
     n = F.count("target").cast("double")
-    corr = F.sqrt(n * (n - 1)) / (n - 2)
+    corr = F.try_divide(F.sqrt(n * (n - 1)), n - 2)
     return df.groupBy("dataset").agg((F.skewness("target") * corr).alias("skew_before"),
                                      (F.skewness(transformed) * corr).alias("skew_after"))

@@ -151,8 +151,8 @@ def prep_msc(df: DataFrame) -> DataFrame:
     def fit(mm, xm):
         sxy = F.aggregate(F.zip_with(m, s, lambda a, b: (a - mm) * (b - xm)), A.zero(), lambda acc, v: acc + v)
         sxx = F.aggregate(m, A.zero(), lambda acc, a: acc + (a - mm) * (a - mm))
-        return A.let(sxy / sxx, lambda slope: A.let(xm - slope * mm, lambda icept: F.transform(
-            s, lambda x: (x - icept) / slope)))
+        return A.let(F.try_divide(sxy, sxx), lambda slope: A.let(xm - slope * mm, lambda icept: F.transform(
+            s, lambda x: F.try_divide(x - icept, slope))))
 
     out = A.let(A.arr_mean(m), lambda mm: A.let(A.arr_mean(s), lambda xm: fit(mm, xm)))
     return joined.withColumn("spectrum", out).drop("stat")
@@ -297,10 +297,10 @@ def spectrum_stats_columns(spectrum: str = "spectrum", mean=None) -> dict:
     m2 = A.arr_centered_power_sum(s, m, 2) / n
     m3 = A.arr_centered_power_sum(s, m, 3) / n
     m4 = A.arr_centered_power_sum(s, m, 4) / n
-    g1 = m3 / F.pow(m2, 1.5)
-    g2 = m4 / (m2 * m2) - 3.0
-    skew = F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2))
-    kurt = F.when(n >= 4, ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    g1 = F.try_divide(m3, F.pow(m2, 1.5))
+    g2 = F.try_divide(m4, m2 * m2) - 3.0
+    skew = F.when(n >= 3, F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2))
+    kurt = F.when(n >= 4, F.try_divide(((n + 1) * g2 + 6) * (n - 1), (n - 2) * (n - 3)))
     srt = F.array_sort(s)
     first, last = F.element_at(s, 1), F.element_at(s, -1)
     return {
@@ -312,7 +312,7 @@ def spectrum_stats_columns(spectrum: str = "spectrum", mean=None) -> dict:
         "f_q75": _arr_quantile(srt, F.size(s), 0.75),
         "f_range": F.array_max(s) - F.array_min(s),
         "f_entropy": -F.aggregate(s, A.zero(), lambda acc, x: acc + x * F.log(x + F.lit(ENTROPY_EPS))),
-        "f_ratio_start_end": F.when(n > 10, first / (last + F.lit(RATIO_EPS))),
+        "f_ratio_start_end": F.when(n > 10, F.try_divide(first, last + F.lit(RATIO_EPS))),
         "f_slope": F.when(n > 10, (last - first) / n),
     }
 

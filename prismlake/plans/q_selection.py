@@ -76,7 +76,7 @@ def q_fold_history(spark, sf):
 @register("leaderboard_r2", _sql("""select * from (select *, row_number() over (partition by dataset
     order by r2 desc nulls last, preprocessing, model) as rank from met) q where rank <= 15""", _MET), _M)
 def q_leaderboard_r2(spark, sf):
-    return ev.leaderboard_r2(fx.oof(spark, sf))
+    return ev.leaderboard_r2(fx.oof(spark, sf), 15)
 
 
 @register("leaderboard_rpd", _sql("""select *, row_number() over (partition by dataset order by mean_rpd desc nulls last,

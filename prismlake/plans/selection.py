@@ -76,7 +76,8 @@ def _solver(models: list[str], k: int, inner_k: int, tuned: bool):
         for model in models:
             for f in list(range(k)) + [-1]:
                 train = everything - total(lambda ff, j: ff == f) if f >= 0 else everything
-                if train.n < 2:
+                if train.n < 2:                   # the fold fails: its rows keep a null prediction
+                    rows.append((ds, prep, model, f, None, None, None, None))
                     continue
                 scores: dict[str, list[float]] = {}
                 if tuned:
@@ -171,7 +172,7 @@ def loo_linear(spectra: DataFrame, ridge_alpha: float = 0.0) -> DataFrame:
     pred = F.col("b0") + A.arr_dot("spectrum", "coef")
     return (spectra.join(fit, "dataset", "left")
             .select("dataset", "sample_id", F.col("target").alias("y_true"), pred.alias("y_fit"), h.alias("leverage"))
-            .withColumn("y_pred", F.col("y_true") - (F.col("y_true") - F.col("y_fit")) / (1 - F.col("leverage"))))
+            .withColumn("y_pred", F.col("y_true") - (F.col("y_true") - F.col("y_fit")) / F.nullif(1 - F.col("leverage"), F.lit(0.0))))
 
 
 def loo_metrics(loo: DataFrame) -> DataFrame:
@@ -179,12 +180,12 @@ def loo_metrics(loo: DataFrame) -> DataFrame:
     e = F.col("y_pred") - F.col("y_true")
     agg = loo.groupBy("dataset").agg(F.count("y_pred").alias("n"), F.sum(e * e).alias("_sse"),
                                      F.sum(F.abs(e)).alias("_sae"), F.var_pop("y_true").alias("_vt"))
-    rmse = F.sqrt(F.col("_sse") / F.col("n"))
+    rmse = F.sqrt(F.try_divide("_sse", "n"))
     ok = F.col("n") >= 3
     return agg.select("dataset", "n",
-                      F.when(ok & (F.col("_vt") > 0), 1 - F.col("_sse") / (F.col("_vt") * F.col("n"))).alias("r2"),
-                      F.when(ok, rmse).alias("rmse"), F.when(ok, F.col("_sae") / F.col("n")).alias("mae"),
-                      F.when(ok & (rmse > 0), F.sqrt("_vt") / rmse).alias("rpd"))
+                      F.when(ok & (F.col("_vt") > 0), 1 - F.try_divide(F.col("_sse"), F.col("_vt") * F.col("n"))).alias("r2"),
+                      F.when(ok, rmse).alias("rmse"), F.when(ok, F.try_divide("_sae", "n")).alias("mae"),
+                      F.when(ok & (rmse > 0), F.try_divide(F.sqrt("_vt"), rmse)).alias("rpd"))
 
 
 # ----------------------------------------------------------------- importance
@@ -211,7 +212,7 @@ def permutation_importance(spectra: DataFrame, coefs: DataFrame, n_repeats: int
     per = long.groupBy("dataset", "repeat", "band").agg(
         F.sum(e_perm * e_perm).alias("sse_p"), F.sum(e0 * e0).alias("sse_0"), F.var_pop("target").alias("vt"),
         F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("drop", (1 - F.col("sse_0") / (F.col("vt") * F.col("n"))) - (1 - F.col("sse_p") / (F.col("vt") * F.col("n"))))
+    per = per.withColumn("drop", F.try_divide(F.col("sse_p") - F.col("sse_0"), F.col("vt") * F.col("n")))
     return (per.groupBy("dataset", "band").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
             .withColumn("band", F.col("band").cast("int")))
 

@@ -41,24 +41,18 @@ def discover_datasets(spark: SparkSession, path_glob: str, schema: str | None =
 def parse_run_log(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Run-log text -> (…, preprocessing, model, r2, rmse); malformed lines dropped.
 
-    The full pattern is tested once per line (``rlike``); fields then come from
-    cheap splits instead of one regex evaluation per field.
+    A line is split once into label, R2 and RMSE; the pattern is tested in the same
+    filter, and fields are read null-safe, so a malformed line cannot raise.
     """
-    from prismlake.functions.arrays import let
-    line = F.col(line_col)
-
-    def fields(parts):
-        label = parts[0]
-        model = F.substring_index(label, "_", -1)
-        return F.struct(F.expr("1").alias("_"), label.alias("label"), model.alias("model"),
-                        parts[1].try_cast("double").alias("r2"), parts[2].try_cast("double").alias("rmse"))
-
-    parsed = let(F.split(line, ": R2=|, RMSE="), fields)
+    line, parts, label = F.col(line_col), F.col("_parts"), F.col("_label")
     keep = [c for c in lines.columns if c != line_col]
-    out = (lines.where(line.rlike(RUN_LOG_PATTERN)).select(*keep, parsed.alias("_p"))
-           .select(*keep, F.expr("substring(_p.label, 1, length(_p.label) - length(_p.model) - 1)").alias("preprocessing"),
-                   F.col("_p.model").alias("model"), F.col("_p.r2").alias("r2"), F.col("_p.rmse").alias("rmse")))
-    return out.where(F.col("r2").isNotNull() & (F.col("preprocessing") != ""))
+    split = (lines.where(line.rlike(RUN_LOG_PATTERN)).select(*keep, F.split(line, ": R2=|, RMSE=").alias("_parts"))
+             .select(*keep, F.get(parts, 0).alias("_label"), F.get(parts, 1).try_cast("double").alias("r2"),
+                     F.get(parts, 2).try_cast("double").alias("rmse"), F.size(parts).alias("_n")))
+    model = F.substring_index(label, "_", -1)
+    preprocessing = F.expr("left(_label, length(_label) - length(substring_index(_label, '_', -1)) - 1)")
+    out = split.where((F.col("_n") == 3) & F.col("r2").isNotNull() & label.contains("_"))
+    return out.select(*keep, preprocessing.alias("preprocessing"), model.alias("model"), "r2", "rmse").where("preprocessing <> ''")
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
