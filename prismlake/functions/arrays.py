@@ -2,14 +2,20 @@
 
 All helpers build Catalyst higher-order-function expressions (``transform``,
 ``aggregate``, ``zip_with``), so row-local spectral maths stays in the JVM and is
-planned together with the surrounding projection -- no Python per row.
+planned together with the surrounding projection -- no Python per row.  The one
+exception is ``filter_windows``, a matrix product per Arrow batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def zero() -> Column:
@@ -82,24 +88,50 @@ def gather(c: str | Column, idx: str | Column) -> Column:
                        .otherwise(F.element_at(arr, i + 1)))
 
 
-def weighted_windows(c: str | Column, weights: list[list[float]]) -> Column:
-    """Linear filter with position-dependent weights (Savitzky-Golay incl. edges).
+def filter_windows(df: DataFrame, name: str, weights: list[list[float]]) -> DataFrame:
+    """``df`` with the array column ``name`` passed through a linear filter with
+    position-dependent weights (Savitzky-Golay incl. edges).
 
     ``weights[o]`` is the weight row used for an output whose window starts
     ``o`` bands before it.  Window start is clamped to the array so the first and
     last outputs use the end-window fits.  Arrays shorter than the window give
-    null.
-    """
-    w = len(weights)
-    h = w // 2
-    arr = col(c)
-    lit_w = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in weights])
-    n = F.size(arr)
-
-    def out(_, i):
-        start = F.least(F.greatest(i - F.lit(h), F.lit(0)), n - F.lit(w))
-        row = F.element_at(lit_w, i - start + 1)
-        return F.aggregate(F.zip_with(F.slice(arr, start + 1, F.lit(w)), row, lambda a, b: a * b),
-                           F.lit(0.0), lambda acc, x: acc + x)
+    null; a null in a window gives a null output.
 
-    return F.when(n >= F.lit(w), F.transform(arr, out))
+    One matrix product per Arrow batch and array length: nested higher-order
+    functions would be inlined into each other and evaluated again for every band.
+    """
+    table = np.array(weights)
+    w, h = len(table), len(table) // 2
+
+    def rows(x: np.ndarray) -> np.ndarray:
+        inner = np.lib.stride_tricks.sliding_window_view(x, w, axis=1) @ table[h]
+        return np.concatenate([x[:, :w] @ table[:h].T, inner, x[:, -w:] @ table[h + 1:].T], axis=1)
+
+    def filtered(arrays: pa.Array) -> pa.Array:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(arrays), 0))
+        values = pc.cast(arrays.flatten(), pa.float64())
+        starts = np.cumsum(sizes) - sizes
+        plain = np.array(pc.fill_null(values, 0.0))            # a null adds nothing; its windows are masked below
+        missing = np.array(pc.is_null(values)).astype(float)
+        ones = np.ones_like(table)
+        out, gone = np.zeros(len(plain)), np.zeros(len(plain), bool)
+        for n in np.unique(sizes[sizes >= w]):
+            at = starts[sizes == n][:, None] + np.arange(n)
+            out[at] = rows(plain[at])
+            if missing.any():
+                hit = missing[at]
+                inner = np.lib.stride_tricks.sliding_window_view(hit, w, axis=1).any(axis=2)
+                gone[at] = np.concatenate([hit[:, :w] @ ones[:h].T > 0, inner, hit[:, -w:] @ ones[h + 1:].T > 0], axis=1)
+        kept = np.where(sizes >= w, sizes, 0)
+        ends = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+        use = np.repeat(sizes >= w, sizes)
+        flat = pa.array(out[use], pa.float64(), mask=gone[use])
+        return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(sizes < w))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([filtered(c) if n == name else c for n, c in zip(names, batch.columns)], names=names)
+
+    fields = [T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == name else f for f in df.schema.fields]
+    return df.mapInArrow(run, T.StructType(fields))

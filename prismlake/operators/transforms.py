@@ -122,7 +122,7 @@ def savgol_weights(window: int = SG_WINDOW, polyorder: int = SG_POLYORDER, deriv
 
 def prep_sg(df: DataFrame, deriv: int = 0, window: int = SG_WINDOW, polyorder: int = SG_POLYORDER) -> DataFrame:
     w = [list(r) for r in savgol_weights(window, polyorder, deriv)]
-    return _set(df, A.weighted_windows("spectrum", w))
+    return A.filter_windows(df, "spectrum", w)
 
 
 def prep_sg_smooth(df: DataFrame, window: int = SG_WINDOW, polyorder: int = SG_POLYORDER) -> DataFrame:
