@@ -169,7 +169,8 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     # the counts are written tables, so that a frequent anchor's rows can be split in the joins
     again = materialize(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("anchor"))
     runs = materialize(every.join(again, "anchor", "left_semi")
-                       .groupBy("key", "start", "shape", "anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("n")))
+                       # without the anchor as a key the sum needs its own exchange, so the join before it can split a hot anchor
+                       .groupBy("key", "start", "shape", "c1", "c2").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("n")))
     discard(every, again)
     contexts = materialize(runs.groupBy("c1", "c2", "shape", "anchor")
                            .agg(F.sum("n").alias("n"), F.min(F.struct("key", "start")).alias("place")))
