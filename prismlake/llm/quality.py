@@ -27,6 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismlake.functions.arrays import let
 from prismlake.llm.common import WORD_SPACE, text_or_empty
 
 BUCKETS = 8192
@@ -46,45 +47,48 @@ def words_of(text: Column) -> Column:
 
 def bucket_grams(text: Column) -> Column:
     """Buckets of the tokens and token pairs of a text."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
-
     def bucket(*x: Column) -> Column:
         return F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
 
-    return F.concat(F.transform(tokens, lambda a: bucket(a)), F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
-                                                            lambda a, b: F.when(b.isNotNull(), bucket(a, b))))
+    def grams(tokens: Column) -> Column:
+        return F.concat(F.transform(tokens, lambda a: bucket(a)),
+                        F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
+                                   lambda a, b: F.when(b.isNotNull(), bucket(a, b))))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)), grams)
+
+
+def repeated_words(words: Column) -> Column:
+    """Words covered by the word windows that occur twice or more (by 64-bit hash).
 
+    Each array is bound once: an inlined one would be built again for every element."""
+    def windows(w: Column) -> Column:
+        return F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+                      ).otherwise(F.array().cast("array<bigint>"))
 
-def repeated_windows(words: Column, n: Column) -> Column:
-    """64-bit hashes of the word windows of a text."""
-    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-                  ).otherwise(F.array().cast("array<bigint>"))
+    def covered(ordered: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(ordered, i)["h"] == x["h"], F.lit(False))
+        starts = F.array_sort(F.transform(F.filter(ordered, lambda x, i: (same(x, i - 1) & (i > 0)) | same(x, i + 1)), lambda x: x["i"]))
+        return F.aggregate(starts, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")), lambda acc, s: F.struct(
+            s.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), s - acc["last"])).alias("n")))["n"]
 
+    def count(hashes: Column) -> Column:
+        placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(F.array_sort(placed), covered)).otherwise(F.lit(0).cast("long"))
 
-def covered_words(ordered: str) -> Column:
-    """Words covered by the windows that occur twice or more; ``ordered`` names the
-    sorted array of (hash, place) of all windows."""
-    same = lambda x, i: F.coalesce(F.get(ordered, i)["h"] == x["h"], F.lit(False))
-    starts = F.array_sort(F.transform(F.filter(ordered, lambda x, i: (same(x, i - 1) & (i > 0)) | same(x, i + 1)), lambda x: x["i"]))
-    ends = F.aggregate(starts, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")), lambda acc, s: F.struct(
-        s.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), s - acc["last"])).alias("n")))
-    return ends["n"]
+    return let(words, lambda w: let(windows(w), count))
 
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text and the counts of the base rules."""
     df = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_words", words_of(F.col("_text")))
-    df = df.withColumn("n_words", F.size("_words")).withColumn("_grams", repeated_windows(F.col("_words"), F.col("n_words")))
     lines = F.filter(F.split("_text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\x0c\r"))) > 0)
-    twice = F.size(F.array_distinct("_grams")) < F.size("_grams")
-    df = (df.withColumn("_lines", lines)
-          .withColumn("_ordered", F.when(twice, F.array_sort(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
-    return df.select(
-        F.col("_id").alias(id_col), F.col("_text").alias(text_col), F.col("n_words").cast("long").alias("n_words"),
+    return df.withColumn("_lines", lines).select(
+        F.col("_id").alias(id_col), F.col("_text").alias(text_col), F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_ordered").isNull(), F.lit(0).cast("long")).otherwise(covered_words("_ordered")).alias("n_repeat_words"))
+        repeated_words(F.col("_words")).alias("n_repeat_words"))
 
 
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
