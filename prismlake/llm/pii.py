@@ -21,12 +21,14 @@ no rows; other columns are not read, or carried unchanged when redacting.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismlake.functions.arrays import let
 from prismlake.llm.common import prefix_sums, text_or_empty
 
 MIN_SCORE = 0.5
@@ -100,8 +102,8 @@ def _scored(rule: Rule) -> Column:
     """For each match the struct (m, before, ok, score); ``before``: the gap before it."""
     near = "(?i)\\b(?:" + "|".join(rule.words) + ")\\b"
 
-    def one(x: Column, i: Column) -> Column:
-        m, before, after = x["m"], x["before"], F.get("_g", i + 1)
+    def one(x: Column, after: Column) -> Column:
+        m, before = x["m"], x["before"]
         score = F.lit(rule.score)
         if rule.checksum:
             score = score + F.when(rule.checksum(m), rule.checksum_bonus).otherwise(0.0)
@@ -111,13 +113,13 @@ def _scored(rule: Rule) -> Column:
         return F.struct(m.alias("m"), before.alias("before"), ok.alias("ok"), F.round(score, 2).alias("score"))
 
     pairs = F.zip_with(F.slice("_g", 1, F.size("_m")), F.col("_m"), lambda g, m: F.struct(m.alias("m"), g.alias("before")))
-    return F.transform(pairs, one)
+    return F.zip_with(pairs, F.slice("_g", 2, F.size("_m")), one)
 
 
-def _spans(rule: Rule) -> Column:
-    """The kept spans (kind, start, end, score) of ``_scored`` matches in ``_s``."""
-    lengths = F.transform("_s", lambda x: F.length(x["before"]) + F.length(x["m"]))
-    placed = F.zip_with(F.col("_s"), prefix_sums(lengths), lambda x, at: F.struct(
+def _spans(rule: Rule, scored: Column) -> Column:
+    """The kept spans (kind, start, end, score) of scored matches."""
+    lengths = F.transform(scored, lambda x: F.length(x["before"]) + F.length(x["m"]))
+    placed = F.zip_with(scored, let(lengths, lambda x: prefix_sums(x)), lambda x, at: F.struct(
         F.lit(rule.kind).alias("kind"), (at + F.length(x["before"])).alias("start"),
         (at + F.length(x["before"]) + F.length(x["m"])).alias("end"), x["score"].alias("score"), x["ok"].alias("ok")))
     kept = F.filter(placed, lambda x: x["ok"] & (x["score"] >= MIN_SCORE))
@@ -134,7 +136,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     by kind in the order of ``RULES``, then by start; code points, end exclusive."""
     df = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     for rule in RULES:
-        df = _split(df, rule, "_text").withColumn("_s", _scored(rule)).withColumn(rule.kind, _spans(rule)).drop("_m", "_g", "_s")
+        df = _split(df, rule, "_text").withColumn(rule.kind, let(_scored(rule), functools.partial(_spans, rule))).drop("_m", "_g")
     return df.select(F.col("_id").alias(id_col), F.concat(*(F.col(r.kind) for r in RULES)).alias("spans"))
 
 
