@@ -36,8 +36,8 @@ from prismlake.llm.common import text_slices
 
 SAMPLE_PER_LANGUAGE = 4000
 MAX_LANGUAGES = 256
-MAX_WORDS = 100_000
-MAX_GRAMS = 100_000
+MAX_WORDS = 50_000
+MAX_GRAMS = 50_000
 MAX_GRAM = 4
 SMOOTHING = 0.5
 CACHE_WORDS = 300_000
@@ -147,7 +147,8 @@ def _most_frequent(counts: DataFrame, limit: int) -> list[tuple[str, list[tuple[
     """The ``limit`` most frequent items with their count in each language."""
     top = (counts.groupBy("item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
            .orderBy(F.desc("total"), "item").limit(limit))
-    return [(r["item"], [(x["lang"], x["n"]) for x in r["by"]]) for r in top.select("item", "by").collect()]
+    table = top.select("item", F.col("by.lang").alias("langs"), F.col("by.n").alias("counts")).toArrow()
+    return [(item, list(zip(langs, counts))) for item, langs, counts in zip(*(c.to_pylist() for c in table.columns))]
 
 
 def _log_frequencies(items: list[tuple[str, list[tuple[int, int]]]], n_langs: int) -> np.ndarray:
