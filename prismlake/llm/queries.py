@@ -55,6 +55,36 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def _op6_sql() -> str:
+    """The same spans by list functions.  Patterns and limits are stated on their own."""
+    kinds = {
+        "assign": (r"""(?i:(password|passwd|secret|token|api_?key)["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+))""", 6),
+        "access": (r"AKIA[A-Z0-9]+", 20),
+        "hex": (r"[0-9a-f]+", 24),
+        "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+        "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
+        "repo_token": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0),
+        "chat_token": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0),
+    }
+    start = ("(list_sum(list_transform(g[1:i], lambda x: length(x))) + "
+             "coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint")
+    parts = []
+    for order, (kind, (pattern, least)) in enumerate(kinds.items()):
+        size = f"length(regexp_extract(m[i], '{pattern}', 2))" if kind == "assign" else "length(m[i])"
+        parts.append(f"""{kind}_spans as (select doc_id, list_transform(list_filter(range(1, len(m) + 1), lambda i: {size} >= {least}),
+            lambda i: {{'s': {start}, 'o': {order}, 'k': '{kind}', 't': '{kind}:' || {start} || ':' || ({start} + length(m[i]))}}) as s
+            from (select doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') as m,
+                  string_split_regex(coalesce(text, ''), '{pattern}') as g from documents))""")
+    names = list(kinds)
+    joins = " ".join(f"join {k}_spans using (doc_id)" for k in names[1:])
+    listed = "list_concat(" * (len(names) - 1) + f"{names[0]}_spans.s" + "".join(f", {k}_spans.s)" for k in names[1:])
+    text = lambda spans: f"coalesce(array_to_string(list_transform({spans}, lambda x: x.t), ','), '')"
+    return f"""with {', '.join(parts)}, joined as (select doc_id, list_sort({listed}) as s from {names[0]}_spans {joins})
+        select doc_id, {', '.join(f"len(list_filter(s, lambda x: x.k = '{k}'))::bigint as n_{k}" for k in names[:3])},
+               sha256({text("list_filter(s, lambda x: x.o < 3)")}) as base_sha256, {text("s")} as spans
+        from joined"""
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismlake.llm.substrings import remove_repeats
 
@@ -152,4 +182,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
 }
 
-ORACLES: dict[str, str] = {"op5_pii": _op5_sql()}
+ORACLES: dict[str, str] = {"op5_pii": _op5_sql(), "op6_secrets": _op6_sql()}
