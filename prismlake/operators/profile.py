@@ -151,7 +151,7 @@ def kde_curve(spectra: DataFrame, gridsize: int = 200, cut: float = 3.0) -> Data
           .withColumn("_step", (F.col("_hi") + cut * F.col("_bw") - F.col("_a")) / (gridsize - 1)))
     grid_idx = F.sequence(F.lit(0), F.lit(gridsize - 1))
     contrib = F.transform(grid_idx, lambda k: F.exp(-0.5 * F.pow(F.try_divide(F.col("_a") + k * F.col("_step") - F.col("target"), F.col("_bw")), 2)))
-    rows = (spectra.where(F.col("target").isNotNull()).join(F.broadcast(st), "dataset")
+    rows = (spectra.where(F.col("target").isNotNull()).join(st, "dataset")
             .select("dataset", "_n", "_bw", "_a", "_step", F.posexplode(contrib).alias("k", "c")))
     return (rows.groupBy("dataset", "k").agg(F.sum("c").alias("_s"), F.first("_n").alias("_n"), F.first("_bw").alias("_bw"),
                                             F.first("_a").alias("_a"), F.first("_step").alias("_step"))
@@ -211,7 +211,7 @@ def band_cv_top_bottom(spectra: DataFrame, k: int = 5) -> DataFrame:
 def _with_regions(per_band: DataFrame, bands: DataFrame, regions: DataFrame) -> DataFrame:
     """Range join of band wavelength into closed region intervals (a band on an edge
     belongs to both regions).  The region table is a fixed handful of rows."""
-    b = per_band.join(F.broadcast(bands.select("band", "wavelength")), "band")
+    b = per_band.join(bands.select("band", "wavelength"), "band")
     return b.join(F.broadcast(regions), (F.col("wavelength") >= F.col("start")) & (F.col("wavelength") <= F.col("stop")))
 
 

@@ -47,7 +47,7 @@ def svr_cv(mapped: DataFrame, k: int = 5, C: float = SVR_C, eps: float = SVR_EPS
     for _ in range(max_iter):
         cur = as_frame(coef)
         r = F.col("target") - (F.col("b") + A.arr_dot("spectrum", "w"))
-        active = (train.join(F.broadcast(cur), ["dataset", "cv"])      # one row per (dataset, fold): small
+        active = (train.join(cur, ["dataset", "cv"])      # one row per (dataset, fold): small
                   .withColumn("_r", r).where(F.abs("_r") > eps)
                   .withColumn("t", F.col("target") - F.lit(eps) * F.signum("_r")))
         cells = {(g["dataset"], g["cv"]): (g["p"], g["g"])
@@ -76,6 +76,6 @@ def svr_cv(mapped: DataFrame, k: int = 5, C: float = SVR_C, eps: float = SVR_EPS
             break
     train.unpersist()
     final = as_frame(coef)
-    return (rows.join(F.broadcast(final), (rows["dataset"] == final["dataset"]) & (rows["fold"] == final["cv"]))
+    return (rows.join(final, (rows["dataset"] == final["dataset"]) & (rows["fold"] == final["cv"]))
             .select(rows["dataset"], rows["sample_id"], rows["fold"], F.col("target").alias("y_true"),
                     (F.col("b") + A.arr_dot("spectrum", "w")).alias("y_pred")))

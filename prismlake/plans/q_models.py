@@ -172,7 +172,7 @@ def q_metric_melt(spark, sf):
     from prismlake.operators import profile as pf
     st = pf.band_stats(fx.spectra(spark, sf)).select("dataset", "band", "mean", "std_samp", "var_pop")
     long = st.unpivot(["dataset", "band"], ["mean", "std_samp", "var_pop"], "metric", "value")
-    return long.join(F.broadcast(fx.bands(spark)), "band").select("dataset", "band", "wavelength", "metric", "value")
+    return long.join(fx.bands(spark), "band").select("dataset", "band", "wavelength", "metric", "value")
 
 
 # ----------------------------------------------------------------- prediction

@@ -35,7 +35,7 @@ def spectrum_to_long(spectra: DataFrame, bands: DataFrame | None = None,
     if bands is None:
         return long.select(*[c for c in keep if c != "target"], "band", "value",
                            *(["target"] if "target" in keep else []))
-    out = long.join(F.broadcast(bands.select("band", "wavelength")), "band")
+    out = long.join(bands.select("band", "wavelength"), "band")
     return out.select(*[c for c in keep if c != "target"], "band", "wavelength", "value",
                       *(["target"] if "target" in keep else []))
 
