@@ -37,6 +37,8 @@ HEADLINE = [
     "loo_metrics",
     "permutation_importance",
     "batch_predict",
+    "prep_smoothed_variants",
+    "loo_pls",
 ]
 
 
