@@ -23,7 +23,7 @@ WORD_SPACE = "\\x20\\x09-\\x0D"
 WORD_PATTERN = f"[^{WORD_SPACE}]+"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -40,7 +40,7 @@ MAX_WORDS = 50_000
 MAX_GRAMS = 50_000
 MAX_GRAM = 4
 SMOOTHING = 0.5
-CACHE_WORDS = 300_000
+CACHE_WORDS = 50_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
