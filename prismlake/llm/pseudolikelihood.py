@@ -9,10 +9,10 @@ log-probabilities.
 * The network has token embeddings, one hidden layer and a two-step softmax: a token's
   class (of ``CLASSES``), then its member within the class.
 * Training goes over all documents in ``ROUNDS`` passes.  In a pass every partition starts
-  from the common weights and trains on its own texts (every ``STRIDE``-th token position,
-  from another start in each pass, so what is learned from grows with the corpus); the
-  partitions' weights are averaged, weighted by their positions, in a shuffled sum that
-  returns one value per weight.
+  from the common weights and trains on its own texts (every ``ROUNDS``-th token of each
+  text, from another start in each pass, so that the passes together train on every token
+  once); the partitions' weights are averaged, weighted by their positions, in a shuffled
+  sum that returns one value per weight.
 * Scoring is one pass with fixed weights, whole texts, in blocks of positions.
 
 Edge cases: a null or wordless text has no tokens, sum 0 and a null mean; an empty
@@ -41,7 +41,6 @@ CONTEXT = 2
 EMBEDDING = 12
 HIDDEN = 32
 ROUNDS = 2
-STRIDE = 8
 BATCH = 512                # positions of a training step
 BLOCK = 1 << 13            # positions scored at once
 RATE = 0.05
@@ -132,6 +131,14 @@ def positions(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return row, np.flatnonzero(row != _PAD)
 
 
+def targets(at: np.ndarray, sizes: list[int], turn: int, rounds: int) -> np.ndarray:
+    """The places a pass trains on: every ``rounds``-th token of each text, counted in the
+    text itself, so that they do not depend on how texts are put in a row."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    inside = np.arange(len(at)) - np.repeat(ends - sizes, sizes)
+    return at[inside % rounds == turn]
+
+
 def contexts(row: np.ndarray, at: np.ndarray) -> np.ndarray:
     offsets = [k for k in range(-CONTEXT, CONTEXT + 1) if k]
     return row[at[:, None] + np.array(offsets)]
@@ -165,8 +172,9 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
             network, n = Network(start), 0
             for part in text_slices(batches):
-                row, at = positions([vocabulary.tokens(t) for t in part.column("text").to_pylist()])
-                at = np.random.default_rng(len(at)).permutation(at[turn::STRIDE])
+                tokens = [vocabulary.tokens(t) for t in part.column("text").to_pylist()]
+                row, at = positions(tokens)
+                at = np.random.default_rng(len(at)).permutation(targets(at, [len(t) for t in tokens], turn, rounds))
                 for k in range(0, len(at), BATCH):
                     network.step(contexts(row, at[k:k + BATCH]), row[at[k:k + BATCH]])
                 n += len(at)

@@ -419,6 +419,21 @@ def test_pseudo_likelihood(sample, nothing, tricky):
     assert got[4]["n_tokens"] == 0 and got[4]["log_likelihood"] == 0 and got[4]["mean_log_likelihood"] is None
 
 
+def test_pseudo_likelihood_trains_on_every_token(spark):
+    from prismlake.llm import pseudolikelihood as pl
+
+    words = ["a", "b", "c", "d", "e", "f"]
+    vocabulary = pl.Vocabulary(words)
+    texts = spark.createDataFrame([(" ".join(words),)], "text string")
+    bias = pl.Network(pl.train(texts, vocabulary, 1)).w["b3"][0]        # a target's first step raises its bias
+    assert (bias[:6] > 0).all() and (bias[6:] < 0).all()
+    tokens = [vocabulary.tokens(t) for t in ("a b c", "", "d", "a b c d e f f")]
+    row, at = pl.positions(tokens)
+    for rounds in (1, 2, 3):
+        parts = [pl.targets(at, [len(t) for t in tokens], turn, rounds) for turn in range(rounds)]
+        assert sorted(np.concatenate(parts).tolist()) == at.tolist()
+
+
 def test_registered_sql_matches(spark):
     import duckdb
 
