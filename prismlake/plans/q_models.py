@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from prismlake.operators import evaluate as ev
@@ -28,9 +30,9 @@ def _one_band(spark, sf):
     return fx.spectra(spark, sf).withColumn("spectrum", F.array(F.col("spectrum")[BAND]))
 
 
-def _predictions(spark, sf):
-    s1 = _one_band(spark, sf)
-    return pr.batch_predict(s1, pr.fit_linear(s1, "ols"))
+def _predictions(spark, sf, cut):
+    spectra = cut(spark, sf)
+    return pr.batch_predict(spectra, pr.fit_linear(spectra, "ols"))
 
 
 # ----------------------------------------------------------------- cross-validation
@@ -116,8 +118,8 @@ _LOO = ("loo", """select fo.dataset, fo.sample_id, fo.target as y_true, f.a + f.
 
 @register("loo_predictions", duck_with("select * from loo", "spectra", extra=[_FOLDS, _FIT_ALL, _LOO]),
           ["y_true", "y_fit", "leverage", "y_pred"])
-def q_loo_predictions(spark, sf):
-    return sel.loo_linear(_one_band(spark, sf))
+def q_loo_predictions(spark, sf, cut=_one_band):
+    return sel.loo_linear(cut(spark, sf))
 
 
 _LOO_METRICS = """select dataset, n, case when vt > 0 then 1 - sse / (vt * n) end as r2, sqrt(sse / n) as rmse, sae / n as mae,
@@ -127,14 +129,14 @@ _LOO_METRICS = """select dataset, n, case when vt > 0 then 1 - sse / (vt * n) en
 
 
 @register("loo_metrics", duck_with(_LOO_METRICS, "spectra", extra=[_FOLDS, _FIT_ALL, _LOO]), ["r2", "rmse", "mae", "rpd"])
-def q_loo_metrics(spark, sf):
-    return sel.loo_metrics(sel.loo_linear(_one_band(spark, sf)))
+def q_loo_metrics(spark, sf, cut=_one_band):
+    return sel.loo_metrics(sel.loo_linear(cut(spark, sf)))
 
 
 @register("loo_run_summary", duck_with("select dataset, 'ols' as model, r2, rmse, n from (" + _LOO_METRICS + ") m",
                                        "spectra", extra=[_FOLDS, _FIT_ALL, _LOO]), ["r2", "rmse"])
-def q_loo_run_summary(spark, sf):
-    m = sel.loo_metrics(sel.loo_linear(_one_band(spark, sf)))
+def q_loo_run_summary(spark, sf, cut=_one_band):
+    m = sel.loo_metrics(sel.loo_linear(cut(spark, sf)))
     return m.select("dataset", F.lit("ols").alias("model"), "r2", "rmse", "n")
 
 
@@ -179,15 +181,15 @@ def q_metric_melt(spark, sf):
 
 @register("batch_predict", duck_with("select dataset, sample_id, target, y_pred from pred", "spectra",
                                      extra=[_FOLDS, _FIT_ALL, _PRED]), ["target", "y_pred"])
-def q_batch_predict(spark, sf):
-    return _predictions(spark, sf).select("dataset", "sample_id", "target", "y_pred")
+def q_batch_predict(spark, sf, cut=_one_band):
+    return _predictions(spark, sf, cut).select("dataset", "sample_id", "target", "y_pred")
 
 
 @register("prediction_summary", duck_with("""select dataset, avg(y_pred) as mean_pred, stddev_pop(y_pred) as std_pred,
     min(y_pred) as min_pred, max(y_pred) as max_pred, count(y_pred) as n_pred from pred group by dataset""",
     "spectra", extra=[_FOLDS, _FIT_ALL, _PRED]), ["mean_pred", "std_pred", "min_pred", "max_pred"])
-def q_prediction_summary(spark, sf):
-    return pr.prediction_summary(_predictions(spark, sf))
+def q_prediction_summary(spark, sf, cut=_one_band):
+    return pr.prediction_summary(_predictions(spark, sf, cut))
 
 
 @register("residuals", duck_with("""select p.dataset, p.sample_id, row_number() over (partition by p.dataset order by p.sample_id) as sample,
@@ -195,8 +197,8 @@ def q_prediction_summary(spark, sf):
     from pred p join (select dataset, greatest((greatest(max(target), max(y_pred)) - least(min(target), min(y_pred))) * 0.05, 1e-6)
       as axis_pad from pred group by dataset) a on p.dataset = a.dataset""",
     "spectra", extra=[_FOLDS, _FIT_ALL, _PRED]), ["actual", "y_pred", "residual", "abs_residual", "axis_pad"])
-def q_residuals(spark, sf):
-    return pr.residuals(_predictions(spark, sf))
+def q_residuals(spark, sf, cut=_one_band):
+    return pr.residuals(_predictions(spark, sf, cut))
 
 
 _CAL = ("cal", "select dataset, regr_slope(y_pred, target) as cal_slope, regr_intercept(y_pred, target) as cal_intercept "
@@ -205,8 +207,8 @@ _CAL = ("cal", "select dataset, regr_slope(y_pred, target) as cal_slope, regr_in
 
 @register("calibration_fit", duck_with("select * from cal", "spectra", extra=[_FOLDS, _FIT_ALL, _PRED, _CAL]),
           ["cal_slope", "cal_intercept"])
-def q_calibration_fit(spark, sf):
-    return pr.calibration_fit(_predictions(spark, sf))
+def q_calibration_fit(spark, sf, cut=_one_band):
+    return pr.calibration_fit(_predictions(spark, sf, cut))
 
 
 @register("calibrate_predictions", duck_with("""
@@ -216,8 +218,8 @@ def q_calibration_fit(spark, sf):
             (case when abs(c.cal_slope) > 1e-9 then (p.y_pred - c.cal_intercept) / c.cal_slope else p.y_pred end) - p.target as d
           from pred p join cal c on p.dataset = c.dataset) q group by dataset""",
     "spectra", extra=[_FOLDS, _FIT_ALL, _PRED, _CAL]), ["mae", "rmse", "bias", "r2"])
-def q_calibrate_predictions(spark, sf):
-    return pr.calibrate_predictions(_predictions(spark, sf))[1]
+def q_calibrate_predictions(spark, sf, cut=_one_band):
+    return pr.calibrate_predictions(_predictions(spark, sf, cut))[1]
 
 
 @register("map_actuals", duck_with("""
@@ -226,17 +228,16 @@ def q_calibrate_predictions(spark, sf):
     from (select p.*, c.cal_slope * p.target + c.cal_intercept as mapped, p.y_pred - (c.cal_slope * p.target + c.cal_intercept) as d
           from pred p join cal c on p.dataset = c.dataset) q group by dataset""",
     "spectra", extra=[_FOLDS, _FIT_ALL, _PRED, _CAL]), ["mae", "rmse", "bias", "r2"])
-def q_map_actuals(spark, sf):
-    return pr.map_actuals(_predictions(spark, sf))[1]
+def q_map_actuals(spark, sf, cut=_one_band):
+    return pr.map_actuals(_predictions(spark, sf, cut))[1]
 
 
 # ----------------------------------------------------------------- model bundle
 
-def _bundle(spark, sf):
+def _bundle(spark, sf, cut):
     """Write model table, band table and run log under the shared scratch folder; read back."""
-    s1 = _one_band(spark, sf)
     root = files.scratch_path(spark, "bundle")
-    pr.fit_linear(s1, "ols").write.mode("overwrite").parquet(f"{root}/model")
+    pr.fit_linear(cut(spark, sf), "ols").write.mode("overwrite").parquet(f"{root}/model")
     fx.bands(spark).write.mode("overwrite").parquet(f"{root}/bands")
     fx.run_log_lines(spark, sf).write.mode("overwrite").partitionBy("dataset").text(f"{root}/run_log")
     model = spark.read.parquet(f"{root}/model")
@@ -250,7 +251,7 @@ def _bundle(spark, sf):
     from fit_all f join (select dataset, count(*) as n_log_lines from run_log_lines group by dataset) l on f.dataset = l.dataset""",
     "spectra", "run_log_lines", extra=[_FOLDS, _FIT_ALL]), ["intercept", "coef0"])
 def q_write_model_bundle(spark, sf):
-    model, _bands, log = _bundle(spark, sf)
+    model, _bands, log = _bundle(spark, sf, _one_band)
     counts = log.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_log_lines"))
     return model.select("dataset", "model", "intercept", F.col("coef")[0].alias("coef0")).join(counts, "dataset")
 
@@ -298,8 +299,8 @@ def q_model_gbt(spark, sf):
 
 @register("stream_batch_predict", duck_with("select dataset, sample_id, target, y_pred from pred", "spectra",
                                             extra=[_FOLDS, _FIT_ALL, _PRED]), ["target", "y_pred"])
-def q_stream_batch_predict(spark, sf):
-    """Single-band OLS scoring of spectra arriving as a file stream of ``embeddings``."""
+def q_stream_batch_predict(spark, sf, cut=_one_band):
+    """OLS scoring (single-band, or all bands) of spectra arriving as a file stream of ``embeddings``."""
     from prismlake.streaming.scoring import run_available_now, stream_predict
     emb = fx.table(spark, sf, "embeddings")
     stream = spark.readStream.schema(emb.schema).parquet(f"{sf}/embeddings.parque[t]")
@@ -308,9 +309,9 @@ def q_stream_batch_predict(spark, sf):
         return df.selectExpr(
             "concat('T', cast(1 + label % 5 as string)) as dataset", "vec_id as sample_id",
             "transform(embedding, e -> 0.5D + 0.5D * cast(e as double)) as spectrum").selectExpr(
-            "dataset", "sample_id", f"array(spectrum[{BAND}]) as spectrum",
+            "dataset", "sample_id", f"array(spectrum[{BAND}]) as spectrum" if cut is _one_band else "spectrum",
             "20D + 40D*spectrum[5] - 25D*spectrum[20] + 30D*spectrum[40]*spectrum[50] + 2D*((sample_id*7919) % 101)/101D as target")
-    models = pr.fit_linear(_one_band(spark, sf), "ols")
+    models = pr.fit_linear(cut(spark, sf), "ols")
     sink = run_available_now(spark, stream_predict(stream, models, to_spectra))
     return spark.read.parquet(sink).select("dataset", "sample_id", "target", "y_pred")
 
@@ -348,3 +349,19 @@ def q_model_svr(spark, sf):
     mapped = nystrom_map(prepared, "rbf")
     return (svr_cv(mapped).withColumn("preprocessing", F.lit("Absorbance")).withColumn("model", F.lit("svr"))
             .select("dataset", "preprocessing", "model", "fold", "sample_id", "y_true", "y_pred"))
+
+
+# ----------------------------------------------------------------- the whole spectrum
+
+# The SQL of these queries is stated for band ``BAND``; under ``..._all_bands`` the same
+# functions run on whole spectra with a multi-band model.
+for _q in (q_loo_predictions, q_loo_metrics, q_loo_run_summary, q_batch_predict, q_prediction_summary, q_residuals,
+           q_calibration_fit, q_calibrate_predictions, q_map_actuals, q_stream_batch_predict):
+    register(f"{_q.__name__[2:]}_all_bands", None, note="multi-band OLS on all bands")(functools.partial(_q, cut=fx.spectra))
+
+
+@register("write_model_bundle_all_bands", None, note="multi-band OLS on all bands, with every coefficient")
+def q_write_model_bundle_all_bands(spark, sf):
+    model, _bands, log = _bundle(spark, sf, fx.spectra)
+    counts = log.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_log_lines"))
+    return model.select("dataset", "model", "intercept", "coef").join(counts, "dataset")
