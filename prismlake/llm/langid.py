@@ -7,8 +7,8 @@ sums over all words of a document give the language and its posterior probabilit
 
 The classifier is fitted on a bounded sample of labelled rows: about
 ``SAMPLE_PER_LANGUAGE`` documents of each language, drawn by a hash of the row (all, if
-there are fewer); it keeps at most ``MAX_LANGUAGES`` languages and the ``MAX_WORDS`` and
-``MAX_GRAMS`` most frequent words and n-grams, so that the model has a bounded size.
+there are fewer); it keeps at most ``MAX_LANGUAGES`` languages, and every word and n-gram
+of the sample, as 64-bit hashes with the log frequencies in the languages that have it.
 Every document is scored whole.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every
@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +37,11 @@ from prismlake.llm.common import text_slices
 
 SAMPLE_PER_LANGUAGE = 4000
 MAX_LANGUAGES = 256
-MAX_WORDS = 50_000
-MAX_GRAMS = 50_000
 MAX_GRAM = 4
 SMOOTHING = 0.5
 CACHE_WORDS = 50_000
+NEW_WORDS = 4096           # words that are looked up at once
+HASH_SEED = 42             # of Spark's xxhash64
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,19 +59,92 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i:i + n] for i in range(len(marked) - n + 1)]
 
 
+def hashes_of(items: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x.encode(), HASH_SEED) for x in items), np.uint64, len(items)).view(np.int64)
+
+
+@dataclass
+class Index:
+    """Rows of items in the table, found by the items' hashes (sorted)."""
+
+    keys: np.ndarray
+    first: int                                 # row of the first key
+
+    def find(self, items: list[str]) -> np.ndarray:
+        """The row of each item, -1 if it is not known."""
+        hashes = hashes_of(items)
+        if not len(self.keys):
+            return np.full(len(items), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at + self.first, -1)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __contains__(self, item: str) -> bool:
+        return self.find([item])[0] >= 0
+
+    def __getitem__(self, item: str) -> int:
+        row = int(self.find([item])[0])
+        if row < 0:
+            raise KeyError(item)
+        return row
+
+
+@dataclass
+class Table:
+    """Log frequency by item and language.  Languages that do not have an item share the
+    value ``base`` of its kind (words, or n-grams of a length); only the others are kept."""
+
+    base: np.ndarray                           # by kind and language
+    kind: np.ndarray                           # of each row
+    edges: np.ndarray                          # the entries of row r are edges[r] to edges[r + 1]
+    langs: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.kind)
+
+    def __getitem__(self, rows) -> np.ndarray:
+        rows = np.asarray(rows, np.int64)
+        out = self.base[self.kind[rows]]
+        sizes = self.edges[rows + 1] - self.edges[rows]
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.edges[rows][owner]
+        out[owner, self.langs[at]] = self.values[at]
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, int]                      # row in ``table``
-    grams: dict[str, int]
-    table: np.ndarray                          # log frequency by word or n-gram, and language
+    words: Index
+    grams: Index
+    table: Table
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Log frequencies by word and language; of a word not seen, by its n-grams."""
+        at = self.words.find(words)
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        out[at >= 0] = self.table[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
+        for n in range(MAX_GRAM, 0, -1):
+            lists = [grams_of(words[i], n) for i in left.tolist()]
+            owner = np.repeat(np.arange(len(left)), [len(x) for x in lists])
+            found = self.grams.find([g for x in lists for g in x])
+            owner, found = owner[found >= 0], found[found >= 0]
+            if len(found):
+                some, starts, counts = np.unique(owner, return_index=True, return_counts=True)
+                out[left[some]] = np.add.reduceat(self.table[found], starts) / counts[:, None].astype(np.float32)
+                left = np.delete(left, some)
+        return out
+
     def unseen(self, word: str) -> np.ndarray:
         for n in range(MAX_GRAM, 0, -1):
-            rows = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
-            if rows:
-                return self.table[rows].mean(0)
+            found = self.grams.find(grams_of(word, n))
+            if (found >= 0).any():
+                return self.table[found[found >= 0]].mean(0)
         return np.zeros(len(self.languages), np.float32)
 
 
@@ -82,20 +156,19 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        self.rows = dict(self.model.words)
-        self.extra: list[np.ndarray] = []
+        self.places: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.model.languages)), np.float32)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        model, first = self.model, len(self.model.table)
+        model = self.model
         if not model.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if len(self.extra) > CACHE_WORDS:
+        if len(self.places) > CACHE_WORDS:
             self._reset()
         lists = [words_of(t) if t else [] for t in texts]
-        for word in set().union(*lists) - self.rows.keys():
-            self.rows[word] = first + len(self.extra)
-            self.extra.append(model.unseen(word))
-        table = np.concatenate([model.table, np.array(self.extra, np.float32).reshape(-1, len(model.languages))])
+        new = list(set().union(*lists) - self.places.keys())
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        self.table = np.concatenate([self.table, *(model.rows(new[k:k + NEW_WORDS]) for k in range(0, len(new), NEW_WORDS))])
         langs, scores = [], []
         for text, words in zip(texts, lists):
             if not text or not any(map(str.isalpha, text)):
@@ -104,7 +177,7 @@ class Scorer:
                 continue
             total = np.zeros(len(model.languages))
             for k in range(0, len(words), 1 << 16):
-                total += table[list(map(self.rows.__getitem__, words[k:k + (1 << 16)]))].sum(0, dtype=np.float64)
+                total += self.table[list(map(self.places.__getitem__, words[k:k + (1 << 16)]))].sum(0, dtype=np.float64)
             best = int(total.argmax())
             langs.append(model.languages[best])
             scores.append(float(1.0 / np.exp(total - total[best]).sum()))
@@ -143,20 +216,28 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(list(counts.values()), pa.int64())], names=["lang", "item", "n"])
 
 
-def _most_frequent(counts: DataFrame, limit: int) -> list[tuple[str, list[tuple[int, int]]]]:
-    """The ``limit`` most frequent items with their count in each language."""
-    top = (counts.groupBy("item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-           .orderBy(F.desc("total"), "item").limit(limit))
-    table = top.select("item", F.col("by.lang").alias("langs"), F.col("by.n").alias("counts")).toArrow()
-    return [(item, list(zip(langs, counts))) for item, langs, counts in zip(*(c.to_pylist() for c in table.columns))]
+def _counts(counts: DataFrame, size) -> tuple[np.ndarray, ...]:
+    """Kind, hash, language and count of all items of the sample, ordered by hash."""
+    columns = counts.select(size.cast("tinyint").alias("kind"), F.xxhash64("item").alias("key"), F.col("lang").cast("short").alias("lang"), "n").toArrow()
+    kind, key, lang, n = (columns.column(c).to_numpy() for c in ("kind", "key", "lang", "n"))
+    order = np.lexsort((lang, key))
+    return kind[order], key[order], lang[order], n[order]
 
 
-def _log_frequencies(items: list[tuple[str, list[tuple[int, int]]]], n_langs: int) -> np.ndarray:
-    counts = np.zeros((len(items), n_langs))
-    for i, (_, by) in enumerate(items):
-        for lang, n in by:
-            counts[i, lang] = n
-    return np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * max(1, len(items)))).astype(np.float32)
+def _table(groups: list[tuple[np.ndarray, ...]], n_langs: int) -> tuple[list[Index], Table]:
+    """An index for each group of items, and their table."""
+    kind, lang, n = (np.concatenate([g[k] for g in groups]) for k in (0, 2, 3))
+    starts = [np.flatnonzero(np.append(True, g[1][1:] != g[1][:-1])[:len(g[1])]) for g in groups]
+    first = np.cumsum([0, *map(len, starts)])
+    shift = np.cumsum([0, *(len(g[1]) for g in groups)])
+    edges = np.append(np.concatenate([s + k for s, k in zip(starts, shift)]), len(n)).astype(np.int64)
+    row_kind = kind[edges[:-1]]
+    items = np.maximum(1, np.bincount(row_kind, minlength=MAX_GRAM + 1))
+    totals = np.bincount(kind.astype(np.int64) * n_langs + lang, n, (MAX_GRAM + 1) * n_langs).reshape(MAX_GRAM + 1, n_langs)
+    whole = totals + SMOOTHING * items[:, None]
+    values = np.log((n + SMOOTHING) / whole[kind, lang]).astype(np.float32)
+    indexes = [Index(g[1][s], int(k)) for g, s, k in zip(groups, starts, first)]
+    return indexes, Table(np.log(SMOOTHING / whole).astype(np.float32), row_kind, edges, lang, values)
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -165,7 +246,9 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     languages = [r["lang"] for r in sizes]
     if not languages:
-        return Model([], {}, {}, np.zeros((0, 0), np.float32))
+        nothing = np.zeros(0, np.int64)
+        (words, grams), table = _table([(nothing,) * 4] * 2, 0)
+        return Model([], words, grams, table)
     number = F.create_map(*(x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(i))))
     share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))))
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
@@ -173,12 +256,8 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
     counts = "lang int, item string, n long"
     words = sample.mapInArrow(_count_words, counts).groupBy("lang", "item").agg(F.sum("n").alias("n"))
     grams = words.mapInArrow(_count_grams, counts).groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    top_words, top_grams = _most_frequent(words, MAX_WORDS), _most_frequent(grams, MAX_GRAMS)
-    by_size = {n: [g for g in top_grams if len(g[0]) == n] for n in range(1, MAX_GRAM + 1)}
-    table = np.concatenate([_log_frequencies(top_words, len(languages)), *(_log_frequencies(g, len(languages)) for g in by_size.values())])
-    ordered = [g for group in by_size.values() for g, _ in group]
-    return Model(languages, {w: i for i, (w, _) in enumerate(top_words)},
-                 {g: len(top_words) + i for i, g in enumerate(ordered)}, table)
+    (known, parts), table = _table([_counts(words, F.lit(0)), _counts(grams, F.length("item"))], len(languages))
+    return Model(languages, known, parts, table)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -398,6 +398,25 @@ def test_language_edge_cases(tricky, nothing):
     assert known and (model.unseen(word) == model.table[[model.grams[g] for g in known]].mean(0)).all()
 
 
+def test_language_keeps_every_word_of_each_language(spark):
+    from prismlake.llm.langid import Scorer, grams_of, train
+
+    name = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(4))
+    common = [(f"the x{name(i)} y{name(i)}", "large") for i in range(30_000)]
+    rare = [(f"z{name(i)}", "small") for i in range(30)]
+    model = train(spark.createDataFrame(common + rare, "text string, lang string"), per_language=60_000)
+    assert len(model.words) == 60_031 and all(w in model.words for w, _ in rare)
+    assert all(g in model.grams for w, _ in rare for n in range(1, 5) for g in grams_of(w, n))
+    for lang, rows in (("large", common), ("small", rare)):             # recall of each language
+        found = Scorer(model).score([t for t, _ in rows])[0]
+        assert found.count(lang) == len(rows), lang
+    # the compact table agrees with counts over all items
+    whole = np.array([90_000, 30]) + 0.5 * len(model.words)
+    assert np.allclose(model.rows([rare[7][0]])[0], np.log(np.array([0.5, 1.5]) / whole), atol=1e-5)
+    assert np.allclose(model.rows(["the"])[0], np.log(np.array([30_000.5, 0.5]) / whole), atol=1e-5)
+    assert np.allclose(model.rows(["zxaaay"])[0], model.unseen("zxaaay"), atol=1e-5)
+
+
 def test_pseudo_likelihood(sample, nothing, tricky):
     from prismlake.llm import pseudolikelihood as pl
 
