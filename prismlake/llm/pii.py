@@ -2,9 +2,9 @@
 
 Everything is a DataFrame expression: no Python runs on the executors and nothing is
 shuffled.  For each rule the text is split at the rule's matches; the gaps and matches
-give the positions (running sums of their lengths, in code points), the gap before and
-after a match is its context, and a redacted text is put together from them again.
-All of it is linear in the length of a text.
+give the positions (running sums of their lengths, in code points), the text before and
+after a match is its context (it may reach over other matches), and a redacted text is put
+together from them again.  All of it is linear in the length of a text.
 
 Patterns are written for a backtracking engine: possessive where the next character
 decides, and a match may only start where its run of characters starts (or where the
@@ -98,22 +98,39 @@ def _split(df: DataFrame, rule: Rule, text: str) -> DataFrame:
     return found.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, rule.pattern, -1)).otherwise(none))
 
 
+def _contexts() -> Column:
+    """For each match the ``CONTEXT_CHARS`` characters of the text before it and after it,
+    joined by a space.  They may reach over neighbouring matches: as no match is empty, so
+    many neighbours at most; of each only the characters nearest to the match can count."""
+    chars, n = F.lit(CONTEXT_CHARS), F.size("_m")
+    ends = F.zip_with(F.slice("_g", 1, n), F.col("_m"), lambda g, m: F.right(F.concat(g, m), chars))
+    starts = F.zip_with(F.col("_m"), F.slice("_g", 2, n), lambda m, g: F.left(F.concat(m, g), chars))
+
+    def one(i: Column, ends: Column, starts: Column) -> Column:
+        first = F.greatest(i - CONTEXT_CHARS, F.lit(1))
+        before = F.concat(F.array_join(F.slice(ends, first, i - first), ""), F.right(F.element_at("_g", i), chars))
+        after = F.concat(F.left(F.element_at("_g", i + 1), chars), F.array_join(F.slice(starts, i + 1, CONTEXT_CHARS), ""))
+        return F.concat_ws(" ", F.right(before, chars), F.left(after, chars))
+
+    numbers = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return let(ends, lambda e: let(starts, lambda s: F.transform(numbers, lambda i: one(i, e, s))))
+
+
 def _scored(rule: Rule) -> Column:
     """For each match the struct (m, before, ok, score); ``before``: the gap before it."""
     near = "(?i)\\b(?:" + "|".join(rule.words) + ")\\b"
 
-    def one(x: Column, after: Column) -> Column:
+    def one(x: Column, around: Column) -> Column:
         m, before = x["m"], x["before"]
         score = F.lit(rule.score)
         if rule.checksum:
             score = score + F.when(rule.checksum(m), rule.checksum_bonus).otherwise(0.0)
-        around = F.concat_ws(" ", F.right(before, F.lit(CONTEXT_CHARS)), F.left(after, F.lit(CONTEXT_CHARS)))
         score = score + F.when(around.rlike(near), CONTEXT_BONUS).otherwise(0.0)
         ok = rule.valid(m) if rule.valid else F.lit(True)
         return F.struct(m.alias("m"), before.alias("before"), ok.alias("ok"), F.round(score, 2).alias("score"))
 
     pairs = F.zip_with(F.slice("_g", 1, F.size("_m")), F.col("_m"), lambda g, m: F.struct(m.alias("m"), g.alias("before")))
-    return F.zip_with(pairs, F.slice("_g", 2, F.size("_m")), one)
+    return F.zip_with(pairs, _contexts(), one)
 
 
 def _spans(rule: Rule, scored: Column) -> Column:

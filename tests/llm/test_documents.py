@@ -294,6 +294,25 @@ def test_pii_generated_texts_checksums_and_context(spark):
     assert sums == [k * (k - 1) // 2 for k in range(1001)]
 
 
+def test_pii_context_reaches_over_other_matches(spark):
+    from prismlake.llm.pii import CONTEXT_CHARS, find_pii, redact
+
+    one = "123-45-6789"
+    texts = ["SSN: 123-45-6789, 987-65-4321", f"{one} {one} {one} social security", f"ssn{' ' * 36}{one} {one}",
+             f"ssn {'x' * 43} {one}, {one} 5 {one}", f"no {one}, {one}", " ".join([one] * 300) + " ssn"]
+    rng = np.random.default_rng(11)
+    texts += ["".join(rng.choice(["ssn", " ", f" {one} ", "😀", ", ", "x" * 9], rng.integers(0, 40))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        near = lambda m: f"{t[max(0, m.start() - CONTEXT_CHARS):m.start()]} {t[m.end():m.end() + CONTEXT_CHARS]}"  # noqa: B023, E731
+        want[i] = [m.span() for m in re.finditer(r"(?a)\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", t)
+                   if re.search(r"(?ai)\b(ssn|social security)\b", near(m))]
+    assert len(want[0]) == 2 and len(want[1]) == 3 and len(want[5]) == 4
+    assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "ssn"] for r in find_pii(docs).collect()} == want
+    assert redact(docs).where("doc_id = 0").first()["text"] == "SSN: [SSN], [SSN]"
+
+
 SECRETS = (
     ("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
     ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24))
