@@ -11,8 +11,9 @@ decides, and a match may only start where its run of characters starts (or where
 match before ended), so that long runs cost one pass.
 
 Every rule has a base score; a passed checksum and context words within ``CONTEXT_CHARS``
-raise it, and spans from ``MIN_SCORE`` on are kept.  The rules with ``always`` reach it on
-their own; the others need their checksum or their context.
+raise it, and spans from ``MIN_SCORE`` on are kept.  A span that fails its rule's checksum
+is dropped, whatever its context.  The rules with ``always`` reach the score on their own;
+the others need their checksum or their context.
 
 Edge cases: a null text has no spans (and stays null when redacted); spans of a kind
 never overlap, ties cannot occur; repeated rows each give a row; an empty table gives
@@ -64,8 +65,7 @@ class Rule:
     hint: str                                      # a text without this pattern has no span
     valid: Callable[[Column], Column] | None       # a span that fails is dropped
     score: float
-    checksum: Callable[[Column], Column] | None = None
-    checksum_bonus: float = 0.0
+    checksum_bonus: float = 0.0                    # of a span that ``valid`` confirms by a checksum
     words: tuple[str, ...] = field(default=())
 
     @property
@@ -80,7 +80,7 @@ RULES = (
     Rule("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", _ip, 0.6, words=("ip", "host", "address")),
     Rule("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9][ -]?[0-9]", _card, 0.6, words=("card", "credit", "visa", "payment")),
     Rule("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", _phone, 0.6, words=("phone", "call", "tel", "mobile")),
-    Rule("iban", r"\b[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}\b", r"[A-Z][A-Z][0-9][0-9]", None, 0.2, mod97, 0.4,
+    Rule("iban", r"\b[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}\b", r"[A-Z][A-Z][0-9][0-9]", mod97, 0.2, 0.4,
          words=("iban", "account", "bank")),
     Rule("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", None, 0.3, words=("ssn", "social security")),
 )
@@ -122,9 +122,7 @@ def _scored(rule: Rule) -> Column:
 
     def one(x: Column, around: Column) -> Column:
         m, before = x["m"], x["before"]
-        score = F.lit(rule.score)
-        if rule.checksum:
-            score = score + F.when(rule.checksum(m), rule.checksum_bonus).otherwise(0.0)
+        score = F.lit(rule.score + rule.checksum_bonus)
         score = score + F.when(around.rlike(near), CONTEXT_BONUS).otherwise(0.0)
         ok = rule.valid(m) if rule.valid else F.lit(True)
         return F.struct(m.alias("m"), before.alias("before"), ok.alias("ok"), F.round(score, 2).alias("score"))

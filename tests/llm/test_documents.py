@@ -313,6 +313,16 @@ def test_pii_context_reaches_over_other_matches(spark):
     assert redact(docs).where("doc_id = 0").first()["text"] == "SSN: [SSN], [SSN]"
 
 
+def test_pii_context_does_not_replace_a_checksum(spark):
+    from prismlake.llm.pii import find_pii, redact
+
+    texts = ["bank account GB82 WEST 1234 5698 7654 33", "account AB12CDEFGHIJKLMNO", "bank account GB82 WEST 1234 5698 7654 32"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in find_pii(docs).collect()}
+    assert found == {0: [], 1: [], 2: [("iban", 13, 40)]}
+    assert [r["text"] for r in redact(docs).orderBy("doc_id").collect()] == [*texts[:2], "bank account [IBAN]"]
+
+
 SECRETS = (
     ("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
     ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24))
