@@ -11,7 +11,8 @@ the current model, the rows outside the epsilon tube form the active set; the
 Newton step is a ridge-type solve on the Gram of the active rows with targets
 shifted by eps toward the fit.  Each iteration is ONE distributed Gram pass (all
 (dataset, outer fold) problems at once); the small systems are solved on the
-driver; iterations stop when no coefficient moves.
+driver; iterations stop when no coefficient moves, or after ``max_iter``: the column
+``converged`` says for each (dataset, fold) whether its coefficients had come to rest.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ MAX_ITER = 25
 
 def svr_cv(mapped: DataFrame, k: int = 5, C: float = SVR_C, eps: float = SVR_EPSILON,
            max_iter: int = MAX_ITER, tol: float = 1e-9) -> DataFrame:
-    """Out-of-fold SVR predictions.  ``mapped``: (dataset, sample_id, fold, spectrum=features, target)."""
+    """Out-of-fold SVR predictions, with ``converged``.  ``mapped``: (dataset, sample_id, fold, spectrum=features, target)."""
     spark = mapped.sparkSession
     rows = mapped.select("dataset", "sample_id", "fold", "spectrum", "target")
     train = (rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cv"))
@@ -44,6 +45,7 @@ def svr_cv(mapped: DataFrame, k: int = 5, C: float = SVR_C, eps: float = SVR_EPS
         return spark.createDataFrame([(ds, f, float(w[0]), w[1:].tolist()) for (ds, f), w in c.items()],
                                      "dataset STRING, cv INT, b DOUBLE, w ARRAY<DOUBLE>")
 
+    resting = dict.fromkeys(coef, False)
     for _ in range(max_iter):
         cur = as_frame(coef)
         r = F.col("target") - (F.col("b") + A.arr_dot("spectrum", "w"))
@@ -52,12 +54,11 @@ def svr_cv(mapped: DataFrame, k: int = 5, C: float = SVR_C, eps: float = SVR_EPS
                   .withColumn("t", F.col("target") - F.lit(eps) * F.signum("_r")))
         cells = {(g["dataset"], g["cv"]): (g["p"], g["g"])
                  for g in gram_pass(active, ["dataset", "cv"], "spectrum", "t").collect()}
-        moved = 0.0
         new = {}
         for key, w in coef.items():
             m = dims[key[0]]
             if key not in cells:            # every row inside the tube: the fit stands
-                new[key] = w
+                new[key], resting[key] = w, True
                 continue
             p, g = cells[key]
             mo = Moments.from_packed(g, p + 1)
@@ -69,13 +70,14 @@ def svr_cv(mapped: DataFrame, k: int = 5, C: float = SVR_C, eps: float = SVR_EPS
             R = np.eye(m + 1)
             R[0, 0] = 0.0
             sol = np.linalg.lstsq(R + 2 * C * U, 2 * C * rhs, rcond=None)[0]
-            moved = max(moved, float(np.abs(sol - w).max()))
+            resting[key] = float(np.abs(sol - w).max()) < tol
             new[key] = sol
         coef = new
-        if moved < tol:
+        if all(resting.values()):
             break
     train.unpersist()
-    final = as_frame(coef)
+    done = spark.createDataFrame([(ds, f, ok) for (ds, f), ok in resting.items()], "dataset STRING, cv INT, converged BOOLEAN")
+    final = as_frame(coef).join(done, ["dataset", "cv"])
     return (rows.join(final, (rows["dataset"] == final["dataset"]) & (rows["fold"] == final["cv"]))
             .select(rows["dataset"], rows["sample_id"], rows["fold"], F.col("target").alias("y_true"),
-                    (F.col("b") + A.arr_dot("spectrum", "w")).alias("y_pred")))
+                    (F.col("b") + A.arr_dot("spectrum", "w")).alias("y_pred"), "converged"))

@@ -348,7 +348,7 @@ def q_model_svr(spark, sf):
     prepared = sel.prepare(fx.spectra(spark, sf), ["Absorbance"])
     mapped = nystrom_map(prepared, "rbf")
     return (svr_cv(mapped).withColumn("preprocessing", F.lit("Absorbance")).withColumn("model", F.lit("svr"))
-            .select("dataset", "preprocessing", "model", "fold", "sample_id", "y_true", "y_pred"))
+            .select("dataset", "preprocessing", "model", "fold", "sample_id", "y_true", "y_pred", "converged"))
 
 
 # ----------------------------------------------------------------- the whole spectrum

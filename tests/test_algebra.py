@@ -340,3 +340,28 @@ def test_all_bands_queries_use_the_whole_spectrum(spark):
     for i in range(5):
         beta = np.linalg.lstsq(np.delete(X, i, 0), np.delete(y, i), rcond=None)[0]
         assert abs(loo[first["sample_id"].iloc[i]] - X[i] @ beta) < 1e-4
+
+
+@pytest.mark.parametrize("model, params", [("rf", {"numTrees": 5, "maxDepth": 4}), ("gbr", {"maxIter": 3, "subsamplingRate": 0.5})])
+def test_tree_models_do_not_depend_on_the_layout(spark, model, params):
+    from prismlake.operators.trees import cv_tree_model
+
+    rng = np.random.default_rng(12)
+    X = rng.random((90, 6))
+    df = _spectra_df(spark, X, X @ np.arange(6) + rng.random(90)).selectExpr(
+        "dataset", "'none' as preprocessing", "sample_id", "cast(sample_id % 3 as int) as fold", "spectrum", "target")
+    layouts = [df.coalesce(1), df.repartition(7), df.orderBy(F.desc("sample_id"))]
+    got = [{r["sample_id"]: r["y_pred"] for r in cv_tree_model(d, model, params, k=3)[0].collect()} for d in layouts]
+    assert len(got[0]) == 90
+    for other in got[1:]:
+        assert all(abs(other[i] - y) < 1e-9 for i, y in got[0].items())
+
+
+def test_svr_says_whether_it_converged(spark):
+    from prismlake.operators.svr import svr_cv
+
+    rng = np.random.default_rng(13)
+    X = rng.random((60, 3))
+    df = _spectra_df(spark, X, X @ [1.0, 2.0, 3.0] + rng.random(60)).selectExpr("*", "cast(sample_id % 2 as int) as fold")
+    flags = lambda n: {r["converged"] for r in svr_cv(df, k=2, max_iter=n).select("converged").distinct().collect()}
+    assert flags(1) == {False} and flags(25) == {True}
