@@ -10,7 +10,8 @@ Where a text has no such cut for long (an unsplit run), the run is *tree
 concatenated*: its halves are encoded on their own, then a window of tokens around
 the join is encoded again and grown until it agrees with the left and the right side
 exactly.  Texts longer than ``LONG_CHARS`` are cut into leaves that different tasks
-encode, and are put together by the same join.
+encode, and are put together by the same join.  Added tokens split a text before all else:
+no cut goes through one, and the window of a join ends at the nearest on either side.
 
 Edge cases: null text is the empty text (no ids); an empty table gives no rows;
 repeated rows each give a row; only the id and text columns are read, so other
@@ -75,6 +76,7 @@ class Codec:
         self.bpe = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=added)
         self.added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.added_ids = added
+        self.special = frozenset(added.values())
         self.table = [b""] * (max([*ranks.values(), *added.values()]) + 1)
         for token, i in ranks.items():
             self.table[i] = token
@@ -108,20 +110,27 @@ class Codec:
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of two adjoining parts of one run: the window around the join grows
-        until its ids agree with both sides (or it holds them whole)."""
+        until its ids agree with both sides (or it holds them whole, up to an added token)."""
         if not left or not right:
             return left + right
         width = WINDOW_TOKENS
         while True:
-            a, b = max(0, len(left) - width), min(width, len(right))
-            while a > 0 and self._inside_char(left[a]):
+            low, high = max(0, len(left) - width), min(width, len(right))
+            a = next((k + 1 for k in range(len(left) - 1, low - 1, -1) if left[k] in self.special), low)
+            b = next((k for k in range(high) if right[k] in self.special), high)
+            whole_left, whole_right = a == 0 or left[a - 1] in self.special, b == len(right) or right[b] in self.special
+            while not whole_left and self._inside_char(left[a]):
                 a -= 1
-            while b < len(right) and self._inside_char(right[b]):
+                whole_left = a == 0 or left[a - 1] in self.special
+            while not whole_right and self._inside_char(right[b]):
                 b += 1
+                whole_right = b == len(right) or right[b] in self.special
+            if a == len(left) or b == 0:          # an added token at the join
+                return left + right
             window = b"".join(self.table[i] for i in left[a:]) + b"".join(self.table[i] for i in right[:b])
             ids = self.bpe.encode_ordinary(window.decode())
-            if (a == 0 or ids[:AGREE_TOKENS] == left[a:a + AGREE_TOKENS]) and \
-                    (b == len(right) or ids[-AGREE_TOKENS:] == right[b - AGREE_TOKENS:b]):
+            if (whole_left or ids[:AGREE_TOKENS] == left[a:a + AGREE_TOKENS]) and \
+                    (whole_right or ids[-AGREE_TOKENS:] == right[b - AGREE_TOKENS:b]):
                 return left[:a] + ids + right[b:]
             width *= 2
 
@@ -246,27 +255,34 @@ def _encode_batches(path: str):
     return run
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaves(path: str):
     """Cut long texts into leaves: at a safe cut if one is near, else anywhere
-    (``torn``: the join to the leaf before needs a window)."""
-    for part in text_slices(batches):
-        rows: list[tuple] = []
-        for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
-            start, no, torn = 0, 0, False
-            while start < len(text):
-                end, next_torn = min(len(text), start + PIECE_CHARS), False
-                if end < len(text):
-                    near = _CUT.search(text, end, min(len(text), end + PIECE_CHARS))
-                    if near:
-                        end = near.start()
-                    elif text[end - 1].isspace() or text[end].isspace():
-                        end, next_torn = _solid(text, end), True
-                    else:
-                        next_torn = True
-                rows.append((key, no, torn, text[start:end]))
-                start, no, torn = end, no + 1, next_torn
-        yield pa.RecordBatch.from_pydict(dict(zip(("key", "no", "torn", "text"), map(list, zip(*rows)) if rows else [[]] * 4)),
-                                         schema=pa.schema([("key", pa.string()), ("no", pa.int32()), ("torn", pa.bool_()), ("text", pa.string())]))
+    (``torn``: the join to the leaf before needs a window), but never inside an added token."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added = codec(path).added
+        for part in text_slices(batches):
+            rows: list[tuple] = []
+            for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
+                spans = np.array([m.span() for m in added.finditer(text)] if added else [], np.int64).reshape(-1, 2)
+                start, no, torn = 0, 0, False
+                while start < len(text):
+                    end, next_torn = min(len(text), start + PIECE_CHARS), False
+                    if end < len(text):
+                        near = _CUT.search(text, end, min(len(text), end + PIECE_CHARS))
+                        if near:
+                            end = near.start()
+                        elif text[end - 1].isspace() or text[end].isspace():
+                            end, next_torn = _solid(text, end), True
+                        else:
+                            next_torn = True
+                        k = int(np.searchsorted(spans[:, 0], end)) - 1          # the last added token that starts before
+                        if k >= 0 and end < spans[k, 1]:
+                            end, next_torn = int(spans[k, 0] if spans[k, 0] > start else spans[k, 1]), False
+                    rows.append((key, no, torn, text[start:end]))
+                    start, no, torn = end, no + 1, next_torn
+            yield pa.RecordBatch.from_pydict(dict(zip(("key", "no", "torn", "text"), map(list, zip(*rows)) if rows else [[]] * 4)),
+                                             schema=pa.schema([("key", pa.string()), ("no", pa.int32()), ("torn", pa.bool_()), ("text", pa.string())]))
+    return run
 
 
 def _solid(text: str, at: int) -> int:
@@ -299,7 +315,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     id_type = base.schema["id"].dataType.simpleString()
     short = base.where(F.length("text") <= LONG_CHARS).mapInArrow(_encode_batches(path), f"id {id_type}, ids binary")
     long = base.where(F.length("text") > LONG_CHARS).withColumn("key", F.sha2("text", 256))
-    leaves = (long.select("key", "text").mapInArrow(_leaves, "key string, no int, torn boolean, text string")
+    leaves = (long.select("key", "text").mapInArrow(_leaves(path), "key string, no int, torn boolean, text string")
               .groupBy("key", "no").agg(F.min("torn").alias("torn"), F.min("text").alias("text")))
     whole = (leaves.mapInArrow(_encode_batches(path), "key string, no int, torn boolean, ids binary")
              .groupBy("key").applyInPandas(_join_leaves(path), "key string, ids binary"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -95,6 +96,26 @@ def test_leaves_of_long_texts_join_exactly(spark, monkeypatch):
         assert ids == codec.bpe.encode(text, allowed_special="all")
 
 
+def test_leaves_split_at_added_tokens(spark, monkeypatch):
+    from prismlake.llm import bpe
+
+    # as stored: the added token cut in two, beside a cut, and near a cut
+    texts = [("ab1" * 12_000)[:32_768 - k] + "<|endoftext|>" + "ab1" * 15_000 for k in (-4, -1, 0, 5, 13, 20)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode_documents(frame, PATH).collect():
+        assert bytes(r["ids"]) == np.array(reference_ids(texts[r["doc_id"]]), "<u4").tobytes(), r["doc_id"]
+    # many small leaves
+    monkeypatch.setattr(bpe, "PIECE_CHARS", 50)
+    codec = bpe.codec(PATH)
+    for seed in range(60):
+        text = "".join(np.random.default_rng(seed).choice(["<|endoftext|>", "ab1", "é", "z" * 30, "!'s", "<|end", "😀"] + [" "] * (seed % 3), 300))
+        batch = pa.RecordBatch.from_pydict({"key": ["k"], "text": [text]})
+        leaves = pa.Table.from_batches(bpe._leaves(PATH)(iter([batch]))).to_pandas()
+        assert "".join(leaves["text"]) == text
+        leaves["ids"] = [codec._pack(codec.encode(t)) for t in leaves["text"]]
+        assert bpe._join_leaves(PATH)(leaves)["ids"][0] == np.array(reference_ids(text), "<u4").tobytes(), seed
+
+
 @pytest.mark.parametrize("which", ["tricky", "sample", "nothing"])
 def test_packing_holds_every_id_once(request, which):
     from prismlake.llm.packing import WINDOW, pack_documents
