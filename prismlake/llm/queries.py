@@ -169,6 +169,27 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.prefix_trie import prefix_trie, with_end_digests
+
+    return with_end_digests(prefix_trie(read(spark, sf_dir, "conversations")))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.structure_repair import repair_conversations, with_digests
+
+    return with_digests(*repair_conversations(read(spark, sf_dir, "conversations")))
+
+
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prismlake.llm.bpe import encode_documents
+    from prismlake.llm.pattern_packing import WINDOW, cut_documents, place_pieces
+
+    encoded = encode_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = cut_documents(encoded, WINDOW).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return place_pieces(pieces, WINDOW)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -180,6 +201,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_pattern_packing": op13_pattern_packing,
 }
 
 ORACLES: dict[str, str] = {"op5_pii": _op5_sql(), "op6_secrets": _op6_sql()}
