@@ -290,9 +290,20 @@ def q_model_rf(spark, sf):
     return _tree_cv(spark, sf, "rf")[0]
 
 
-@register("model_gbt", None, note="Spark ML gradient-boosted trees, fixed configuration, 5-fold out-of-fold")
+def _absorbance(spark, sf):
+    return sel.prepare(fx.spectra(spark, sf), ["Absorbance"])
+
+
+@register("model_gbt", None, note="boosted trees, nested 5x3 search over rounds, rate, depth and share of rows")
 def q_model_gbt(spark, sf):
-    return _tree_cv(spark, sf, "gbr")[0]
+    from prismlake.operators import boosting
+    return boosting.cv_boosting(_absorbance(spark, sf), boosting.GRID)[0]
+
+
+@register("model_rule_committee", None, note="committees of model trees, nested 5x3 search over the number of members")
+def q_model_rule_committee(spark, sf):
+    from prismlake.operators.committee import cv_committee
+    return cv_committee(_absorbance(spark, sf))[0]
 
 
 # ----------------------------------------------------------------- streaming

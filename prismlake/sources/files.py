@@ -22,6 +22,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch file or folder that no DataFrame still in use reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True,
              sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """Delimited text with a header; explicit schema when known, else inferred types."""

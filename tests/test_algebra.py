@@ -143,7 +143,7 @@ def test_exact_quantiles_selection_path(spark):
 def test_ordinal_and_top_k(spark):
     from prismlake.functions.distributed import top_k_per_group, with_ordinal
     df = spark.range(0, 997).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 7919 % 1000).alias("v"))
-    o = with_ordinal(df, ["v"], group="g", name="pos", num_partitions=5).toPandas()
+    o = with_ordinal(df, ["v"], group="g", name="pos").toPandas()
     for g, part in o.groupby("g"):
         assert list(part.sort_values("v")["pos"]) == list(range(1, len(part) + 1))
     t = top_k_per_group(df, ["g"], [F.desc("v")], 4, salt_buckets=7).toPandas()

@@ -8,9 +8,6 @@ from tests.conftest import SF_SMALL
 from prismlake.plans.catalog import all_queries
 
 QUERIES = all_queries()
-# Spark ML ensembles with the reference configuration (200 trees / 200 boosting
-# rounds per fold) take minutes on tiny folds; run them with PRISMLAKE_SLOW=1.
-SLOW = {"model_rf", "model_gbt"}
 
 
 @pytest.fixture(scope="module")
@@ -21,10 +18,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    import os
     from tools.check_oracle import compare
-    if name in SLOW and not os.environ.get("PRISMLAKE_SLOW"):
-        pytest.skip("slow Spark ML configuration; covered by test_tree_models_small")
     q = QUERIES[name]
     got = q.spark(spark, SF_SMALL).toPandas()
     sql = q.oracle()
