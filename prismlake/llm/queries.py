@@ -107,7 +107,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op5_sql() -> str:
     """The same spans by list functions.  Patterns and limits are stated on their own."""
-    around = "g[i][greatest(length(g[i]) - 49, 1):] || ' ' || g[i + 1][:50]"
+    start = ("(list_sum(list_transform(g[1:i], lambda x: length(x))) + "
+             "coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint")
+    around = f"substring(t, greatest({start} - 50, 0) + 1, least({start}, 50)) || ' ' || substring(t, {start} + length(m[i]) + 1, 50)"
     digits = "regexp_replace(m[i], '[^0-9]', '', 'g')"
     luhn = (f"(list_sum(list_transform(range(1, length({digits}) + 1), lambda j: case when j % 2 = 1 then reverse({digits})[j]::int "
             f"else (reverse({digits})[j]::int * 2) // 10 + (reverse({digits})[j]::int * 2) % 10 end)) % 10 = 0)")
@@ -115,22 +117,25 @@ def _op5_sql() -> str:
     mod97 = (f"(list_reduce(list_prepend(0::hugeint, list_transform(string_split({plain}[5:] || {plain}[1:4], ''), "
              "lambda c: (case when ascii(c) < 58 then ascii(c) - 48 else ascii(c) - 55 end)::hugeint)), "
              "lambda a, v: case when v < 10 then (a * 10 + v) % 97 else (a * 100 + v) % 97 end) = 1)")
+    lengths = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+               22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+               26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA",
+               30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+    iban = r"\b(?:" + "|".join(f"(?:{codes})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in lengths.items()) + r")\b"
     kinds = {
         "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
         "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
                "(list_max(list_transform(string_split(m[i], '.'), lambda p: p::double)) <= 255)"),
         "card": (r"[0-9]([\x20-]?[0-9])+", f"(length({digits}) between 16 and 19 and {luhn})"),
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"(length({digits}) between 8 and 15)"),
-        "iban": (r"\b[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}\b", mod97),
+        "iban": (iban, mod97),
         "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", rf"regexp_matches({around}, '(?i)\b(?:ssn|social security)\b')"),
     }
     parts = []
     for kind, (pattern, ok) in kinds.items():
-        start = ("list_sum(list_transform(g[1:i], lambda x: length(x))) + "
-                 "coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)")
         parts.append(f"""{kind}_spans as (select doc_id, list_transform(list_filter(range(1, len(m) + 1), lambda i: {ok}),
-            lambda i: '{kind}:' || ({start})::bigint || ':' || ({start} + length(m[i]))::bigint) as s
-            from (select doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') as m,
+            lambda i: '{kind}:' || {start} || ':' || ({start} + length(m[i]))) as s
+            from (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{pattern}') as m,
                   string_split_regex(coalesce(text, ''), '{pattern}') as g from documents))""")
     names = list(kinds)
     joins = " ".join(f"join {k}_spans using (doc_id)" for k in names[1:])
