@@ -3,12 +3,14 @@
 import functools
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -334,6 +336,45 @@ def test_pii_context_reaches_over_other_matches(spark):
     assert redact(docs).where("doc_id = 0").first()["text"] == "SSN: [SSN], [SSN]"
 
 
+def test_pii_is_linear_under_a_filter(spark):
+    from prismlake.llm.pii import find_pii, redact
+
+    text = " ".join(f"w{i} a{i}@b.cc 10.0.0.{i % 256} 123-45-{i % 9000 + 1000}" for i in range(7_500))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    assert len(find_pii(docs).where(F.size("spans") > 0).first()["spans"]) == 15_000
+    assert redact(docs).where("text like '%[EMAIL]%' and not text like '%@%'").count() == 1
+    assert time.time() - start < 60
+
+
+def test_account_numbers_before_other_capitals(spark):
+    from prismlake.llm.pii import find_pii, redact
+
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32 AND MORE", "pay to GB82WEST12345698765432 TODAY",
+             "GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 X", "NO93 8601 1117 947A", "ZZ82 WEST 1234 5698 7654 32"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [[(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "iban"] for r in find_pii(docs).orderBy("doc_id").collect()]
+    assert found == [[(5, 32)], [(7, 29)], [(0, 27), (28, 55)], [], []]
+    assert redact(docs).where("doc_id = 2").first()["text"] == "[IBAN] [IBAN] X"
+
+
+def test_pii_oracle_agrees_on_contexts_and_account_numbers(spark):
+    import duckdb
+
+    from prismlake.llm import queries
+    from prismlake.llm.pii import find_pii, span_text
+
+    one = "123-45-6789"
+    texts = ["SSN: 123-45-6789, 987-65-4321", f"{one} {one} {one} social security", f"ssn{' ' * 36}{one} {one}", f"ssn {'x' * 43} {one}, {one}",
+             "IBAN GB82 WEST 1234 5698 7654 32 AND MORE", "pay to GB82WEST12345698765432 TODAY", None, "", "ü 😀 ssn a@b.cc +49 (30) 1234-5678 " + one]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mine = {r["doc_id"]: r["t"] for r in find_pii(docs).select("doc_id", span_text(F.col("spans")).alias("t")).collect()}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    theirs = dict(con.execute(f"select doc_id, spans from ({queries.ORACLES['op5_pii']}) q").fetchall())
+    assert mine == theirs and mine[0].count("ssn") == 2
+
+
 def test_pii_context_does_not_replace_a_checksum(spark):
     from prismlake.llm.pii import find_pii, redact
 
@@ -405,6 +446,51 @@ def test_quality_counts(spark, request, which):
     assert all(not r["kept"] for r in out.collect() if r["base_failed"])
 
 
+def spark_hash(*values):
+    """Spark's xxhash64: each value is hashed with the hash of those before as seed."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v & (1 << 64) - 1).to_bytes(8, "little"), h)
+    return h - (h >> 63 << 64)
+
+
+def test_quality_ratio_and_verdict(spark, tricky):
+    from prismlake.llm import quality as q
+
+    docs = tricky.select("doc_id", "text").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        (F.col("doc_id") + 100).alias("doc_id"), "text"))
+    labels = spark.createDataFrame([(i, i % 3 > 0, i % 7 == 0) for i in range(1, 250)], "doc_id long, good boolean, toxic boolean").select(
+        "doc_id", F.col("good").cast("int").alias("quality"), F.when(F.col("toxic"), 1).alias("toxic"))
+    got = {}
+    for r in q.quality_rules(docs, labels).collect():
+        got.setdefault(r["doc_id"], []).append((r["ratio"], r["kept"], r["base_failed"]))
+    token = regex.compile(r"[\p{L}\p{N}]+|[^ \t\n\x0b\f\r\p{L}\p{N}]+")
+    corpus, trusted, grams = Counter(), Counter(), []
+    for i, text in pairs(docs):
+        hashed = [spark_hash(t) for t in token.findall((text or "").lower())]
+        found = [spark_hash(h) % q.BUCKETS for h in hashed] + [spark_hash(a, b) % q.BUCKETS for a, b in zip(hashed, hashed[1:])]
+        grams.append((i, found))
+        corpus.update(found)
+        if i is not None and i < 250 and i % 3 and i % 7:
+            trusted.update(found)
+    n, m = sum(corpus.values()) + q.BUCKETS, sum(trusted.values()) + q.BUCKETS
+    weight = lambda b: round(np.log((trusted[b] + 1) / m) - np.log((corpus[b] + 1) / n), 6)
+    for i, found in grams:
+        want = sum(map(weight, found)) / len(found) if found else 0.0
+        assert any(abs(ratio - want) < 1e-5 for ratio, _, _ in got[i]), i
+    assert all(kept == (not failed and ratio >= q.THRESHOLD) for rows_ in got.values() for ratio, kept, failed in rows_)
+
+
+def test_quality_of_a_very_long_text(spark):
+    from prismlake.llm.quality import quality_rules
+
+    text = " ".join(f"w{i % 50_000}" for i in range(100_000))                # every window occurs twice
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    row = quality_rules(docs, labels).first()
+    assert (row["n_words"], row["n_repeat_words"], row["base_failed"]) == (100_000, 100_000, True)
+
+
 def test_quality_keeps_clean_documents_and_drops_junk(spark):
     from prismlake.llm.quality import quality_rules
 
