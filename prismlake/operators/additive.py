@@ -261,7 +261,7 @@ def _fold_task(search: Search):
         train = rows.fold != out_fold
         held = pdf[~train]
         if train.sum() < 2:                               # the fold fails: its rows keep a null prediction
-            return pd.DataFrame([(*key[:2], name, out_fold, i, None, None, t, None, None) for i, t in zip(held["sample_id"], held["y"])], columns=NAMES)
+            return pd.DataFrame([(*key[:2], name, out_fold, i, None, None, t, None, None) for i, t in zip(held["sample_id"], held["y"])], columns=NAMES, dtype=object)
         method = search.method(search.fits([out_fold]))
         kept = fit_rows(method, search.keep[-1], rows, search.keep, search.n_bins)
         errors: dict[tuple[int, int], list[tuple[float, int]]] = {}
@@ -275,7 +275,7 @@ def _fold_task(search: Search):
         params = method.params(r, search.settings[s][0])
         out = [(*key[:2], name, out_fold, i, params, rmse, t, v, None) for i, t, v in zip(held["sample_id"], held["y"], kept[r][fit][~train])]
         out.append((*key[:2], name, out_fold, None, params, rmse, None, None, method.importance(fit, r, rows.bins.shape[1])))
-        return pd.DataFrame(out, columns=NAMES)
+        return pd.DataFrame(out, columns=NAMES, dtype=object)      # ids stay exact beside the missing one
     return run
 
 

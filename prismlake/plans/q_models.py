@@ -148,10 +148,17 @@ def q_permutation_importance(spark, sf):
     return sel.permutation_importance(spectra, pr.fit_linear(spectra, "pls", '{"n_components": 8}'), n_repeats=15)
 
 
-@register("native_importance", None)
+@register("native_importance", None, note="coefficients of PLS; impurity importances of forest, boosting and rules on all rows")
 def q_native_importance(spark, sf):
-    _, coefs = sel.cross_validate(fx.spectra(spark, sf), ["Absorbance"], ["pls"])
-    return sel.native_importance(coefs.where(F.col("fold") == -1))
+    from prismlake.operators import boosting, committee, forest
+    prepared = _absorbance(spark, sf)
+    coefs = sel.native_importance(sel.fit_coefficients(prepared, ["pls"]).where(F.col("fold") == -1))
+    out = coefs.select("dataset", "preprocessing", "model", "fold", "band", F.col("coef_value").alias("value"), "importance")
+    for _, found in (forest.cv_forest(prepared, k=0, refit=True), boosting.cv_boosting(prepared, k=0, refit=True),
+                     committee.cv_committee(prepared, {"n_committees": [10]}, k=0, refit=True)):
+        out = out.unionByName(found.select("dataset", "preprocessing", "model", "fold", F.posexplode("importance").alias("band", "importance"))
+                              .withColumn("value", F.col("importance")))
+    return out
 
 
 @register("importance_with_stats", None)
@@ -279,19 +286,14 @@ def q_model_registry(spark, sf):
 
 # ----------------------------------------------------------------- tree ensembles
 
-def _tree_cv(spark, sf, model):
-    from prismlake.operators.trees import cv_tree_model
-    prepared = sel.prepare(fx.spectra(spark, sf), ["Absorbance"])
-    return cv_tree_model(prepared, model)
+def _absorbance(spark, sf):
+    return sel.prepare(fx.spectra(spark, sf), ["Absorbance"])
 
 
-@register("model_rf", None, note="Spark ML random forest, fixed configuration, 5-fold out-of-fold")
+@register("model_rf", None, note="random forests, nested 5x3 search over trees, depth, node sizes and bands a node")
 def q_model_rf(spark, sf):
-    return _tree_cv(spark, sf, "rf")[0]
-
-
-def _absorbance(spark, sf):
-    return sel.prepare(fx.spectra(spark, sf), ["Absorbance"])
+    from prismlake.operators import forest
+    return forest.cv_forest(_absorbance(spark, sf), forest.GRID)[0]
 
 
 @register("model_gbt", None, note="boosted trees, nested 5x3 search over rounds, rate, depth and share of rows")
