@@ -1,83 +1,345 @@
-"""Support-vector regression on Nystrom features by finite Newton iterations.
+"""Support-vector regression (epsilon-insensitive absolute loss) on landmark features.
 
-Re-aim: the reference fits kernel SVR (L1 epsilon-insensitive loss, dual solver,
-O(n^2) kernel).  Here the kernel is replaced by Nystrom features (see
-``operators.kernel``) and the primal problem
+For every training set (outer fold, inner fold) and every point of C x epsilon x gamma
 
-    min_b,w  1/2 |w|^2 + C * sum_i max(0, |y_i - b - w'phi_i| - eps)^2
+    min over w, b   1/2 |w|^2 + C * sum_i max(0, |y_i - b - w'phi_i| - epsilon)
 
-(squared epsilon-insensitive loss) is solved by the finite Newton method: with
-the current model, the rows outside the epsilon tube form the active set; the
-Newton step is a ridge-type solve on the Gram of the active rows with targets
-shifted by eps toward the fit.  Each iteration is ONE distributed Gram pass (all
-(dataset, outer fold) problems at once); the small systems are solved on the
-driver; iterations stop when no coefficient moves, or after ``max_iter``: the column
-``converged`` says for each (dataset, fold) whether its coefficients had come to rest.
+is solved on the features of ``operators.kernel`` (exact kernel SVR when every row is a
+landmark).  The kink of the loss is rounded over a width mu that goes down in steps to
+``WIDTHS[-1]``; for each width Newton steps with a halving line search run until the gradient
+is at rest.  The multipliers a_i of the rounded loss (between -C and C, w = sum a_i phi_i,
+sum a_i = 0) then fulfil the optimality conditions of the problem itself up to mu, and
+``kkt`` says how far they are off: the largest of |w - sum a_i phi_i| / (1 + C) by component,
+|sum a_i| / (1 + C), and the violation of complementarity by any row.
+
+Newton steps need sums over rows only, for all fits together.  Up to ``LOCAL_ROWS`` rows of a
+(dataset, preprocessing) one task for each outer fold adds them up in memory; more rows go
+through Spark passes, two a step (sums and direction; objective at the step lengths), and
+meet on the executors, one fit in one task.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark import StorageLevel
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.functions import arrays as A
-from prismlake.operators.gram import Moments, gram_pass
-
-# The reference SVR defaults (C=1, epsilon=0.1).
-SVR_C = 1.0
-SVR_EPSILON = 0.1
-MAX_ITER = 25
-
-
-def svr_cv(mapped: DataFrame, k: int = 5, C: float = SVR_C, eps: float = SVR_EPSILON,
-           max_iter: int = MAX_ITER, tol: float = 1e-9) -> DataFrame:
-    """Out-of-fold SVR predictions, with ``converged``.  ``mapped``: (dataset, sample_id, fold, spectrum=features, target)."""
-    spark = mapped.sparkSession
-    rows = mapped.select("dataset", "sample_id", "fold", "spectrum", "target")
-    train = (rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cv"))
-             .where(F.col("fold") != F.col("cv")).persist(StorageLevel.MEMORY_AND_DISK))
-    dims = {r["dataset"]: r["m"] for r in rows.groupBy("dataset").agg(F.max(F.size("spectrum")).alias("m")).collect()}
-    coef = {(ds, f): np.zeros(m + 1) for ds, m in dims.items() for f in range(k)}
-
-    def as_frame(c):
-        return spark.createDataFrame([(ds, f, float(w[0]), w[1:].tolist()) for (ds, f), w in c.items()],
-                                     "dataset STRING, cv INT, b DOUBLE, w ARRAY<DOUBLE>")
-
-    resting = dict.fromkeys(coef, False)
-    for _ in range(max_iter):
-        cur = as_frame(coef)
-        r = F.col("target") - (F.col("b") + A.arr_dot("spectrum", "w"))
-        active = (train.join(cur, ["dataset", "cv"])      # one row per (dataset, fold): small
-                  .withColumn("_r", r).where(F.abs("_r") > eps)
-                  .withColumn("t", F.col("target") - F.lit(eps) * F.signum("_r")))
-        cells = {(g["dataset"], g["cv"]): (g["p"], g["g"])
-                 for g in gram_pass(active, ["dataset", "cv"], "spectrum", "t").collect()}
-        new = {}
-        for key, w in coef.items():
-            m = dims[key[0]]
-            if key not in cells:            # every row inside the tube: the fit stands
-                new[key], resting[key] = w, True
-                continue
-            p, g = cells[key]
-            mo = Moments.from_packed(g, p + 1)
-            raw = mo.raw()
-            U = np.empty((m + 1, m + 1))
-            s = mo.mean[:m] * mo.n
-            U[0, 0], U[0, 1:], U[1:, 0], U[1:, 1:] = mo.n, s, s, raw[:m, :m]
-            rhs = np.concatenate([[mo.mean[m] * mo.n], raw[:m, m]])
-            R = np.eye(m + 1)
-            R[0, 0] = 0.0
-            sol = np.linalg.lstsq(R + 2 * C * U, 2 * C * rhs, rcond=None)[0]
-            resting[key] = float(np.abs(sol - w).max()) < tol
-            new[key] = sol
-        coef = new
-        if all(resting.values()):
-            break
-    train.unpersist()
-    done = spark.createDataFrame([(ds, f, ok) for (ds, f), ok in resting.items()], "dataset STRING, cv INT, converged BOOLEAN")
-    final = as_frame(coef).join(done, ["dataset", "cv"])
-    return (rows.join(final, (rows["dataset"] == final["dataset"]) & (rows["fold"] == final["cv"]))
-            .select(rows["dataset"], rows["sample_id"], rows["fold"], F.col("target").alias("y_true"),
-                    (F.col("b") + A.arr_dot("spectrum", "w")).alias("y_pred"), "converged"))
+from prismlake.operators.kernel import DEFAULT_LANDMARKS, GROUP, Kernel, Landmarks, draw_landmarks, sum_packed, usable
+from prismlake.sources.files import scratch_path
+
+# The grid of the runtime search, and the defaults.
+GRID = {"C": [1.0, 10.0, 100.0], "epsilon": [0.05, 0.1, 0.2], "gamma": ["scale", "auto"]}
+FIXED = {"C": [1.0], "epsilon": [0.1], "gamma": ["scale"]}
+
+LOCAL_ROWS = 20_000
+WIDTHS = (10.0, 3.0, 1.0, 0.3, 0.1, 0.03, 1e-2, 3e-3, 1e-3, 1e-4, 1e-5, 1e-6)
+MAX_STEPS = 50             # Newton steps for each width
+TOLERANCE = (1e-5, 3e-7)   # of the gradient, as a share of 1 + C: on the way, and at the last width
+LENGTHS = 0.5 ** np.arange(20)
+OUT_SCHEMA = ("dataset string, preprocessing string, model string, fold int, sample_id {id}, params string, inner_rmse double, kkt double, "
+              "y_true double, y_pred double")
+NAMES = ["dataset", "preprocessing", "model", "fold", "sample_id", "params", "inner_rmse", "kkt", "y_true", "y_pred"]
+
+
+@dataclass(frozen=True)
+class Fit:
+    kernel: int
+    C: float
+    eps: float
+    fold: int
+    inner: int
+
+    def used(self, fold: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        return (fold != self.fold) & (inner != self.inner)
+
+
+def points(grid: dict[str, list]) -> list[tuple[float, float, int]]:
+    return list(itertools.product(grid["C"], grid["epsilon"], range(len(grid["gamma"]))))
+
+
+def _loss(r: np.ndarray, C: float, eps: float, mu: float) -> np.ndarray:
+    t = np.abs(r) - eps
+    return C * np.where(t <= 0, 0.0, np.where(t < mu, t * t / (2 * mu), t - mu / 2))
+
+
+def newton_sums(u: np.ndarray, y: np.ndarray, fit: Fit, v: np.ndarray, mu: float, bend: float) -> np.ndarray:
+    """Loss, its gradient and second derivatives by v = [b, w], for rows u = [1, phi]; packed.
+    Rows up to ``bend`` beyond epsilon count as bent.  With the width before (``bend`` > mu) the
+    Newton step keeps their multipliers while the width shrinks."""
+    r = y - u @ v
+    t = np.abs(r) - fit.eps
+    at = (t > 0) & (t < bend)
+    a = fit.C * np.where(at, t / mu, t > 0) * np.sign(r)
+    bent = u[at]
+    return np.concatenate([[_loss(r, fit.C, fit.eps, mu).sum()], -u.T @ a, (fit.C / mu * (bent.T @ bent)).ravel()])
+
+
+def direction(sums: np.ndarray, v: np.ndarray, mu: float) -> tuple[np.ndarray, float, float, float]:
+    """Newton direction, slope along it, objective and largest gradient component.  Without a
+    row in the bend, b has no curvature; what is added to it keeps its step within ten widths
+    and goes with the gradient, so it does not slow the last steps."""
+    q = len(v)
+    w = np.append(0.0, v[1:])
+    gradient = sums[1:1 + q] + w
+    ridge = np.ones(q)
+    ridge[0] = 1e-9 + abs(gradient[0]) / (10 * mu)
+    d = -np.linalg.solve(sums[1 + q:].reshape(q, q) + np.diag(ridge), gradient)
+    return d, float(gradient @ d), float(sums[0] + w @ w / 2), float(np.abs(gradient).max())
+
+
+def step_losses(u: np.ndarray, y: np.ndarray, fit: Fit, v: np.ndarray, d: np.ndarray, mu: float) -> np.ndarray:
+    r, along = y - u @ v, u @ d
+    return _loss(r[:, None] - along[:, None] * LENGTHS[None, :], fit.C, fit.eps, mu).sum(0)
+
+
+def pick_length(losses: np.ndarray, v: np.ndarray, d: np.ndarray, objective: float, slope: float) -> float:
+    w = v[1:, None] + d[1:, None] * LENGTHS[None, :]
+    fine = losses + (w * w).sum(0) / 2 <= objective + 1e-4 * LENGTHS * slope
+    return float(LENGTHS[fine.argmax()]) if fine.any() else 0.0
+
+
+def violations(u: np.ndarray, y: np.ndarray, fit: Fit, v: np.ndarray, mu: float) -> np.ndarray:
+    """[largest violation of complementarity, sum of u_i a_i] of rows."""
+    r = y - u @ v
+    t = np.abs(r) - fit.eps
+    a = fit.C * np.clip(t / mu, 0, 1) * np.sign(r)
+    off = np.where(t <= 0, 0.0, np.where(t < mu, t, 0.0))
+    return np.concatenate([[off.max(initial=0.0)], u.T @ a])
+
+
+def kkt(found: np.ndarray, v: np.ndarray, C: float) -> float:
+    off = found[1:].copy()
+    off[1:] -= v[1:]
+    return float(max(found[0], np.abs(off).max() / (1 + C)))
+
+
+class Solver:
+    """All fits at once.  ``sums(work, kind)`` adds up over rows, for each (fit, v, d, mu) of
+    ``work`` (d: the bend for "newton"), what ``newton_sums`` + ``direction`` ("newton"), ``step_losses`` ("length") or
+    ``violations`` ("kkt") say."""
+
+    def __init__(self, fits: list[Fit], q: int, sums: Callable, means: np.ndarray):
+        self.fits, self.sums = fits, sums
+        self.v = np.zeros((len(fits), q))
+        self.v[:, 0] = means                              # of the targets
+
+    def run(self) -> np.ndarray:
+        """The largest violation of the optimality conditions of each fit."""
+        for last, mu in zip((None, *WIDTHS), WIDTHS):
+            if last:
+                for i, (d, *_) in enumerate(self.sums([(i, v, last, mu) for i, v in enumerate(self.v)], "newton")):
+                    self.v[i] = self.v[i] + d
+            tolerance = TOLERANCE[mu == WIDTHS[-1]]
+            open_ = list(range(len(self.fits)))
+            before: dict[int, tuple[float, np.ndarray]] = {}      # fits that took a whole step without a lower objective
+            for _ in range(MAX_STEPS):
+                left = []
+                for i, f in zip(open_, self.sums([(i, self.v[i], mu, mu) for i in open_], "newton")):
+                    if i in before and f[3] >= before[i][0]:          # nor a smaller gradient: rounding is all that is left
+                        self.v[i] = before[i][1]
+                    elif f[3] > tolerance * (1 + self.fits[i].C):
+                        left.append((i, *f))
+                if not left:
+                    break
+                losses = self.sums([(i, self.v[i], d, mu) for i, d, *_ in left], "length")
+                open_, before = [i for i, *_ in left], {}
+                for (i, d, slope, objective, norm), loss in zip(left, losses):
+                    length = pick_length(loss, self.v[i], d, objective, slope)
+                    if not length:
+                        before[i] = (norm, self.v[i].copy())
+                    self.v[i] = self.v[i] + (length or 1.0) * d
+            for i, (_, v) in before.items():
+                self.v[i] = v
+        found = self.sums([(i, v, None, WIDTHS[-1]) for i, v in enumerate(self.v)], "kkt")
+        return np.array([kkt(x, v, f.C) for x, v, f in zip(found, self.v, self.fits)])
+
+
+def _in_memory(fits: list[Fit], features: list[np.ndarray], y: np.ndarray, fold: np.ndarray, inner: np.ndarray) -> Callable:
+    u = [np.column_stack([np.ones(len(y)), f]) for f in features]
+    data = [(u[f.kernel][at], y[at]) for f in fits for at in [f.used(fold, inner)]]
+
+    def sums(work: list, kind: str) -> list:
+        if kind == "newton":
+            return [direction(newton_sums(*data[i], fits[i], v, mu, bend), v, mu) for i, v, bend, mu in work]
+        if kind == "length":
+            return [step_losses(*data[i], fits[i], v, d, mu) for i, v, d, mu in work]
+        return [violations(*data[i], fits[i], v, mu) for i, v, _, mu in work]
+    return sums
+
+
+def _choose(fits: list[Fit], grid: dict[str, list], inner_k: int, out_fold: int, errors: dict[int, tuple[float, int]]) -> tuple[int, float | None]:
+    """The fit on the whole training set of ``out_fold`` with the smallest mean inner RMSE."""
+    at = {(f.C, f.eps, f.kernel, f.fold, f.inner): i for i, f in enumerate(fits)}
+    best = (np.inf, None)
+    for C, eps, kernel in points(grid):
+        scores = [np.sqrt(s / n) for j in range(inner_k) for s, n in [errors.get(at.get((C, eps, kernel, out_fold, j)), (0.0, 0))] if n]
+        score = float(np.mean(scores)) if scores else np.inf
+        if best[1] is None or score < best[0]:
+            best = (score, at[C, eps, kernel, out_fold, -1])
+    return best[1], best[0] if np.isfinite(best[0]) else None
+
+
+def _params(f: Fit, grid: dict[str, list], marks: Landmarks) -> str:
+    gamma = grid["gamma"][f.kernel]
+    return json.dumps({"C": f.C, "epsilon": f.eps, "gamma": gamma, "kernel": "rbf", "landmarks": len(marks.rows), "rank": marks.root(Kernel("rbf", gamma))[1]})
+
+
+def _fits(grid: dict[str, list], folds: list[int], inner_k: int) -> list[Fit]:
+    inners = [-1, *range(inner_k)] if len(points(grid)) > 1 else [-1]
+    return [Fit(g, C, eps, f, j) for f in folds for C, eps, g in points(grid) for j in inners]
+
+
+def _fold_task(grid: dict[str, list], inner_k: int, landmarks: dict):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out_fold = int(pdf["cv"].iloc[0])
+        marks = Landmarks(landmarks[key[:2]])
+        x = np.stack([np.asarray(v, float) for v in pdf["spectrum"]])
+        y, fold, inner = (pdf[c].to_numpy() for c in ("target", "fold", "inner"))
+        train = fold != out_fold
+        held = np.flatnonzero(~train)
+        if train.sum() < 2:
+            return pd.DataFrame([(*key[:2], "svr", out_fold, pdf["sample_id"].iloc[i], None, None, None, y[i], None) for i in held], columns=NAMES, dtype=object)
+        fits = _fits(grid, [out_fold], inner_k)
+        features = [marks.features(Kernel("rbf", g), x) for g in grid["gamma"]]
+        means = np.array([y[f.used(fold, inner)].mean() if f.used(fold, inner).any() else 0.0 for f in fits])
+        solver = Solver(fits, len(marks.rows) + 1, _in_memory(fits, features, y, fold, inner), means)
+        off = solver.run()
+        guess = lambda i: solver.v[i][0] + features[fits[i].kernel] @ solver.v[i][1:]
+        errors = {}
+        for i, f in enumerate(fits):
+            at = train & (inner == f.inner)
+            if f.inner >= 0 and at.any():
+                errors[i] = (float(((guess(i) - y)[at] ** 2).sum()), int(at.sum()))
+        best, rmse = _choose(fits, grid, inner_k, out_fold, errors)
+        params, value = _params(fits[best], grid, marks), guess(best)
+        return pd.DataFrame([(*key[:2], "svr", out_fold, pdf["sample_id"].iloc[i], params, rmse, off[best], y[i], value[i]) for i in held],
+                            columns=NAMES, dtype=object)
+    return run
+
+
+# -- more rows than a task should hold ----------------------------------------------
+
+def _on_spark(rows: DataFrame, fits: list[Fit], grid: dict[str, list], key: tuple[str, str], landmarks: dict) -> Callable:
+    own = {key: landmarks[key]}
+    gammas = [Kernel("rbf", g) for g in grid["gamma"]]
+    light = rows.select("spectrum", "target", "fold", "inner")
+
+    def sums(work: list, kind: str) -> list:
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc: dict[int, np.ndarray] = {}
+            marks = Landmarks(own[key])
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                x = np.stack([np.asarray(v, float) for v in pdf["spectrum"]])
+                y, fold, inner = (pdf[c].to_numpy() for c in ("target", "fold", "inner"))
+                u = [np.column_stack([np.ones(len(y)), marks.features(g, x)]) for g in gammas]
+                for i, v, d, mu in work:
+                    at = fits[i].used(fold, inner)
+                    args = (u[fits[i].kernel][at], y[at], fits[i], v)
+                    got = newton_sums(*args, mu, d) if kind == "newton" else step_losses(*args, d, mu) if kind == "length" else violations(*args, mu)
+                    if i not in acc:
+                        acc[i] = got
+                    elif kind == "kkt":
+                        acc[i] = np.append(max(acc[i][0], got[0]), acc[i][1:] + got[1:])
+                    else:
+                        acc[i] = acc[i] + got
+            if acc:
+                yield pd.DataFrame({"fit": list(acc), "g": [a.tobytes() for a in acc.values()]})
+
+        parts = light.mapInPandas(partial, "fit int, g binary")
+        start = {i: (v, mu) for i, v, _, mu in work}
+        if kind == "kkt":                                  # a largest value and sums: one row a task and fit
+            found: dict[int, np.ndarray] = {}
+            for r in parts.collect():
+                g = np.frombuffer(r["g"], float)
+                found[r["fit"]] = np.append(max(found[r["fit"]][0], g[0]), found[r["fit"]][1:] + g[1:]) if r["fit"] in found else g
+            return [found[i] for i, *_ in work]
+        total = sum_packed(parts, ["fit"])
+        if kind == "length":
+            got = {r["fit"]: np.frombuffer(r["g"], float) for r in total.collect()}
+            return [got[i] for i, *_ in work]
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = [(i, *direction(np.frombuffer(g, float), *start[i])) for i, g in zip(b.column("fit").to_pylist(), b.column("g").to_pylist())]
+                columns = list(zip(*((i, d.tolist(), s, o, n) for i, d, s, o, n in out))) if out else [()] * 5
+                types = [pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["fit", "d", "slope", "objective", "norm"])
+        got = {r["fit"]: (np.array(r["d"]), r["slope"], r["objective"], r["norm"])
+               for r in total.mapInArrow(solve, "fit int, d array<double>, slope double, objective double, norm double").collect()}
+        return [got[i] for i, *_ in work]
+    return sums
+
+
+def _large(rows: DataFrame, key: tuple[str, str], grid: dict[str, list], k: int, inner_k: int, landmarks: dict) -> DataFrame:
+    fits, marks = _fits(grid, list(range(k)), inner_k), Landmarks(landmarks[key])
+    path = scratch_path(rows.sparkSession, "svr-rows")
+    rows.write.mode("overwrite").parquet(path)
+    rows = rows.sparkSession.read.parquet(path)
+    by_cell = rows.groupBy("fold", "inner").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("s")).collect()
+    cells = [(np.array([r["fold"]]), np.array([r["inner"]]), r["n"], r["s"]) for r in by_cell]
+    means = np.array([sum(s for a, b, _, s in cells if f.used(a, b)[0]) / max(1, sum(n for a, b, n, _ in cells if f.used(a, b)[0])) for f in fits])
+    solver = Solver(fits, len(marks.rows) + 1, _on_spark(rows, fits, grid, key, landmarks), means)
+    off = solver.run()
+    gammas, weights, own = [Kernel("rbf", g) for g in grid["gamma"]], solver.v, {key: landmarks[key]}
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack([np.asarray(v, float) for v in pdf["spectrum"]])
+            y, fold, inner = (pdf[c].to_numpy() for c in ("target", "fold", "inner"))
+            phi, out = [Landmarks(own[key]).features(g, x) for g in gammas], []
+            for i, f in enumerate(fits):
+                at = (fold != f.fold) & (inner == f.inner)
+                if f.inner >= 0 and at.any():
+                    e = (weights[i][0] + phi[f.kernel][at] @ weights[i][1:] - y[at])
+                    out.append((i, float((e * e).sum()), int(at.sum())))
+            yield pd.DataFrame(out, columns=["fit", "sse", "n"])
+
+    by_fit = {r["fit"]: (r["sse"], r["n"]) for r in rows.mapInPandas(errors, "fit int, sse double, n long").groupBy("fit").agg(
+        F.sum("sse").alias("sse"), F.sum("n").alias("n")).collect()}
+    chosen = {}
+    for f in range(k):
+        best, rmse = _choose(fits, grid, inner_k, f, by_fit)
+        chosen[f] = (_params(fits[best], grid, marks), rmse, float(off[best]), fits[best].kernel, weights[best])
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack([np.asarray(v, float) for v in pdf["spectrum"]])
+            phi, out = [Landmarks(own[key]).features(g, x) for g in gammas], []
+            for i, (sample, f, y) in enumerate(zip(pdf["sample_id"], pdf["fold"], pdf["target"])):
+                params, rmse, off_, kernel, v = chosen[f]
+                out.append((*key, "svr", f, sample, params, rmse, off_, y, float(v[0] + phi[kernel][i] @ v[1:])))
+            yield pd.DataFrame(out, columns=NAMES)
+
+    return rows.mapInPandas(predict, OUT_SCHEMA.format(id=rows.schema["sample_id"].dataType.simpleString()))
+
+
+def cv_svr(prepared: DataFrame, grid: dict[str, list] | None = None, k: int = 5, inner_k: int = 3, m: int = DEFAULT_LANDMARKS,
+           local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Out-of-fold predictions of SVR, nested over C, epsilon and gamma, with ``kkt``, the
+    largest violation of the optimality conditions by the model of the fold."""
+    grid = grid or GRID
+    spark = prepared.sparkSession
+    rows = usable(prepared).select(*GROUP, "sample_id", "fold", "inner", "spectrum", "target")
+    landmarks = draw_landmarks(rows, m)
+    sizes = {(r["dataset"], r["preprocessing"]): r["n"] for r in rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = sorted(key for key, n in sizes.items() if n > local_rows)
+    is_large = F.lit(False)
+    for dataset, prep in large:
+        is_large = is_large | ((F.col("dataset") == dataset) & (F.col("preprocessing") == prep))
+    tasks = max(1, 2 * (len(sizes) - len(large)) * k)
+    work = rows.where(~is_large).withColumn("cv", F.explode(F.array(*map(F.lit, range(k))))).repartition(tasks, *GROUP, "cv")
+    out = work.groupBy(*GROUP, "cv").applyInPandas(_fold_task(grid, inner_k, landmarks), OUT_SCHEMA.format(id=rows.schema["sample_id"].dataType.simpleString()))
+    for key in large:
+        out = out.unionByName(_large(rows.where((F.col("dataset") == key[0]) & (F.col("preprocessing") == key[1])), key, grid, k, inner_k, landmarks))
+    path = scratch_path(spark, "svr")
+    out.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

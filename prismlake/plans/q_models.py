@@ -67,12 +67,6 @@ def q_model_pls(spark, sf):
     return coefs.select("dataset", "preprocessing", "model", "fold", "params", "inner_rmse", "intercept")
 
 
-@register("model_krr", None)
-def q_model_krr(spark, sf):
-    _, coefs = sel.cross_validate(fx.spectra(spark, sf), ["Absorbance"], ["krr"])
-    return coefs.select("dataset", "preprocessing", "model", "fold", "params", "inner_rmse", "intercept")
-
-
 @register("refit_best", None)
 def q_refit_best(spark, sf):
     oof, coefs = sel.cross_validate(fx.spectra(spark, sf), RUNTIME_PREPS, ["pls", "krr"])
@@ -331,22 +325,24 @@ def q_stream_batch_predict(spark, sf, cut=_one_band):
 
 # ----------------------------------------------------------------- kernel models
 
-def _kernel_cv(spark, sf, kernel, gamma=None, degree=3):
-    from prismlake.operators.kernel import nystrom_map
-    prepared = sel.prepare(fx.spectra(spark, sf), ["Absorbance"])
-    mapped = nystrom_map(prepared, kernel, gamma, degree)
-    coefs = sel.fit_coefficients(mapped, ["krr"])
-    return sel.score(mapped, coefs).withColumn("model", F.lit(f"krr_{kernel}"))
+def _krr(spark, sf, **fixed):
+    from prismlake.operators import kernel
+    return kernel.cv_krr(_absorbance(spark, sf), kernel.GRID | fixed)[0]
+
+
+@register("model_krr", None, note="kernel ridge on landmarks, nested 5x3 search over kernel, gamma, degree and alpha")
+def q_model_krr(spark, sf):
+    return _krr(spark, sf)
 
 
-@register("model_krr_rbf", None, note="kernel ridge, RBF kernel through Nystrom features, nested CV over alpha")
+@register("model_krr_rbf", None, note="the same with RBF kernels only")
 def q_model_krr_rbf(spark, sf):
-    return _kernel_cv(spark, sf, "rbf")
+    return _krr(spark, sf, kernel=["rbf"])
 
 
-@register("model_krr_poly", None, note="kernel ridge, polynomial kernel (degree 2) through Nystrom features")
+@register("model_krr_poly", None, note="the same with polynomial kernels only")
 def q_model_krr_poly(spark, sf):
-    return _kernel_cv(spark, sf, "poly", degree=2)
+    return _krr(spark, sf, kernel=["polynomial"])
 
 
 @register("loo_pls", None, note="exact leave-one-out PLS (8 components) by Gram downdates")
@@ -354,14 +350,10 @@ def q_loo_pls(spark, sf):
     return sel.loo_metrics(sel.loo_pls(fx.spectra(spark, sf), 8))
 
 
-@register("model_svr", None, note="epsilon-insensitive SVR (squared loss) on Nystrom RBF features, finite Newton")
+@register("model_svr", None, note="epsilon-insensitive SVR, nested 5x3 search over C, epsilon and gamma; kkt: violation of optimality")
 def q_model_svr(spark, sf):
-    from prismlake.operators.kernel import nystrom_map
-    from prismlake.operators.svr import svr_cv
-    prepared = sel.prepare(fx.spectra(spark, sf), ["Absorbance"])
-    mapped = nystrom_map(prepared, "rbf")
-    return (svr_cv(mapped).withColumn("preprocessing", F.lit("Absorbance")).withColumn("model", F.lit("svr"))
-            .select("dataset", "preprocessing", "model", "fold", "sample_id", "y_true", "y_pred", "converged"))
+    from prismlake.operators.svr import cv_svr
+    return cv_svr(_absorbance(spark, sf))
 
 
 # ----------------------------------------------------------------- the whole spectrum

@@ -50,15 +50,18 @@ def parse_run_log(lines: DataFrame, line_col: str = "line") -> DataFrame:
     A line is split once into label, R2 and RMSE; the pattern is tested in the same
     filter, and fields are read null-safe, so a malformed line cannot raise.
     """
-    line, parts, label = F.col(line_col), F.col("_parts"), F.col("_label")
     keep = [c for c in lines.columns if c != line_col]
-    split = (lines.where(line.rlike(RUN_LOG_PATTERN)).select(*keep, F.split(line, ": R2=|, RMSE=").alias("_parts"))
-             .select(*keep, F.get(parts, 0).alias("_label"), F.get(parts, 1).try_cast("double").alias("r2"),
-                     F.get(parts, 2).try_cast("double").alias("rmse"), F.size(parts).alias("_n")))
-    model = F.substring_index(label, "_", -1)
-    preprocessing = F.expr("left(_label, length(_label) - length(substring_index(_label, '_', -1)) - 1)")
-    out = split.where((F.col("_n") == 3) & F.col("r2").isNotNull() & label.contains("_"))
-    return out.select(*keep, preprocessing.alias("preprocessing"), model.alias("model"), "r2", "rmse").where("preprocessing <> ''")
+    # a generator's output is a column that filters above cannot replace by its expression,
+    # so a line is built, tested and split once each
+    once = lines.select(*keep, F.explode(F.array(F.col(line_col))).alias("_line")).where(F.col("_line").rlike(RUN_LOG_PATTERN))
+    split = once.select(*keep, F.explode(F.array(F.split("_line", ": R2=|, RMSE="))).alias("_parts"))
+    label, r2, rmse = (F.get("_parts", F.lit(k)) for k in range(3))
+    fields = F.struct(label.alias("label"), F.substring_index(label, "_", -1).alias("model"), r2.try_cast("double").alias("r2"),
+                      rmse.try_cast("double").alias("rmse"))
+    rows = split.where(F.size("_parts") == 3).select(*keep, F.explode(F.array(fields)).alias("x"))
+    rows = rows.where(F.col("x.r2").isNotNull() & F.col("x.label").contains("_"))
+    preprocessing = F.expr("left(x.label, length(x.label) - length(x.model) - 1)")
+    return rows.select(*keep, preprocessing.alias("preprocessing"), "x.model", "x.r2", "x.rmse").where("preprocessing <> ''")
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
