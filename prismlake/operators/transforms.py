@@ -142,10 +142,10 @@ def mean_spectrum(df: DataFrame) -> DataFrame:
     return clean.band_stat_arrays(df, "mean")
 
 
-def prep_msc(df: DataFrame) -> DataFrame:
-    """Multiplicative scatter correction against the dataset mean spectrum:
-    least squares x ~ a*m + b per row, output (x - b) / a."""
-    joined = df.join(mean_spectrum(df), "dataset")
+def prep_msc(df: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """Multiplicative scatter correction against the dataset mean spectrum (or a stored one,
+    (dataset, stat)): least squares x ~ a*m + b per row, output (x - b) / a."""
+    joined = df.join(mean_spectrum(df) if reference is None else reference, "dataset")
     s, m = F.col("spectrum"), F.col("stat")
 
     def fit(mm, xm):

@@ -22,17 +22,30 @@ _FOLDS = ("fo", f"""select dataset, sample_id, spectrum[{BAND + 1}] as x, target
           from spectra) q""")
 _FIT_ALL = ("fit_all", "select dataset, regr_slope(target, x) as b, regr_intercept(target, x) as a, count(*) as n, "
                        "avg(x) as xm, var_pop(x) * count(*) as sxx from fo group by dataset")
-_PRED = ("pred", "select fo.dataset, fo.sample_id, fo.target, greatest(f.a + f.b * fo.x, 0.001) as y_pred "
-                 "from fo join fit_all f on fo.dataset = f.dataset")
+
+# A model of all bands that SQL can state: PLS with one component on standardised bands.
+ONE_COMPONENT = ("pls", '{"n_components": 1}')
+_BANDS = ("st", """select dataset, band, avg(value) as mx, case when stddev_samp(value) > 0 then stddev_samp(value) else 1 end as sx,
+    covar_samp(value, target) as cxy from spectra_long group by dataset, band""")
+_WEIGHTS = ("wt", "select dataset, band, mx, sx, (cxy / sx) / sqrt(sum((cxy / sx) * (cxy / sx)) over (partition by dataset)) as w from st")
+_SCORES = ("sc", """select l.dataset, l.sample_id, any_value(l.target) as target, sum((l.value - w.mx) / w.sx * w.w) as t
+    from spectra_long l join wt w on l.dataset = w.dataset and l.band = w.band group by l.dataset, l.sample_id""")
+_SLOPE = ("sl", """select s.dataset, any_value(g.ym) as ym, sum(s.t * (s.target - g.ym)) / sum(s.t * s.t) as q
+    from sc s join (select dataset, avg(target) as ym from spectra group by dataset) g on s.dataset = g.dataset group by s.dataset""")
+_COEF = ("co", """select w.dataset, list(w.w * q.q / w.sx order by w.band) as coef, any_value(q.ym) - sum(w.w * q.q / w.sx * w.mx) as intercept
+    from wt w join sl q on w.dataset = q.dataset group by w.dataset""")
+_PRED = ("pred", """select p.dataset, p.sample_id, p.target, greatest(c.intercept + list_sum(list_transform(range(1, len(c.coef) + 1),
+    lambda i: c.coef[i] * p.spectrum[i])), 0.001) as y_pred from spectra p join co c on p.dataset = c.dataset""")
+_PLS = [_BANDS, _WEIGHTS, _SCORES, _SLOPE, _COEF]
 
 
 def _one_band(spark, sf):
     return fx.spectra(spark, sf).withColumn("spectrum", F.array(F.col("spectrum")[BAND]))
 
 
-def _predictions(spark, sf, cut):
-    spectra = cut(spark, sf)
-    return pr.batch_predict(spectra, pr.fit_linear(spectra, "ols"))
+def _predictions(spark, sf, model):
+    spectra = fx.spectra(spark, sf)
+    return pr.batch_predict(spectra, pr.fit_linear(spectra, *model))
 
 
 # ----------------------------------------------------------------- cross-validation
@@ -75,9 +88,23 @@ def q_refit_best(spark, sf):
             .select("dataset", "preprocessing", "model", "params", "intercept", F.size("coef").alias("n_coef")))
 
 
-@register("cv_tuned_vs_default", None)
+TUNED_PREPS = ["Reflectance", "Absorbance", "snv", "sg_deriv1"]
+
+
+@register("cv_tuned_vs_default", None, note="PLS and linear KRR tuned by inner R2 over the whole grid, beside the defaults")
 def q_cv_tuned_vs_default(spark, sf):
-    return sel.cv_tuned_vs_default(fx.spectra(spark, sf), ["Absorbance"], ["pls", "krr"])
+    return sel.cv_tuned_vs_default(fx.spectra(spark, sf), TUNED_PREPS, ["pls", "krr"])
+
+
+@register("cv_tuned_random", None, note="the same with 50 random draws")
+def q_cv_tuned_random(spark, sf):
+    return sel.cv_tuned_vs_default(fx.spectra(spark, sf), TUNED_PREPS, ["pls", "krr"], method="random")
+
+
+@register("tuning_candidates", None, note="every tuning point of every fold with its inner R2, and the winner")
+def q_tuning_candidates(spark, sf):
+    points = {m: sel.tuning_points(spark, m, "random", 20) for m in ("pls", "krr")}
+    return sel.tuning_candidates(sel.prepare(fx.spectra(spark, sf), TUNED_PREPS, inner_k=5), points)
 
 
 @register("model_fixed_set", None)
@@ -104,16 +131,44 @@ def q_model_fixed_set(spark, sf):
 
 # ----------------------------------------------------------------- leave-one-out
 
-_LOO = ("loo", """select fo.dataset, fo.sample_id, fo.target as y_true, f.a + f.b * fo.x as y_fit,
+_PRESS = ("loo", """select fo.dataset, fo.sample_id, fo.target as y_true, f.a + f.b * fo.x as y_fit,
       1.0 / f.n + (fo.x - f.xm) * (fo.x - f.xm) / f.sxx as leverage,
       fo.target - (fo.target - (f.a + f.b * fo.x)) / (1 - (1.0 / f.n + (fo.x - f.xm) * (fo.x - f.xm) / f.sxx)) as y_pred
     from fo join fit_all f on fo.dataset = f.dataset""")
 
 
-@register("loo_predictions", duck_with("select * from loo", "spectra", extra=[_FOLDS, _FIT_ALL, _LOO]),
+@register("loo_press_single_band", duck_with("select * from loo", "spectra", extra=[_FOLDS, _FIT_ALL, _PRESS]),
           ["y_true", "y_fit", "leverage", "y_pred"])
-def q_loo_predictions(spark, sf, cut=_one_band):
-    return sel.loo_linear(cut(spark, sf))
+def q_loo_press_single_band(spark, sf):
+    return sel.loo_linear(_one_band(spark, sf))
+
+
+# One-component PLS without each row in turn, from the sums over all rows: without row i a sum
+# of products of deviations a, b is S - n / (n - 1) a_i b_i.
+_LOO = [
+    ("dv", """select l.dataset, l.sample_id, l.band, l.value - m.mx as dx, l.target - m.ym as dy, m.n, m.ym from spectra_long l
+        join (select dataset, band, avg(value) as mx, avg(target) as ym, count(*) as n from spectra_long group by dataset, band) m
+        on l.dataset = m.dataset and l.band = m.band"""),
+    ("cr", """select a.dataset, a.band as j, b.band as k, sum(a.dx * b.dx) as s from dv a join dv b
+        on a.dataset = b.dataset and a.sample_id = b.sample_id group by a.dataset, a.band, b.band"""),
+    ("rv", """select d.dataset, d.sample_id, d.band, d.dx, d.dy, d.n, d.ym, c.cxy - d.n / (d.n - 1.0) * d.dx * d.dy as sxy,
+        case when c.sxx - d.n / (d.n - 1.0) * d.dx * d.dx > 0 then sqrt((c.sxx - d.n / (d.n - 1.0) * d.dx * d.dx) / (d.n - 2)) else 1 end as sd
+        from dv d join (select dataset, band, sum(dx * dy) as cxy, sum(dx * dx) as sxx from dv group by dataset, band) c
+        on d.dataset = c.dataset and d.band = c.band"""),
+    ("uv", """select *, (sxy / sd) / sqrt(sum((sxy / sd) * (sxy / sd)) over (partition by dataset, sample_id)) / sd as u from rv"""),
+    ("qu", """select a.dataset, a.sample_id, sum(a.u * b.u * c.s) as usu from uv a join cr c on a.dataset = c.dataset and a.band = c.j
+        join uv b on b.dataset = a.dataset and b.sample_id = a.sample_id and b.band = c.k group by a.dataset, a.sample_id"""),
+    ("loo", """select v.dataset, v.sample_id, v.ym + v.dy as y_true,
+          v.ym - v.dy / (v.n - 1) + v.uy / (q.usu - v.n / (v.n - 1.0) * v.ud * v.ud) * v.ud * v.n / (v.n - 1.0) as y_pred
+        from (select dataset, sample_id, any_value(n) as n, any_value(ym) as ym, any_value(dy) as dy, sum(u * dx) as ud, sum(u * sxy) as uy
+              from uv group by dataset, sample_id) v join qu q on v.dataset = q.dataset and v.sample_id = q.sample_id"""),
+]
+
+
+@register("loo_predictions", duck_with("select * from loo", "spectra_long", extra=_LOO), ["y_true", "y_pred"],
+          note="one-component PLS on all bands, each row predicted without itself")
+def q_loo_predictions(spark, sf):
+    return sel.loo_pls(fx.spectra(spark, sf), 1)
 
 
 _LOO_METRICS = """select dataset, n, case when vt > 0 then 1 - sse / (vt * n) end as r2, sqrt(sse / n) as rmse, sae / n as mae,
@@ -122,16 +177,18 @@ _LOO_METRICS = """select dataset, n, case when vt > 0 then 1 - sse / (vt * n) en
             sum(abs(y_pred - y_true)) as sae, var_pop(y_true) as vt from loo group by dataset) a"""
 
 
-@register("loo_metrics", duck_with(_LOO_METRICS, "spectra", extra=[_FOLDS, _FIT_ALL, _LOO]), ["r2", "rmse", "mae", "rpd"])
-def q_loo_metrics(spark, sf, cut=_one_band):
-    return sel.loo_metrics(sel.loo_linear(cut(spark, sf)))
+@register("loo_metrics", duck_with(_LOO_METRICS, "spectra_long", extra=_LOO), ["r2", "rmse", "mae", "rpd"])
+def q_loo_metrics(spark, sf):
+    return sel.loo_metrics(sel.loo_pls(fx.spectra(spark, sf), 1))
 
 
-@register("loo_run_summary", duck_with("select dataset, 'ols' as model, r2, rmse, n from (" + _LOO_METRICS + ") m",
-                                       "spectra", extra=[_FOLDS, _FIT_ALL, _LOO]), ["r2", "rmse"])
-def q_loo_run_summary(spark, sf, cut=_one_band):
-    m = sel.loo_metrics(sel.loo_linear(cut(spark, sf)))
-    return m.select("dataset", F.lit("ols").alias("model"), "r2", "rmse", "n")
+@register("loo_run_summary", duck_with("select dataset, 'pls' as model, r2, rmse, n from (" + _LOO_METRICS + ") m",
+                                       "spectra_long", extra=_LOO), ["r2", "rmse"], note="appended to the runs table and read back")
+def q_loo_run_summary(spark, sf):
+    m = sel.loo_metrics(sel.loo_pls(fx.spectra(spark, sf), 1))
+    runs = files.scratch_path(spark, "runs")
+    files.append_run(m.select("dataset", F.lit("pls").alias("model"), "r2", "rmse", "n"), runs)
+    return spark.read.parquet(runs).select("dataset", "model", "r2", "rmse", "n")
 
 
 # ----------------------------------------------------------------- importance
@@ -180,36 +237,36 @@ def q_metric_melt(spark, sf):
 
 # ----------------------------------------------------------------- prediction
 
-@register("batch_predict", duck_with("select dataset, sample_id, target, y_pred from pred", "spectra",
-                                     extra=[_FOLDS, _FIT_ALL, _PRED]), ["target", "y_pred"])
-def q_batch_predict(spark, sf, cut=_one_band):
-    return _predictions(spark, sf, cut).select("dataset", "sample_id", "target", "y_pred")
+@register("batch_predict", duck_with("select dataset, sample_id, target, y_pred from pred", "spectra_long",
+                                     extra=[*_PLS, _PRED]), ["target", "y_pred"])
+def q_batch_predict(spark, sf, model=ONE_COMPONENT):
+    return _predictions(spark, sf, model).select("dataset", "sample_id", "target", "y_pred")
 
 
 @register("prediction_summary", duck_with("""select dataset, avg(y_pred) as mean_pred, stddev_pop(y_pred) as std_pred,
     min(y_pred) as min_pred, max(y_pred) as max_pred, count(y_pred) as n_pred from pred group by dataset""",
-    "spectra", extra=[_FOLDS, _FIT_ALL, _PRED]), ["mean_pred", "std_pred", "min_pred", "max_pred"])
-def q_prediction_summary(spark, sf, cut=_one_band):
-    return pr.prediction_summary(_predictions(spark, sf, cut))
+    "spectra_long", extra=[*_PLS, _PRED]), ["mean_pred", "std_pred", "min_pred", "max_pred"])
+def q_prediction_summary(spark, sf, model=ONE_COMPONENT):
+    return pr.prediction_summary(_predictions(spark, sf, model))
 
 
 @register("residuals", duck_with("""select p.dataset, p.sample_id, row_number() over (partition by p.dataset order by p.sample_id) as sample,
     p.target as actual, p.y_pred, p.y_pred - p.target as residual, abs(p.y_pred - p.target) as abs_residual, a.axis_pad
     from pred p join (select dataset, greatest((greatest(max(target), max(y_pred)) - least(min(target), min(y_pred))) * 0.05, 1e-6)
       as axis_pad from pred group by dataset) a on p.dataset = a.dataset""",
-    "spectra", extra=[_FOLDS, _FIT_ALL, _PRED]), ["actual", "y_pred", "residual", "abs_residual", "axis_pad"])
-def q_residuals(spark, sf, cut=_one_band):
-    return pr.residuals(_predictions(spark, sf, cut))
+    "spectra_long", extra=[*_PLS, _PRED]), ["actual", "y_pred", "residual", "abs_residual", "axis_pad"])
+def q_residuals(spark, sf, model=ONE_COMPONENT):
+    return pr.residuals(_predictions(spark, sf, model))
 
 
 _CAL = ("cal", "select dataset, regr_slope(y_pred, target) as cal_slope, regr_intercept(y_pred, target) as cal_intercept "
                "from pred group by dataset")
 
 
-@register("calibration_fit", duck_with("select * from cal", "spectra", extra=[_FOLDS, _FIT_ALL, _PRED, _CAL]),
+@register("calibration_fit", duck_with("select * from cal", "spectra_long", extra=[*_PLS, _PRED, _CAL]),
           ["cal_slope", "cal_intercept"])
-def q_calibration_fit(spark, sf, cut=_one_band):
-    return pr.calibration_fit(_predictions(spark, sf, cut))
+def q_calibration_fit(spark, sf, model=ONE_COMPONENT):
+    return pr.calibration_fit(_predictions(spark, sf, model))
 
 
 @register("calibrate_predictions", duck_with("""
@@ -218,9 +275,9 @@ def q_calibration_fit(spark, sf, cut=_one_band):
     from (select p.*, case when abs(c.cal_slope) > 1e-9 then (p.y_pred - c.cal_intercept) / c.cal_slope else p.y_pred end as calibrated,
             (case when abs(c.cal_slope) > 1e-9 then (p.y_pred - c.cal_intercept) / c.cal_slope else p.y_pred end) - p.target as d
           from pred p join cal c on p.dataset = c.dataset) q group by dataset""",
-    "spectra", extra=[_FOLDS, _FIT_ALL, _PRED, _CAL]), ["mae", "rmse", "bias", "r2"])
-def q_calibrate_predictions(spark, sf, cut=_one_band):
-    return pr.calibrate_predictions(_predictions(spark, sf, cut))[1]
+    "spectra_long", extra=[*_PLS, _PRED, _CAL]), ["mae", "rmse", "bias", "r2"])
+def q_calibrate_predictions(spark, sf, model=ONE_COMPONENT):
+    return pr.calibrate_predictions(_predictions(spark, sf, model))[1]
 
 
 @register("map_actuals", duck_with("""
@@ -228,33 +285,40 @@ def q_calibrate_predictions(spark, sf, cut=_one_band):
       case when count(*) >= 2 then power(corr(mapped, y_pred), 2) end as r2
     from (select p.*, c.cal_slope * p.target + c.cal_intercept as mapped, p.y_pred - (c.cal_slope * p.target + c.cal_intercept) as d
           from pred p join cal c on p.dataset = c.dataset) q group by dataset""",
-    "spectra", extra=[_FOLDS, _FIT_ALL, _PRED, _CAL]), ["mae", "rmse", "bias", "r2"])
-def q_map_actuals(spark, sf, cut=_one_band):
-    return pr.map_actuals(_predictions(spark, sf, cut))[1]
+    "spectra_long", extra=[*_PLS, _PRED, _CAL]), ["mae", "rmse", "bias", "r2"])
+def q_map_actuals(spark, sf, model=ONE_COMPONENT):
+    return pr.map_actuals(_predictions(spark, sf, model))[1]
 
 
 # ----------------------------------------------------------------- model bundle
 
-def _bundle(spark, sf, cut):
-    """Write model table, band table and run log under the shared scratch folder; read back."""
-    root = files.scratch_path(spark, "bundle")
-    pr.fit_linear(cut(spark, sf), "ols").write.mode("overwrite").parquet(f"{root}/model")
-    fx.bands(spark).write.mode("overwrite").parquet(f"{root}/bands")
-    fx.run_log_lines(spark, sf).write.mode("overwrite").partitionBy("dataset").text(f"{root}/run_log")
-    model = spark.read.parquet(f"{root}/model")
-    bands = spark.read.parquet(f"{root}/bands")
-    log = spark.read.text(f"{root}/run_log").withColumnRenamed("value", "line")
-    return model, bands, log
-
-
 @register("write_model_bundle", duck_with("""
-    select f.dataset, 'ols' as model, f.a as intercept, f.b as coef0, l.n_log_lines
-    from fit_all f join (select dataset, count(*) as n_log_lines from run_log_lines group by dataset) l on f.dataset = l.dataset""",
-    "spectra", "run_log_lines", extra=[_FOLDS, _FIT_ALL]), ["intercept", "coef0"])
+    select c.dataset, 'Reflectance' as preprocessing, 'pls' as model, c.intercept, c.coef, l.n_log_lines
+    from co c join (select dataset, count(*) as n_log_lines from run_log_lines group by dataset) l on c.dataset = l.dataset""",
+    "spectra_long", "run_log_lines", extra=_PLS), {"intercept": 6, "[]coef": 6}, note="written, loaded again: every coefficient")
 def q_write_model_bundle(spark, sf):
-    model, _bands, log = _bundle(spark, sf, _one_band)
-    counts = log.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_log_lines"))
-    return model.select("dataset", "model", "intercept", F.col("coef")[0].alias("coef0")).join(counts, "dataset")
+    from prismlake.operators import bundle as bu
+    root = files.scratch_path(spark, "bundle")
+    bu.write_model_bundle(root, fx.spectra(spark, sf), fx.bands(spark), "Reflectance", *ONE_COMPONENT, run_log=fx.run_log_lines(spark, sf))
+    loaded = bu.load_model_bundle(spark, root)
+    counts = loaded.run_log.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_log_lines"))
+    return loaded.model.select("dataset", "preprocessing", "model", "intercept", "coef").join(counts, "dataset")
+
+
+@register("bundle_predict", duck_with("""
+    select p.dataset, p.sample_id, greatest(c.intercept + list_sum(list_transform(range(1, len(c.coef) + 1),
+      lambda i: c.coef[i] * p.spectrum[i])), 0.001) as y_pred from spectra p join co c on p.dataset = c.dataset where p.dataset = 'T1'""",
+    "spectra_long", extra=_PLS), ["y_pred"], note="wide table with shuffled and surplus columns -> load, align, transform, score, floor")
+def q_bundle_predict(spark, sf):
+    from prismlake.operators import bundle as bu
+    from prismlake.sources import schema
+    root = files.scratch_path(spark, "bundle")
+    spectra, bands = fx.spectra(spark, sf), fx.bands(spark)
+    bu.write_model_bundle(root, spectra, bands, "Reflectance", *ONE_COMPONENT)
+    one = spectra.where("dataset = 'T1'")
+    names = [f"T1_{int(w)}" for w in bu.wavelengths(bands)]
+    wide = one.select("sample_id", F.lit("x").alias("note"), *[F.col("spectrum")[i].alias(n) for i, n in reversed(list(enumerate(names)))])
+    return bu.predict_wide(wide, bu.load_model_bundle(spark, root), "T1").select("dataset", "sample_id", "y_pred")
 
 
 @register("model_registry", duck_with(f"""
@@ -304,10 +368,10 @@ def q_model_rule_committee(spark, sf):
 
 # ----------------------------------------------------------------- streaming
 
-@register("stream_batch_predict", duck_with("select dataset, sample_id, target, y_pred from pred", "spectra",
-                                            extra=[_FOLDS, _FIT_ALL, _PRED]), ["target", "y_pred"])
-def q_stream_batch_predict(spark, sf, cut=_one_band):
-    """OLS scoring (single-band, or all bands) of spectra arriving as a file stream of ``embeddings``."""
+@register("stream_batch_predict", duck_with("select dataset, sample_id, target, y_pred from pred", "spectra_long",
+                                            extra=[*_PLS, _PRED]), ["target", "y_pred"])
+def q_stream_batch_predict(spark, sf, model=ONE_COMPONENT):
+    """Scoring of spectra that arrive as a file stream of ``embeddings``, all bands."""
     from prismlake.streaming.scoring import run_available_now, stream_predict
     emb = fx.table(spark, sf, "embeddings")
     stream = spark.readStream.schema(emb.schema).parquet(f"{sf}/embeddings.parque[t]")
@@ -316,9 +380,9 @@ def q_stream_batch_predict(spark, sf, cut=_one_band):
         return df.selectExpr(
             "concat('T', cast(1 + label % 5 as string)) as dataset", "vec_id as sample_id",
             "transform(embedding, e -> 0.5D + 0.5D * cast(e as double)) as spectrum").selectExpr(
-            "dataset", "sample_id", f"array(spectrum[{BAND}]) as spectrum" if cut is _one_band else "spectrum",
+            "dataset", "sample_id", "spectrum",
             "20D + 40D*spectrum[5] - 25D*spectrum[20] + 30D*spectrum[40]*spectrum[50] + 2D*((sample_id*7919) % 101)/101D as target")
-    models = pr.fit_linear(cut(spark, sf), "ols")
+    models = pr.fit_linear(fx.spectra(spark, sf), *model)
     sink = run_available_now(spark, stream_predict(stream, models, to_spectra))
     return spark.read.parquet(sink).select("dataset", "sample_id", "target", "y_pred")
 
@@ -356,17 +420,34 @@ def q_model_svr(spark, sf):
     return cv_svr(_absorbance(spark, sf))
 
 
-# ----------------------------------------------------------------- the whole spectrum
+# ----------------------------------------------------------------- the same with least squares
+
+# The plain names run one-component PLS, which SQL can state; these run multi-band OLS.
+for _q in (q_batch_predict, q_prediction_summary, q_residuals, q_calibration_fit, q_calibrate_predictions, q_map_actuals,
+           q_stream_batch_predict):
+    register(f"{_q.__name__[2:]}_all_bands", None, note="multi-band OLS on all bands")(functools.partial(_q, model=("ols",)))
+
 
-# The SQL of these queries is stated for band ``BAND``; under ``..._all_bands`` the same
-# functions run on whole spectra with a multi-band model.
-for _q in (q_loo_predictions, q_loo_metrics, q_loo_run_summary, q_batch_predict, q_prediction_summary, q_residuals,
-           q_calibration_fit, q_calibrate_predictions, q_map_actuals, q_stream_batch_predict):
-    register(f"{_q.__name__[2:]}_all_bands", None, note="multi-band OLS on all bands")(functools.partial(_q, cut=fx.spectra))
+@register("loo_predictions_all_bands", None, note="multi-band OLS on all bands, exact PRESS")
+def q_loo_predictions_all_bands(spark, sf):
+    return sel.loo_linear(fx.spectra(spark, sf))
+
+
+@register("loo_metrics_all_bands", None, note="multi-band OLS on all bands, exact PRESS")
+def q_loo_metrics_all_bands(spark, sf):
+    return sel.loo_metrics(sel.loo_linear(fx.spectra(spark, sf)))
+
+
+@register("loo_run_summary_all_bands", None, note="multi-band OLS on all bands, exact PRESS")
+def q_loo_run_summary_all_bands(spark, sf):
+    return q_loo_metrics_all_bands(spark, sf).select("dataset", F.lit("ols").alias("model"), "r2", "rmse", "n")
 
 
 @register("write_model_bundle_all_bands", None, note="multi-band OLS on all bands, with every coefficient")
 def q_write_model_bundle_all_bands(spark, sf):
-    model, _bands, log = _bundle(spark, sf, fx.spectra)
-    counts = log.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_log_lines"))
-    return model.select("dataset", "model", "intercept", "coef").join(counts, "dataset")
+    from prismlake.operators import bundle as bu
+    root = files.scratch_path(spark, "bundle")
+    bu.write_model_bundle(root, fx.spectra(spark, sf), fx.bands(spark), "Reflectance", "ols", run_log=fx.run_log_lines(spark, sf))
+    loaded = bu.load_model_bundle(spark, root)
+    counts = loaded.run_log.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_log_lines"))
+    return loaded.model.select("dataset", "model", "intercept", "coef").join(counts, "dataset")

@@ -17,6 +17,8 @@ Plan (all Spark jobs, no per-model passes over the data):
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 
 import numpy as np
@@ -29,6 +31,7 @@ from prismlake.functions import arrays as A
 from prismlake.operators import clean, evaluate
 from prismlake.operators import linear as L
 from prismlake.operators.gram import Moments, gram_pass
+from prismlake.sources.files import scratch_path
 
 COEF_SCHEMA = ("dataset STRING, preprocessing STRING, model STRING, fold INT, params STRING, "
                "inner_rmse DOUBLE, intercept DOUBLE, coef ARRAY<DOUBLE>")
@@ -124,15 +127,101 @@ def cross_validate(spectra: DataFrame, preps: list[str], models: list[str], k: i
     return score(prepared, coefs), coefs
 
 
-def cv_tuned_vs_default(spectra: DataFrame, preps: list[str], models: list[str]) -> DataFrame:
-    """Inner-tuned and default-parameter models side by side (pooled metrics)."""
-    prepared = prepare(spectra, preps)
-    out = None
-    for tuned in (True, False):
-        oof = score(prepared, fit_coefficients(prepared, models, tuned=tuned)).drop("params")
-        m = evaluate.regression_metrics(oof).withColumn("tuned", F.lit(tuned))
-        out = m if out is None else out.unionByName(m)
-    return out
+# ----------------------------------------------------------------- tuning by R2
+
+# Grids and ranges of the tuning run (whole numbers: both ends included).
+TUNING_GRIDS = {"pls": {"n_components": [2, 3, 5, 7, 10, 15, 20], "scale": [True, False]},
+                "krr": {"alpha": [0.1, 0.5, 1.0, 2.0, 5.0, 10.0]}}
+TUNING_SPACES = {"pls": {"n_components": ("int", 2, 24), "scale": ("choice", [True, False])},
+                 "krr": {"alpha": ("uniform", 0.1, 10.1)}}
+CANDIDATE_SCHEMA = ("dataset STRING, preprocessing STRING, model STRING, fold INT, tuned BOOLEAN, point INT, params STRING, cv_r2 DOUBLE, "
+                    "chosen BOOLEAN, intercept DOUBLE, coef ARRAY<DOUBLE>")
+
+
+def tuning_points(spark, model: str, method: str = "grid", n_iter: int = 50, seed: int = 42) -> list[dict]:
+    """The parameter points of a search: the whole grid, or ``n_iter`` draws by md5 (the same
+    in every engine, ``evaluate.random_param_sample``)."""
+    if method == "grid":
+        grid = TUNING_GRIDS[model]
+        return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    space = TUNING_SPACES[model]
+    drawn = evaluate.random_param_sample(spark, n_iter, space, seed).orderBy("draw").collect()
+    read = lambda name, value: value == "True" if space[name][0] == "choice" else value
+    return [{name: read(name, r[name]) for name in space} for r in drawn]
+
+
+def _fit_points(model: str, m: Moments, points: list[dict]) -> list[tuple[float, np.ndarray]]:
+    """Every point fitted from one moment matrix; all component counts of PLS from one run."""
+    if model == "pls":
+        most = {scale: max((p["n_components"] for p in points if p["scale"] == scale), default=0) for scale in (True, False)}
+        paths = {scale: L.pls1_path(m, n, scale) for scale, n in most.items() if n}
+        return [paths[p["scale"]][p["n_components"] - 1] for p in points]
+    return [L.ridge_no_intercept(m, p["alpha"]) for p in points]
+
+
+def _tuner(points: dict[str, list[dict]], k: int, inner_k: int):
+    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        q = int(pdf["p"].iloc[0]) + 1
+        cells = {(int(r.fold), int(r.inner)): Moments.from_packed(r.g, q) for r in pdf.itertuples()}
+
+        def total(keep) -> Moments | None:
+            found = [m for at, m in cells.items() if keep(*at)]
+            return functools.reduce(lambda a, b: a + b, found) if found else None
+
+        rows = []
+        for f in range(k):
+            train = total(lambda ff, j: ff != f)  # noqa: B023
+            if train is None or train.n < 2:
+                continue
+            inner = []
+            for j in range(inner_k):
+                val = total(lambda ff, jj: ff != f and jj == j)  # noqa: B023
+                if val is not None and val.n >= 2 and train.n - val.n >= 2 and val.cov_ss[-1, -1] > 0:
+                    inner.append((train - val, val))
+            for model, candidates in points.items():
+                scores = [[1 - L.sse(val, b0, coef) / val.cov_ss[-1, -1] for b0, coef in _fit_points(model, rest, candidates)] for rest, val in inner]
+                mean = np.mean(scores, 0) if scores else np.full(len(candidates), np.nan)
+                best = int(np.nanargmax(mean)) if scores else 0
+                b0, coef = _fit_points(model, train, [candidates[best]])[0]
+                for i, point in enumerate(candidates):
+                    fit = (float(b0), coef.tolist()) if i == best else (None, None)
+                    rows.append((*key, model, f, True, i, json.dumps(point), float(mean[i]) if scores else None, i == best, *fit))
+                params, (b0, coef) = L.fit_params(model, train, DEFAULT_PARAMS[model])
+                rows.append((*key, model, f, False, 0, params, None, True, float(b0), coef.tolist()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATE_SCHEMA.split(", ")])
+    return solve
+
+
+def tuning_candidates(prepared: DataFrame, points: dict[str, list[dict]], k: int = 5, inner_k: int = 5) -> DataFrame:
+    """Every point of every outer fold with its mean inner R2 (``cv_r2``, from validation
+    moments), the winner (``chosen``: largest, first of equal ones) refitted on the fold's
+    training set, and the default parameters beside it (``tuned`` false)."""
+    cells = gram_pass(prepared, ["dataset", "preprocessing", "fold", "inner"], "spectrum", "target")
+    return cells.groupBy("dataset", "preprocessing").applyInPandas(_tuner(points, k, inner_k), CANDIDATE_SCHEMA)
+
+
+def score_candidates(prepared: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Out-of-fold predictions of the chosen and the default models (``tuned``)."""
+    chosen = candidates.where("chosen").select("dataset", "preprocessing", "fold", "model", "tuned", "params", "cv_r2", "intercept", "coef")
+    return prepared.join(chosen, ["dataset", "preprocessing", "fold"]).select(
+        "dataset", "preprocessing", "model", "tuned", "fold", "sample_id", "params", "cv_r2", F.col("target").alias("y_true"),
+        (F.col("intercept") + A.arr_dot("spectrum", "coef")).alias("y_pred"))
+
+
+def cv_tuned_vs_default(spectra: DataFrame, preps: list[str], models: list[str], method: str = "grid", n_iter: int = 50, seed: int = 42,
+                        k: int = 5, inner_k: int = 5) -> DataFrame:
+    """Pooled metrics of tuned and default models side by side, with the mean inner R2 and the
+    parameters of fold 0.  Tuning maximises R2 over the inner folds (``grid`` or ``random``)."""
+    prepared = prepare(spectra, preps, inner_k=inner_k)
+    points = {m: tuning_points(spectra.sparkSession, m, method, n_iter, seed) for m in models}
+    path = scratch_path(spectra.sparkSession, "tuning")
+    tuning_candidates(prepared, points, k, inner_k).write.mode("overwrite").parquet(path)
+    candidates = spectra.sparkSession.read.parquet(path)
+    oof = score_candidates(prepared, candidates)
+    keys = ["dataset", "preprocessing", "model", "tuned"]
+    metrics = evaluate._finish(oof.groupBy(*keys).agg(*evaluate._metric_aggs()))
+    chosen = candidates.where("chosen").groupBy(*keys).agg(F.avg("cv_r2").alias("mean_cv_r2"), F.min_by("params", "fold").alias("params_fold0"))
+    return metrics.join(chosen, keys)
 
 
 # ----------------------------------------------------------------- leave-one-out
@@ -230,34 +319,80 @@ def native_importance(coefs: DataFrame) -> DataFrame:
         .withColumn("importance", F.abs("coef_value")).withColumn("band", F.col("band").cast("int"))
 
 
+LOO_BYTES = 1 << 27        # moments that tasks get at once; more datasets go in several passes
+
+
+def _pls_without_row(m: Moments, x: np.ndarray, y: np.ndarray, n_components: int) -> np.ndarray:
+    """Predictions of rows by the PLS models of all rows but each row itself.
+
+    Without row i, sums of products of deviations are S - n / (n - 1) d_i d_i': so a product
+    with the matrix without row i is one with S, for all rows of the batch together, and a
+    rank-one term.  Columns are standardised (ddof 1) with the deviations without row i."""
+    n, p = m.n, len(m.mean) - 1
+    f = n / (n - 1)
+    dx, dy = x - m.mean[:p], y - m.mean[p]
+    sxx = np.maximum(np.diag(m.cov_ss)[:p] - f * dx * dx, 0.0)
+    syy = np.maximum(m.cov_ss[p, p] - f * dy * dy, 0.0)
+    sx, sy = np.sqrt(sxx / (n - 2)), np.sqrt(syy / (n - 2))
+    sx[sx == 0] = 1.0
+    sy[sy == 0] = 1.0
+    xty = (m.cov_ss[:p, p] - f * dx * dy[:, None]) / sx / sy[:, None]
+    spread = m.cov_ss[:p, :p]
+
+    def product(v: np.ndarray) -> np.ndarray:
+        u = v / sx
+        return (u @ spread - f * dx * (u * dx).sum(1, keepdims=True)) / sx
+
+    coef, rs, ps = np.zeros_like(x), [], []
+    going = np.ones(len(x), bool)
+    for _ in range(min(n_components, p)):
+        norm = np.linalg.norm(xty, axis=1)
+        going &= norm > 1e-300
+        w = xty / np.where(going, norm, 1.0)[:, None]
+        r = w.copy()
+        for rj, pj in zip(rs, ps):
+            r -= (pj * w).sum(1, keepdims=True) * rj
+        xr = product(r)
+        tt = (r * xr).sum(1)
+        going &= tt > 1e-300
+        safe = np.where(going, tt, 1.0)
+        pa, qa = xr / safe[:, None], np.where(going, (r * xty).sum(1) / safe, 0.0)
+        xty = xty - pa * (qa * safe)[:, None]
+        rs.append(r)
+        ps.append(pa)
+        coef += np.where(going[:, None], r * qa[:, None], 0.0)
+    coef = coef / sx * sy[:, None]
+    # the row's deviation from the means without it is f times its deviation
+    return m.mean[p] - dy / (n - 1) + f * (coef * dx).sum(1)
+
+
 def loo_pls(spectra: DataFrame, n_components: int = 8) -> DataFrame:
-    """Exact leave-one-out PLS: each row is predicted by the PLS model fitted on its
-    dataset's moments minus that row's own contribution (a rank-1 downdate), so no
-    refit ever touches the data.  One Gram pass per dataset (bounded p^2 moments,
-    broadcast), then a ``mapInPandas`` pass over the rows."""
-    spark = spectra.sparkSession
-    packed = {r["dataset"]: (r["p"], np.asarray(r["g"], dtype=float))
-              for r in gram_pass(spectra, ["dataset"], "spectrum", "target").collect()}
-    bc = spark.sparkContext.broadcast(packed)
-
-    def run(batches):
-        tables = bc.value
-        for pdf in batches:
-            preds = []
-            for ds, x, y in zip(pdf["dataset"], pdf["spectrum"], pdf["target"]):
-                p, g = tables.get(ds, (None, None))
-                if g is None or x is None or y is None or np.isnan(y) or g[0] < 3:
-                    preds.append(None)
-                    continue
-                z = np.append(np.asarray(x, dtype=float), y)
-                if np.isnan(z).any():
-                    preds.append(None)
-                    continue
-                down = g - np.concatenate([[1.0], z, np.outer(z, z).ravel()])
-                b0, coef = L.pls1_path(Moments.from_packed(down, p + 1), n_components)[n_components - 1]
-                preds.append(float(b0 + z[:p] @ coef))
-            yield pd.DataFrame({"dataset": pdf["dataset"], "sample_id": pdf["sample_id"],
-                                "y_true": pdf["target"], "y_pred": preds})
-
-    return spectra.select("dataset", "sample_id", "spectrum", "target").mapInPandas(
-        run, "dataset STRING, sample_id BIGINT, y_true DOUBLE, y_pred DOUBLE")
+    """Exact leave-one-out PLS: each row is predicted by the model of its dataset's moments
+    without the row's own contribution, so no refit touches the data.  One Gram pass per
+    dataset, then one pass over the rows; a batch takes one matrix product a component.
+    Datasets with fewer than three usable rows and rows that cannot be used get nulls."""
+    moments = gram_pass(spectra, ["dataset"], "spectrum", "target").collect()
+    packed = sorted((r["dataset"], r["p"], np.asarray(r["g"], dtype=float)) for r in moments)
+    size = max([8 * len(g) for _, _, g in packed], default=1)
+    step = max(1, LOO_BYTES // size)
+    parts = [packed[i:i + step] for i in range(0, len(packed), step)] or [[]]
+    rows, out = spectra.select("dataset", "sample_id", "spectrum", "target"), None
+    for number, part in enumerate(parts):
+        tables = {ds: Moments.from_packed(g, p + 1) for ds, p, g in part}
+
+        def run(batches, tables=tables):
+            for pdf in batches:
+                guess = np.full(len(pdf), np.nan)
+                y = pdf["target"].to_numpy(dtype=float)
+                whole = np.array([v is not None and not np.isnan(np.asarray(v, dtype=float)).any() for v in pdf["spectrum"]], bool) & ~np.isnan(y)
+                for ds, m in tables.items():
+                    at = np.flatnonzero(whole & (pdf["dataset"] == ds).to_numpy())
+                    if len(at) and m.n >= 3:
+                        x = np.stack([np.asarray(v, dtype=float) for v in pdf["spectrum"].iloc[at]])
+                        guess[at] = _pls_without_row(m, x, y[at], n_components)
+                yield pd.DataFrame({"dataset": pdf["dataset"], "sample_id": pdf["sample_id"], "y_true": pdf["target"], "y_pred": guess})
+
+        mine = rows if len(parts) == 1 else rows.where(F.col("dataset").isin([ds for ds, *_ in part]))
+        got = mine.mapInPandas(run, "dataset STRING, sample_id BIGINT, y_true DOUBLE, y_pred DOUBLE")
+        out = got if out is None else out.unionByName(got)
+    return out.withColumn("y_pred", F.nanvl("y_pred", F.lit(None).cast("double")))

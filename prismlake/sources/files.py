@@ -64,6 +64,11 @@ def parse_run_log(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return rows.select(*keep, preprocessing.alias("preprocessing"), "x.model", "x.r2", "x.rmse").where("preprocessing <> ''")
 
 
+def append_run(summary: DataFrame, path: str) -> None:
+    """Append rows of a run to the runs table."""
+    summary.write.mode("append").parquet(path)
+
+
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_run_log(spark.read.text(path).withColumnRenamed("value", "line"))
 
