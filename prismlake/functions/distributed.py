@@ -33,7 +33,9 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         largest = stats.agg(F.max("_n")).first()[0] or 0
         if largest <= max_buffer:
-            return base.groupBy(*keys).agg(*[F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()])
+            shares = F.array(*[F.lit(float(p)) for p in probs.values()])              # one buffer a group for all of them
+            found = base.groupBy(*keys).agg(F.percentile("_v", shares).alias("_q"))
+            return found.select(*keys, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
     return _selection_quantiles(base, keys, probs, max_buffer, buckets)
 
 
@@ -67,6 +69,8 @@ def _selection_quantiles(base: DataFrame, keys: list[str], probs: dict[str, floa
         nxt = chosen.select(*keys, "rank", F.col("mn").alias("lo"), F.col("mx").alias("hi"),
                             (F.col("below") + F.col("before")).alias("below"), F.col("c").alias("cnt"))
         state = done.unionByName(nxt)
+    else:
+        raise RuntimeError("a quantile was not narrowed down in 64 passes")
     state = state.checkpoint(eager=True)
     equal = state.where(F.col("lo") == F.col("hi")).select(*keys, "rank", F.col("lo").alias("x"))
     small = state.where(F.col("lo") < F.col("hi"))

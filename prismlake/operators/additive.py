@@ -20,6 +20,7 @@ A model is a ``Method``: what the trees aim at, what a round adds to a row's sta
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.operators.histograms import BINS, band_cuts, best_splits, binned_rows, descend, matrix, node_sums, uniform
+from prismlake.operators.histograms import BINS, band_cuts, best_splits, binned_rows, descend, matrix, node_sums, to_bins, uniform
 from prismlake.sources.files import delete_path, scratch_path
 
 LOCAL_ROWS = 20_000
@@ -473,3 +474,49 @@ def cross_validate(prepared: DataFrame, search: Search, k: int = 5, refit: bool
     out = spark.read.parquet(done)
     return out.where("importance is null").drop("importance"), out.where("importance is not null").select(
         "dataset", "preprocessing", "model", "fold", "params", "importance")
+
+
+# -- models to keep --------------------------------------------------------------------
+
+@dataclass
+class Fitted:
+    """One model fitted on all rows of a (dataset, preprocessing)."""
+    method: Method
+    cuts: np.ndarray
+    rounds: int
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        nothing = np.zeros(len(x), np.int64)
+        rows = Rows(to_bins(x, self.cuts), x, np.zeros(len(x)), nothing, nothing, nothing)
+        return self.method.predictions(self.method.advance(rows, self.method.start(rows), 0, self.rounds), self.rounds)[0]
+
+
+def fit_models(prepared: DataFrame, search: Search, local_rows: int = LOCAL_ROWS) -> dict[tuple[str, str], Fitted]:
+    """(dataset, preprocessing) -> the model of the search's one grid point, fitted on all rows."""
+    if len(search.points) != 1:
+        raise ValueError("a model to keep has one grid point")
+    spark, rounds = prepared.sparkSession, search.keep[-1]
+    cuts = band_cuts(prepared, search.n_bins)
+    path = scratch_path(spark, "binned")
+    binned_rows(prepared, cuts, keep_values=search.method.leaf_moments).write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
+    keys = ["dataset", "preprocessing"]
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        method = search.method(search.fits([-1]))
+        pdf = pdf.sort_values(["rid", "sample_id"])
+        fit_rows(method, rounds, Rows.of(pdf), (), search.n_bins)
+        return pd.DataFrame([(*key, pickle.dumps(method))], columns=[*keys, "method"])
+
+    sizes = {tuple(r[:2]): r["n"] for r in rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = [key for key, n in sizes.items() if n <= local_rows]
+    out = {}
+    if small:
+        mine = rows.join(spark.createDataFrame(small, "dataset string, preprocessing string"), keys)
+        for r in mine.repartition(2 * len(small), *keys).groupBy(*keys).applyInPandas(fit, "dataset string, preprocessing string, method binary").collect():
+            out[r["dataset"], r["preprocessing"]] = Fitted(pickle.loads(r["method"]), cuts[r["dataset"], r["preprocessing"]], rounds)
+    for key in sorted(set(sizes) - set(small)):
+        method = search.method(search.fits([-1]))
+        fit_on_spark(rows.where((F.col("dataset") == key[0]) & (F.col("preprocessing") == key[1])), method, rounds, (), search.n_bins)
+        out[key] = Fitted(method, cuts[key], rounds)
+    return out

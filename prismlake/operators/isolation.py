@@ -1,9 +1,9 @@
 """Isolation-forest outlier scores.
 
-Each tree is grown on a subsample of at most 256 rows (inherent to the method),
-chosen per (dataset, tree) by md5 hash -- bounded, whatever the data size.  Trees
-are grown per dataset inside ``applyInPandas`` (one group = the <= T x 256 sampled
-rows of a dataset), shipped as a broadcast of flat node arrays (size bounded by
+Each tree is grown on a subsample of at most 256 rows (inherent to the method), those of
+lowest hash of (id, tree) -- bounded, whatever the data size.  One pass over the rows
+lets only those below a small hash threshold leave a task (if ever too few do, the
+threshold is doubled).  A tree is grown per (dataset, tree) group, and trees are shipped as a broadcast of flat node arrays (size bounded by
 datasets x T x 2 x 256 nodes and checked), and every row is scored in
 ``mapInPandas`` -- vectorised over an Arrow batch, one level of all trees at a
 time.  The outlier cut is the (1 - contamination) quantile of the scores per
@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismlake.functions.distributed import group_quantiles, top_k_per_group
+from prismlake.functions.distributed import group_quantiles
+from prismlake.operators.histograms import uniform
+from prismlake.sources.files import scratch_path
 
 N_TREES = 100
 MAX_SAMPLES = 256
@@ -60,31 +62,48 @@ def _grow(X: np.ndarray, rng: np.random.Generator, max_depth: int):
     return feat, thr, left, right, size
 
 
+def _drawn(base: DataFrame, share: dict[str, float], n_trees: int, seed: int) -> DataFrame:
+    """(dataset, tree, u, sample_id, spectrum): for each tree the rows whose hash of (id, tree)
+    is below the dataset's share.  Rows are read once; few of them come out."""
+    def run(batches):
+        for pdf in batches:
+            ids = pd.util.hash_array(pdf["sample_id"].to_numpy()).view(np.int64)
+            limit = pdf["dataset"].map(share).to_numpy(dtype=float)
+            for tree in range(n_trees):
+                u = uniform(ids, seed, tree)
+                at = np.flatnonzero(u < limit)
+                if len(at):
+                    yield pdf.iloc[at].assign(tree=tree, u=u[at])[["dataset", "tree", "u", "sample_id", "spectrum"]]
+    return base.mapInPandas(run, "dataset STRING, tree INT, u DOUBLE, sample_id BIGINT, spectrum ARRAY<DOUBLE>")
+
+
+def _grower(max_samples: int, seed: int):
+    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        part = pdf.sort_values(["u", "sample_id"]).head(max_samples)
+        X = np.vstack([np.asarray(v, dtype=float) for v in part["spectrum"]])
+        rng = np.random.default_rng([seed, int(key[1]), zlib.crc32(key[0].encode())])   # stable across processes
+        f, th, l, r, s = _grow(X, rng, int(math.ceil(math.log2(max(len(X), 2)))))
+        return pd.DataFrame([(key[0], int(key[1]), len(X), f, th, l, r, s)], columns=["dataset", "tree", "psi", "feat", "thr", "left", "right", "size"])
+    return grow
+
+
 def isolation_scores(spectra: DataFrame, n_trees: int = N_TREES, max_samples: int = MAX_SAMPLES,
                      seed: int = 42) -> DataFrame:
     """(dataset, sample_id, score) with score = 2^(-E[h(x)] / c(psi)); higher = more isolated."""
     spark = spectra.sparkSession
     base = spectra.select("dataset", "sample_id", "spectrum")
-    trees_idx = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
-    h = F.md5(F.concat_ws("|", F.col("sample_id").cast("string"), F.col("tree").cast("string"), F.lit(str(seed))))
-    samples = top_k_per_group(base.select("*", trees_idx).withColumn("_h", h), ["dataset", "tree"],
-                              [F.col("_h"), F.col("sample_id")], max_samples,
-                              salt_col=F.pmod(F.xxhash64("sample_id"), F.lit(64))).drop("_h", "rank")
-
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ds = key[0]
-        rows = []
-        for t, part in pdf.groupby("tree"):
-            X = np.vstack([np.asarray(v, dtype=float) for v in part["spectrum"]])
-            rng = np.random.default_rng([seed, int(t), zlib.crc32(ds.encode())])   # stable across processes
-            depth = int(math.ceil(math.log2(max(len(X), 2))))
-            f, th, l, r, s = _grow(X, rng, depth)
-            rows.append((ds, int(t), len(X), f, th, l, r, s))
-        return pd.DataFrame(rows, columns=["dataset", "tree", "psi", "feat", "thr", "left", "right", "size"])
-
-    forest = samples.groupBy("dataset").applyInPandas(
-        grow, "dataset STRING, tree INT, psi INT, feat ARRAY<INT>, thr ARRAY<DOUBLE>, left ARRAY<INT>, "
-              "right ARRAY<INT>, size ARRAY<INT>").collect()
+    sizes = {r["dataset"]: r["n"] for r in base.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a tree takes the rows of lowest hash; only rows below a share that surely holds enough of them leave a task
+    margin = 1.0
+    while True:
+        share = {ds: min(1.0, margin * (max_samples + 8 * math.sqrt(max_samples) + 16) / n) for ds, n in sizes.items()}
+        forest = _drawn(base, share, n_trees, seed).groupBy("dataset", "tree").applyInPandas(
+            _grower(max_samples, seed), "dataset STRING, tree INT, psi INT, feat ARRAY<INT>, thr ARRAY<DOUBLE>, left ARRAY<INT>, "
+            "right ARRAY<INT>, size ARRAY<INT>").collect()
+        if len(forest) == n_trees * len(sizes) and all(r["psi"] == min(max_samples, sizes[r["dataset"]]) for r in forest):
+            break
+        margin *= 2
+    forest.sort(key=lambda r: (r["dataset"], r["tree"]))
     nodes = sum(len(r["feat"]) for r in forest)
     if nodes > MAX_BROADCAST_NODES:
         raise ValueError(f"forest of {nodes} nodes exceeds the broadcast bound")
@@ -123,6 +142,8 @@ def isolation_scores(spectra: DataFrame, n_trees: int = N_TREES, max_samples: in
 
 
 def isolation_outliers(spectra: DataFrame, contamination: float = CONTAMINATION, **kw) -> DataFrame:
-    s = isolation_scores(spectra, **kw)
+    path = scratch_path(spectra.sparkSession, "isolation")
+    isolation_scores(spectra, **kw).write.mode("overwrite").parquet(path)          # scored once: the cut and the flags read it
+    s = spectra.sparkSession.read.parquet(path)
     cut = group_quantiles(s, ["dataset"], "score", {"threshold": 1 - contamination})
     return s.join(cut, "dataset").withColumn("is_outlier", F.col("score") > F.col("threshold"))

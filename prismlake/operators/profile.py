@@ -12,12 +12,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismlake.functions import arrays as A
 from prismlake.functions.distributed import group_quantiles, top_k_per_group
 from prismlake.functions.normal import norm_pdf
+from prismlake.operators.kernel import sum_packed
 from prismlake.operators.gram import Moments, correlation, gram_pass
 from prismlake.sources.schema import spectrum_to_long
 
@@ -300,15 +302,67 @@ def dataset_moments(spectra: DataFrame, with_target: bool = True) -> dict:
     return {r["dataset"]: Moments.from_packed(r["g"], r["p"] + (1 if with_target else 0)) for r in g}
 
 
-def corr_matrix(spectra: DataFrame) -> DataFrame:
-    """Full band x band correlation per dataset, long form (dataset, i, j, r)."""
-    spark = spectra.sparkSession
-    rows = []
-    for ds, m in dataset_moments(spectra, with_target=False).items():
-        r = correlation(m)
-        p = r.shape[0]
-        rows += [(ds, i, j, float(r[i, j])) for i in range(p) for j in range(p)]
-    return spark.createDataFrame(rows, "dataset STRING, i INT, j INT, r DOUBLE")
+TILE = 128                 # bands of a side of a correlation tile
+
+
+def corr_matrix(spectra: DataFrame, tile: int = TILE) -> DataFrame:
+    """Band x band correlation per dataset, long form (dataset, i, j, r), from tiles of sums
+    and products keyed by (dataset, band block, band block): no task and not the driver
+    holds a whole matrix.  Rows with a missing value are left out; r is null (not a number)
+    where a band does not vary."""
+    def partial(batches):
+        acc: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            whole = np.array([v is not None and not np.isnan(np.asarray(v, dtype=float)).any() for v in pdf["spectrum"]], bool)
+            for ds, part in pdf[whole].groupby("dataset", sort=False):
+                x = np.stack([np.asarray(v, dtype=float) for v in part["spectrum"]])
+                blocks = [x[:, k:k + tile] for k in range(0, x.shape[1], tile)]
+                for i, a in enumerate(blocks):
+                    for j, b in enumerate(blocks[i:], i):
+                        packed = np.concatenate([[len(x), a.shape[1], b.shape[1]], a.sum(0), b.sum(0), (a * a).sum(0), (b * b).sum(0), (a.T @ b).ravel()])
+                        if (ds, i, j) in acc:
+                            packed[1:3] = 0                                     # widths are no sums
+                        acc[ds, i, j] = acc.get((ds, i, j), 0) + packed
+        if acc:
+            # the last number counts the parts that are added up, by which the widths are divided
+            yield pd.DataFrame([(*key, np.append(g, 1.0).tobytes()) for key, g in acc.items()], columns=["dataset", "ib", "jb", "g"])
+
+    def unpack(batches):
+        for pdf in batches:
+            for ds, ib, jb, g in zip(pdf["dataset"], pdf["ib"], pdf["jb"], pdf["g"]):
+                g = np.frombuffer(g, float)
+                n, parts = g[0], g[-1]
+                a, b = int(round(g[1] / parts)), int(round(g[2] / parts))
+                sa, sb, qa, qb = (g[3 + lo:3 + hi] for lo, hi in ((0, a), (a, a + b), (a + b, 2 * a + b), (2 * a + b, 2 * (a + b))))
+                cov = g[3 + 2 * (a + b):-1].reshape(a, b) - np.outer(sa, sb) / n
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    r = cov / np.sqrt(np.outer(qa - sa * sa / n, qb - sb * sb / n))
+                i, j = (v.ravel() for v in np.meshgrid(np.arange(a) + ib * tile, np.arange(b) + jb * tile, indexing="ij"))
+                yield pd.DataFrame({"dataset": ds, "i": i, "j": j, "r": r.ravel()})
+                if ib != jb:
+                    yield pd.DataFrame({"dataset": ds, "i": j, "j": i, "r": r.ravel()})
+
+    parts = spectra.select("dataset", "spectrum").mapInPandas(partial, "dataset STRING, ib INT, jb INT, g BINARY")
+    tiles = sum_packed(parts, ["dataset", "ib", "jb"])
+    return tiles.mapInPandas(unpack, "dataset STRING, i INT, j INT, r DOUBLE")
+
+
+def corr_first(spectra: DataFrame, bands: int = 40) -> DataFrame:
+    """Correlations of the first bands."""
+    return corr_matrix(spectra.withColumn("spectrum", F.slice("spectrum", 1, bands)))
+
+
+def corr_around_target(spectra: DataFrame, top: int = 20) -> DataFrame:
+    """Correlations among the bands with the ``top`` largest and smallest correlations with the
+    target, and the target itself (band -1)."""
+    corr = band_target_corr(spectra)
+    rank = lambda order: F.row_number().over(Window.partitionBy("dataset").orderBy(order, "band"))
+    ends = corr.withColumn("_a", rank(F.desc("r"))).withColumn("_b", rank(F.asc("r"))).where((F.col("_a") <= top) | (F.col("_b") <= top))
+    chosen = ends.groupBy("dataset").agg(F.sort_array(F.collect_list(F.col("band").cast("int"))).alias("bands"))     # at most 2 * top
+    rows = spectra.where("target is not null").join(chosen, "dataset").select("dataset", F.concat(
+        F.transform("bands", lambda b: F.get("spectrum", b)), F.array("target")).alias("spectrum"))
+    name = lambda c: F.coalesce(F.get("bands", F.col(c)), F.lit(-1)).alias(c)
+    return corr_matrix(rows).join(chosen, "dataset").select("dataset", name("i"), name("j"), "r")
 
 
 def pca(spectra: DataFrame, k: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -199,6 +199,14 @@ def q_permutation_importance(spark, sf):
     return sel.permutation_importance(spectra, pr.fit_linear(spectra, "pls", '{"n_components": 8}'), n_repeats=15)
 
 
+@register("permutation_importance_gbt", None, note="the same for boosted trees on the absorbance of all rows")
+def q_permutation_importance_gbt(spark, sf):
+    from prismlake.operators import additive, boosting
+    prepared = _absorbance(spark, sf)
+    models = additive.fit_models(prepared, boosting.search(boosting.FIXED))
+    return sel.permutation_importance(prepared, n_repeats=5, predictors={dataset: m for (dataset, _), m in models.items()})
+
+
 @register("native_importance", None, note="coefficients of PLS; impurity importances of forest, boosting and rules on all rows")
 def q_native_importance(spark, sf):
     from prismlake.operators import boosting, committee, forest

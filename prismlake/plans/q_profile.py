@@ -220,6 +220,25 @@ def q_corr_matrix(spark, sf):
     return pf.corr_matrix(S(spark, sf))
 
 
+@register("corr_first_bands", duck_with("""
+    select a.dataset, a.band as i, b.band as j, corr(a.value, b.value) as r
+    from spectra_long a join spectra_long b on a.dataset = b.dataset and a.sample_id = b.sample_id
+    where a.band < 40 and b.band < 40 group by a.dataset, a.band, b.band""", "spectra_long"), ["r"])
+def q_corr_first_bands(spark, sf):
+    return pf.corr_first(S(spark, sf), 40)
+
+
+@register("corr_around_target", duck_with("""
+    select a.dataset, a.band as i, b.band as j, corr(a.value, b.value) as r from mk a join mk b
+      on a.dataset = b.dataset and a.sample_id = b.sample_id group by a.dataset, a.band, b.band""", "spectra_long", extra=[_CORR, ("ch", """
+    select dataset, band from (select dataset, band, row_number() over (partition by dataset order by r desc, band) as a,
+      row_number() over (partition by dataset order by r, band) as b from corr_t) q where a <= 20 or b <= 20"""), ("mk", """
+    select l.dataset, l.sample_id, l.band, l.value from spectra_long l join ch on l.dataset = ch.dataset and l.band = ch.band
+    union all select dataset, sample_id, -1, target from spectra""")]), ["r"])
+def q_corr_around_target(spark, sf):
+    return pf.corr_around_target(S(spark, sf))
+
+
 @register("histogram", duck_with("""
     select g.dataset, cast(g.bin as int) as bin, g.lo + g.bin * (g.hi - g.lo) / 30 as lo, g.lo + (g.bin + 1) * (g.hi - g.lo) / 30 as hi,
       coalesce(c.cnt, 0) as count, coalesce(c.cnt, 0) / (g.n * (g.hi - g.lo) / 30) as density

@@ -279,38 +279,58 @@ def loo_metrics(loo: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- importance
 
-def permutation_importance(spectra: DataFrame, coefs: DataFrame, n_repeats: int = 15, seed: int = 42) -> DataFrame:
-    """Drop in R2 when one band is permuted, for linear models (coef table with
-    dataset, intercept, coef).  Per repeat each row is paired with a partner row by a
-    hash permutation (one join on positions); all bands are evaluated from that pair:
-    y_perm_j = y_hat + coef_j * (x_partner_j - x_j).  Aggregated by (repeat, band)."""
-    from prismlake.functions.distributed import with_ordinal
-    base = with_ordinal(spectra.select("dataset", "sample_id", "spectrum", "target"), ["sample_id"], group="dataset", name="pos")
-    repeats = F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("repeat")
-    perm = base.select("*", repeats)            # each row once per repeat (n_repeats is a parameter)
-    h = F.md5(F.concat_ws("|", F.col("sample_id").cast("string"), F.col("repeat").cast("string"), F.lit(str(seed))))
-    perm = _perm_positions(perm, h)
-    partner = perm.select("dataset", "repeat", F.col("ppos").alias("pos"), F.col("spectrum").alias("pspec"))
-    pairs = base.select("*", repeats).join(partner, ["dataset", "repeat", "pos"])
-    c = coefs.select("dataset", "intercept", "coef")
-    scored = pairs.join(c, "dataset").withColumn("yhat", F.col("intercept") + A.arr_dot("spectrum", "coef"))
-    delta = F.zip_with(F.zip_with("pspec", "spectrum", lambda a, b: a - b), F.col("coef"), lambda d, w: d * w)
-    long = scored.select("dataset", "repeat", "target", "yhat", F.posexplode(delta).alias("band", "d"))
-    e_perm = F.col("yhat") + F.col("d") - F.col("target")
-    e0 = F.col("yhat") - F.col("target")
-    per = long.groupBy("dataset", "repeat", "band").agg(
-        F.sum(e_perm * e_perm).alias("sse_p"), F.sum(e0 * e0).alias("sse_0"), F.var_pop("target").alias("vt"),
-        F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("drop", F.try_divide(F.col("sse_p") - F.col("sse_0"), F.col("vt") * F.col("n")))
-    return (per.groupBy("dataset", "band").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
-            .withColumn("band", F.col("band").cast("int")))
-
-
-def _perm_positions(perm: DataFrame, h) -> DataFrame:
-    from prismlake.functions.distributed import with_ordinal
-    keyed = perm.withColumn("_grp", F.concat_ws("|", "dataset", F.col("repeat").cast("string"))).withColumn("_h", h)
-    out = with_ordinal(keyed, ["_h", "sample_id"], group="_grp", name="ppos")
-    return out.drop("_grp", "_h")
+PERMUTE_ROWS = 4096        # rows that are permuted among themselves
+
+
+def permutation_importance(spectra: DataFrame, coefs: DataFrame | None = None, n_repeats: int = 15, seed: int = 42,
+                           predictors: dict | None = None) -> DataFrame:
+    """Drop in R2 when one band is permuted: mean and population standard deviation over the
+    repeats, by (dataset, band).
+
+    Models are linear (``coefs``: dataset, intercept, coef) or any (``predictors``: dataset ->
+    object with ``predict(matrix)``).  Rows are dealt into blocks of about ``PERMUTE_ROWS`` by a
+    hash of the id, and a repeat permutes the rows of each block among themselves, which is a
+    permutation of the whole column: so one shuffle brings rows together, once for all
+    repeats and bands, and no row is copied or sorted a second time.  A linear model's new
+    prediction is the old one plus coef * (value of the partner - own value); other models
+    predict again.  Sums of squared errors by (repeat, band) are what leaves a block."""
+    rows = spectra.select("dataset", "sample_id", "spectrum", "target").where("target is not null and spectrum is not null")
+    linear = {r["dataset"]: (r["intercept"], np.array(r["coef"])) for r in coefs.collect()} if coefs is not None else {}
+    sizes = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.var_pop("target").alias("vt"))
+    blocks = sizes.select("dataset", F.ceil(F.col("n") / PERMUTE_ROWS).alias("blocks"))
+    dealt = rows.join(blocks, "dataset").withColumn("block", F.pmod(F.xxhash64("sample_id", F.lit(seed)), F.col("blocks")).cast("int")).drop("blocks")
+
+    def drops(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pd.util.hash_array(pdf["sample_id"].to_numpy())
+        order = np.lexsort((pdf["target"].to_numpy(), ids))
+        x = np.stack([np.asarray(v, dtype=float) for v in pdf["spectrum"]])[order]
+        y, ids = pdf["target"].to_numpy(dtype=float)[order], ids[order]
+        n, p = x.shape
+        model = (predictors or linear).get(key[0])
+        if model is None:
+            return pd.DataFrame([], columns=["dataset", "repeat", "band", "sse", "sse0"])
+        base = model.predict(x) if predictors else model[0] + x @ model[1]
+        e0, out = base - y, []
+        for repeat in range(n_repeats):
+            partner = np.random.default_rng([seed, repeat, int(ids[0] % (1 << 32))]).permutation(n)
+            if predictors:
+                sse = np.empty(p)
+                for start in range(0, p, 8):
+                    bands = np.arange(start, min(start + 8, p))
+                    many = np.repeat(x[None], len(bands), 0)
+                    many[np.arange(len(bands)), :, bands] = x[partner][:, bands].T
+                    guess = model.predict(many.reshape(-1, p)).reshape(len(bands), n)
+                    sse[bands] = ((guess - y) ** 2).sum(1)
+            else:
+                d = (x[partner] - x) * model[1]
+                sse = (e0 @ e0) + 2 * e0 @ d + (d * d).sum(0)
+            out += [(key[0], repeat, band, v, float(e0 @ e0)) for band, v in enumerate(sse.tolist())]
+        return pd.DataFrame(out, columns=["dataset", "repeat", "band", "sse", "sse0"])
+
+    sums = dealt.groupBy("dataset", "block").applyInPandas(drops, "dataset STRING, repeat INT, band INT, sse DOUBLE, sse0 DOUBLE")
+    per = sums.groupBy("dataset", "repeat", "band").agg(F.sum(F.col("sse") - F.col("sse0")).alias("more")).join(sizes, "dataset")
+    per = per.withColumn("drop", F.try_divide(F.col("more"), F.col("vt") * F.col("n")))
+    return per.groupBy("dataset", "band").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
 
 
 def native_importance(coefs: DataFrame) -> DataFrame:

@@ -105,3 +105,43 @@ def test_layout_ids_and_failed_folds(spark):
     assert one == many and one[0]["sample_id"] == 1 << 60                    # large ids stay exact
     lone = fo.cv_forest(df.where(f"sample_id = {1 << 60}"), k=3)[0].collect()
     assert [(r["sample_id"], r["y_pred"]) for r in lone] == [(1 << 60, None)]
+
+
+def test_importance_of_any_model_by_permuting_blocks(spark, monkeypatch):
+    from prismlake.operators import additive, boosting, committee
+    from prismlake.plans import selection as sel
+
+    df = frame(spark, 120)
+    fits = {"gbr": boosting.search({"n_estimators": [20], "learning_rate": [0.2], "max_depth": [2], "subsample": [1.0]}),
+            "cubist": committee.search({"n_committees": [2]})}
+    x = np.stack(df.orderBy("sample_id").toPandas()["spectrum"])
+    for search in fits.values():
+        small, large = (additive.fit_models(df, search, local_rows=n)["A", "none"] for n in (1000, 10))
+        assert np.abs(small.predict(x) - large.predict(x)).max() < 1e-8
+        got = {r["band"]: r["importance_mean"] for r in sel.permutation_importance(df, n_repeats=3, predictors={"A": small}).collect()}
+        assert max(got, key=got.get) == 0 and len(got) == 5 and got[0] > 0.3
+    monkeypatch.setattr(sel, "PERMUTE_ROWS", 30)                            # several blocks
+    coefs = spark.createDataFrame([("A", 0.0, [2.0, 1.0, 0.0, 0.0, 0.0])], "dataset string, intercept double, coef array<double>")
+    one, many = ({r["band"]: (r["importance_mean"], r["importance_std"]) for r in sel.permutation_importance(df.repartition(n), coefs, n_repeats=4).collect()}
+                 for n in (1, 7))
+    assert all(np.allclose(one[k], many[k], atol=1e-12) for k in range(5))
+    assert one[2] == one[3] == one[4] == (0.0, 0.0) and one[0][0] > one[1][0]
+
+
+def test_isolation_forest_does_not_depend_on_the_layout(spark):
+    from prismlake.operators.isolation import isolation_outliers
+
+    df = frame(spark, 300)
+    one, many = (isolation_outliers(df.repartition(n), n_trees=10, max_samples=32).orderBy("sample_id").collect() for n in (1, 9))
+    assert one == many and abs(np.mean([r["is_outlier"] for r in one]) - 0.1) <= 0.01
+
+
+def test_correlation_tiles(spark):
+    from prismlake.operators.profile import corr_matrix
+
+    df = frame(spark, 50).repartition(4)
+    x = np.stack(df.toPandas()["spectrum"])
+    want = np.corrcoef(x.T)
+    for tile in (2, 3, 128):
+        got = corr_matrix(df, tile).toPandas()
+        assert len(got) == 25 and np.abs(got["r"] - want[got["i"], got["j"]]).max() < 1e-9
