@@ -7,7 +7,7 @@ sums over all words of a document give the language and its posterior probabilit
 
 The classifier is fitted on a bounded sample of labelled rows: about
 ``SAMPLE_PER_LANGUAGE`` documents of each language, drawn by a hash of the row (all, if
-there are fewer); it keeps at most ``MAX_LANGUAGES`` languages, and every word and n-gram
+there are fewer); it keeps every language, and every word and n-gram
 of the sample, as 64-bit hashes with the log frequencies in the languages that have it.
 Every document is scored whole.
 
@@ -36,7 +36,6 @@ from pyspark.sql import types as T
 from prismlake.llm.common import text_slices
 
 SAMPLE_PER_LANGUAGE = 4000
-MAX_LANGUAGES = 256
 MAX_GRAM = 4
 SMOOTHING = 0.5
 CACHE_WORDS = 50_000
@@ -243,8 +242,10 @@ def _table(groups: list[tuple[np.ndarray, ...]], n_langs: int) -> tuple[list[Ind
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on rows (text, lang) with a language; other columns are not read."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()        # one row per language
     languages = [r["lang"] for r in sizes]
+    if len(languages) > 32_767:
+        raise ValueError(f"{len(languages)} languages; the table numbers up to 32767")
     if not languages:
         nothing = np.zeros(0, np.int64)
         (words, grams), table = _table([(nothing,) * 4] * 2, 0)
