@@ -4,25 +4,37 @@ A small network predicts every token from ``CONTEXT`` tokens on both sides of it
 token itself masked; a document's score is the sum of the tokens' conditional
 log-probabilities.
 
-* Tokens are words (A-Z in lower case).  The ``WORDS`` most frequent words of the whole
-  corpus are tokens of their own, all others share ``BUCKETS`` hash tokens.
-* The network has token embeddings, one hidden layer and a two-step softmax: a token's
-  class (of ``CLASSES``), then its member within the class.
-* Training goes over all documents in ``ROUNDS`` passes.  In a pass every partition starts
-  from the common weights and trains on its own texts (every ``ROUNDS``-th token of each
-  text, from another start in each pass, so that the passes together train on every token
-  once); the partitions' weights are averaged, weighted by their positions, in a shuffled
-  sum that returns one value per weight.
+* Tokens are words (A-Z in lower case).  Of a corpus of n words, those that occur at least
+  n ** ``RARITY`` times over all documents (``LEAST`` times at least) are tokens of their own, so
+  the vocabulary grows with the corpus and has at most n ** (1 - RARITY) words; all others
+  share hash tokens, a third as many.
+* The network has token embeddings, one hidden layer and a three-step softmax: a token's
+  class, its group within the class, and its place within the group, about as many of each.
+* Texts become tokens once; training and scoring read the written tokens.
+* Training goes over all documents in ``ROUNDS`` passes.  Documents are dealt into shards by a
+  hash of id and text and lie in order of that hash.  A shard has ``SHARD_WORDS`` words, or
+  ``WORDS_A_WEIGHT`` for each weight if that is more, so that what the shards return grows in
+  proportion to the corpus.  In a pass every shard starts from the common weights and trains on its own
+  texts (every ``ROUNDS``-th token of each text, from another start in each pass, so that the
+  passes together train on every token once); the shards' weights are averaged, weighted
+  by their positions, in a shuffled sum that returns each weight once.  So the weights
+  do not depend on how the input is laid out.
 * Scoring is one pass with fixed weights, whole texts, in blocks of positions.
 
 Edge cases: a null or wordless text has no tokens, sum 0 and a null mean; an empty
-corpus leaves the initial weights; equally frequent words are ordered by the word;
-repeated rows each give a row; only the id and text columns are read.  Sums of weights
-are floating-point, so scores of two runs agree to about six digits, not bit by bit.
+corpus leaves the initial weights; very long texts are trained on and scored in blocks;
+equally frequent words are ordered by the word; repeated rows each give a row; only the id
+and text columns are read, so others cannot clash.  Sums of weights are floating-point, so
+scores of two runs agree to about six digits, not bit by bit.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import glob
+import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,104 +43,151 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import WORD_SPACE, text_or_empty, text_slices
+from prismlake.llm.common import WORD_SPACE, discard, materialize, text_or_empty, text_slices
 
-WORDS = 768
-BUCKETS = 256
-CLASSES = 32
-MEMBERS = 32               # WORDS + BUCKETS = CLASSES * MEMBERS
+RARITY = 0.4
+LEAST = 4
 CONTEXT = 2
 EMBEDDING = 12
 HIDDEN = 32
 ROUNDS = 2
-BATCH = 512                # positions of a training step
+SHARD_WORDS = 2_000_000
+WORDS_A_WEIGHT = 16
+BATCH = 1024               # positions of a training step
 BLOCK = 1 << 13            # positions scored at once
-RATE = 0.05
+RATE = 0.07
+LARGEST = 60.0              # logits are held within it
+CHUNK = 1 << 12            # weights that are summed as one row
 SEED = 3
+PAD = 0                    # token 0 stands for the ends of a text and is never predicted
 
-_VOCABULARY = WORDS + BUCKETS
-_SHAPES = {"embed": (_VOCABULARY + 1, EMBEDDING), "w1": (2 * CONTEXT * EMBEDDING, HIDDEN), "b1": (HIDDEN,),
-           "w2": (HIDDEN, CLASSES), "b2": (CLASSES,), "w3": (HIDDEN, MEMBERS), "b3": (CLASSES, MEMBERS)}
-_PAD = _VOCABULARY
 
+@functools.cache
+def one_thread() -> None:
+    """Products of small matrices gain nothing from a second thread, which would spin."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        found = getattr(ctypes.CDLL(path), "scipy_openblas_set_num_threads64_", None)
+        if found:
+            found(1)
 
-class Network:
-    """Weights, conditional log-probabilities, and training steps by Adagrad."""
 
-    def __init__(self, flat: np.ndarray | None = None):
+class Vocabulary:
+    """Numbers from 1: first the given words, by frequency, then the shared hash tokens."""
+
+    def __init__(self, words: list[str]):
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.words = len(words)
+        self.shared = max(64, len(words) // 3)
+
+    @property
+    def size(self) -> int:
+        return self.words + self.shared
+
+    def tokens(self, text: str) -> np.ndarray:
+        words = text.encode().lower().split()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        out = (1 + self.words + hashes % np.uint64(self.shared)).astype(np.int32)
+        if self.words:
+            at = np.minimum(np.searchsorted(self.hashes, hashes), self.words - 1)
+            known = self.hashes[at] == hashes
+            out[known] = 1 + self.order[at[known]]
+        return out
+
+
+def _sums(numbers: np.ndarray, values: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers (ascending) and the sums of their rows of values."""
+    order = np.argsort(numbers.astype(np.uint16) if largest < 1 << 16 else numbers, kind="stable")
+    numbers = numbers[order]
+    first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+    return numbers[first], np.add.reduceat(values[order], first, axis=0)
+
+
+class Network:
+    """Weights, conditional log-probabilities, and training steps by Adagrad.
+
+    Token t has the digits a, b, c of t - 1 to the base ``m``.  One matrix gives the logits of
+    all three steps; the biases of a step depend on the digits before it."""
+
+    def __init__(self, size: int, flat: np.ndarray | None = None):
+        self.size = size
+        self.m = m = max(2, math.ceil(round(size ** (1 / 3), 6)))
+        self.tops = tops = -(-size // (m * m))
+        self.cuts = (0, tops, tops + m, tops + 2 * m)
+        self.shapes = {"embed": (size + 1, EMBEDDING), "w1": (2 * CONTEXT * EMBEDDING, HIDDEN), "b1": (HIDDEN,),
+                       "out": (HIDDEN, tops + 2 * m), "c0": (1, tops), "c1": (tops, m), "c2": (tops * m, m)}
         rng = np.random.default_rng(SEED)
-        self.w = {k: (rng.standard_normal(s) * (0.1 if k == "embed" else 1 / np.sqrt(s[0]) if k[0] == "w" else 0)).astype(np.float32)
-                  for k, s in _SHAPES.items()}
+        self.w = {k: (rng.standard_normal(s) * (0.1 if k == "embed" else 1 / np.sqrt(s[0]) if k in ("w1", "out") else 0)).astype(np.float32)
+                  for k, s in self.shapes.items()}
+        # places that stand for no token
+        self.w["c2"].ravel()[size:] = -LARGEST
+        self.w["c1"].ravel()[-(-size // m):] = -LARGEST
         if flat is not None:
             at = 0
-            for k, s in _SHAPES.items():
+            for k, s in self.shapes.items():
                 self.w[k] = flat[at:at + int(np.prod(s))].reshape(s).astype(np.float32)
                 at += int(np.prod(s))
-        self.seen = {k: np.full(s, 1e-4, np.float32) for k, s in _SHAPES.items()}
+        self.seen = {k: np.full(s, 1e-4, np.float32) for k, s in self.shapes.items()}
+
+    @property
+    def weights(self) -> int:
+        return sum(int(np.prod(s)) for s in self.shapes.values())
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.w[k].ravel() for k in _SHAPES])
+        return np.concatenate([self.w[k].ravel() for k in self.shapes])
 
     def _forward(self, context: np.ndarray, token: np.ndarray):
-        w = self.w
+        w, m, cuts = self.w, self.m, self.cuts
         x = w["embed"][context].reshape(len(token), -1)
         h = np.tanh(x @ w["w1"] + w["b1"])
-        group, member = token // MEMBERS, token % MEMBERS
-        first, second = h @ w["w2"] + w["b2"], h @ w["w3"] + w["b3"][group]
-        for z in (first, second):
-            z -= z.max(1, keepdims=True)
-            z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return x, h, group, member, first, second
-
-    def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        _, _, group, member, first, second = self._forward(context, token)
+        number = token - 1
+        before = (np.zeros_like(number), number // (m * m), number // m)           # what the biases of a step depend on
+        places = (before[1], before[2] % m + cuts[1], number % m + cuts[2])
+        z = h @ w["out"]
+        for k in range(3):
+            z[:, cuts[k]:cuts[k + 1]] += w["c0"] if k == 0 else w[f"c{k}"][before[k]]
+        np.clip(z, -LARGEST, LARGEST, out=z)
         at = np.arange(len(token))
-        return first[at, group].astype(np.float64) + second[at, member]
+        chosen = sum(z[at, p].astype(np.float64) for p in places)
+        e = np.exp(z, out=z)
+        totals = np.add.reduceat(e, cuts[:3], axis=1)
+        return x, h, before, places, e, totals, chosen
 
-    def step(self, context: np.ndarray, token: np.ndarray) -> None:
-        w, n = self.w, len(token)
-        x, h, group, member, first, second = self._forward(context, token)
+    def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        *_, totals, chosen = self._forward(context, token)
+        return chosen - np.log(totals.astype(np.float64)).sum(1)
+
+    def gradients(self, context: np.ndarray, token: np.ndarray) -> dict[str, tuple]:
+        """Mean gradients of the negative log-probability: for each weight matrix the rows that
+        the batch touches and their gradients."""
+        w, n, cuts = self.w, len(token), self.cuts
+        x, h, before, places, d, totals, _ = self._forward(context, token)
         at = np.arange(n)
-        one_group = np.zeros((n, CLASSES), np.float32)
-        one_group[at, group] = 1
-        d_first = np.exp(first) - one_group
-        d_second = np.exp(second)
-        d_second[at, member] -= 1
-        d_hidden = (d_first @ w["w2"].T + d_second @ w["w3"].T) * (1 - h * h)
+        totals *= n
+        for k in range(3):
+            d[:, cuts[k]:cuts[k + 1]] /= totals[:, k:k + 1]
+            d[at, places[k]] -= 1 / n
+        d_hidden = (d @ w["out"].T) * (1 - h * h)
         d_x = (d_hidden @ w["w1"].T).reshape(-1, EMBEDDING)
-        places = context.ravel()
-        d_embed = np.stack([np.bincount(places, d_x[:, k], _VOCABULARY + 1) for k in range(EMBEDDING)], 1)
-        grads = {"embed": d_embed, "w1": x.T @ d_hidden, "b1": d_hidden.sum(0), "w2": h.T @ d_first, "b2": d_first.sum(0),
-                 "w3": h.T @ d_second, "b3": one_group.T @ d_second}
-        for k, g in grads.items():
-            g = g.astype(np.float32) / n
-            self.seen[k] += g * g
-            w[k] -= RATE * g / np.sqrt(self.seen[k])
-
+        every = slice(None)
+        return {"embed": _sums(context.ravel(), d_x, self.size), "w1": (every, x.T @ d_hidden), "b1": (every, d_hidden.sum(0)),
+                "out": (every, h.T @ d), "c0": (every, d[:, :cuts[1]].sum(0, keepdims=True)),
+                "c1": _sums(before[1], d[:, cuts[1]:cuts[2]], self.size), "c2": _sums(before[2], d[:, cuts[2]:], self.size)}
 
-class Vocabulary:
-    def __init__(self, words: list[str]):
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-
-    def tokens(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        out = (WORDS + hashes % np.uint64(BUCKETS)).astype(np.int32)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            known = self.hashes[at] == hashes
-            out[known] = self.order[at[known]]
-        return out
+    def step(self, context: np.ndarray, token: np.ndarray) -> None:
+        for k, (rows, g) in self.gradients(context, token).items():
+            seen = self.seen[k][rows] + g * g
+            self.seen[k][rows] = seen
+            self.w[k][rows] -= RATE * g / np.sqrt(seen)
 
 
 def positions(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of some texts in a row with padding between them, and the places of
     the tokens in that row."""
-    pad = np.full(CONTEXT, _PAD, np.int32)
+    pad = np.full(CONTEXT, PAD, np.int32)
     row = np.concatenate([pad, *(x for t in tokens for x in (t, pad))])
-    return row, np.flatnonzero(row != _PAD)
+    return row, np.flatnonzero(row != PAD)
 
 
 def targets(at: np.ndarray, sizes: list[int], turn: int, rounds: int) -> np.ndarray:
@@ -144,50 +203,83 @@ def contexts(row: np.ndarray, at: np.ndarray) -> np.ndarray:
     return row[at[:, None] + np.array(offsets)]
 
 
-def score_texts(network: Network, vocabulary: Vocabulary, texts: list[str]) -> tuple[list[int], list[float]]:
-    """Number of tokens and summed conditional log-probability of each text."""
-    tokens = [vocabulary.tokens(t) for t in texts]
+def score_tokens(network: Network, tokens: list[np.ndarray]) -> list[float]:
+    """Summed conditional log-probability of each text."""
     row, at = positions(tokens)
     logs = np.concatenate([np.zeros(0), *(network.log_probability(contexts(row, at[k:k + BLOCK]), row[at[k:k + BLOCK]])
                                           for k in range(0, len(at), BLOCK))])
-    sizes = np.array([len(t) for t in tokens])
-    owner = np.repeat(np.arange(len(tokens)), sizes)
-    return sizes.tolist(), np.bincount(owner, logs, len(tokens)).tolist()
+    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    return np.bincount(owner, logs, len(tokens)).tolist()
 
 
-def frequent_words(texts: DataFrame, limit: int = WORDS) -> list[str]:
-    """The most frequent words of all texts (A-Z in lower case)."""
+def frequent_words(texts: DataFrame) -> tuple[list[str], int]:
+    """The words of all texts (A-Z in lower case) that are frequent enough, most frequent
+    first, and the number of words.  At most n ** (1 - RARITY) words come to the driver."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = texts.select(F.explode(F.split("text", f"[{WORD_SPACE}]+")).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
-    words = words.where("raw <> ''").groupBy(F.translate("raw", upper, lower).alias("word")).agg(F.sum("n").alias("n"))
-    return [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    counts = materialize(words.where("raw <> ''").groupBy(F.translate("raw", upper, lower).alias("word")).agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST, math.ceil(total ** RARITY))
+    found = [r["word"] for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()]
+    discard(counts)
+    return found, total
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` passes over ``texts``, averaged over the partitions."""
-    flat = Network().flat()
+def to_tokens(base: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(id, key, tokens): the tokens of each text as little-endian 32-bit integers; ``key`` is
+    a hash of id and text."""
+    id_type = base.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            tokens = [vocabulary.tokens(t).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(tokens, pa.binary())], names=["id", "key", "tokens"])
+    return materialize(base.withColumn("key", F.xxhash64("id", "text")).mapInArrow(run, f"id {id_type}, key long, tokens binary"))
+
+
+def _unpacked(part: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i4") for x in part.column("tokens").to_pylist()]
+
+
+def train(tokens: DataFrame, size: int, words: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after ``rounds`` passes, averaged over the shards.  ``tokens``: (key, tokens)."""
+    first = Network(size)
+    flat = first.flat()
+    shards = max(1, -(-words // max(SHARD_WORDS, WORDS_A_WEIGHT * first.weights)))
     for turn in range(rounds):
         start = flat
 
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            network, n = Network(start), 0
-            for part in text_slices(batches):
-                tokens = [vocabulary.tokens(t) for t in part.column("text").to_pylist()]
-                row, at = positions(tokens)
-                at = np.random.default_rng(len(at)).permutation(targets(at, [len(t) for t in tokens], turn, rounds))
+            one_thread()
+            network, n = Network(size, start), 0
+            for part in text_slices(batches, "tokens"):
+                found = _unpacked(part)
+                row, at = positions(found)
+                at = np.random.default_rng(len(at)).permutation(targets(at, [len(t) for t in found], turn, rounds))
                 for k in range(0, len(at), BATCH):
                     network.step(contexts(row, at[k:k + BATCH]), row[at[k:k + BATCH]])
                 n += len(at)
             if n:
-                values = network.flat().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values * n),
-                                                  pa.array(np.full(len(values), float(n)))], names=["place", "value", "n"])
-
-        summed = (texts.mapInArrow(learn, "place int, value double, n double").groupBy("place")
-                  .agg((F.sum("value") / F.sum("n")).alias("value")).collect())          # one row per weight
-        if summed:
-            flat = flat.copy()
-            flat[[r["place"] for r in summed]] = [r["value"] for r in summed]
+                values = network.flat().astype(np.float64) * n
+                chunks = [values[k:k + CHUNK].tobytes() for k in range(0, len(values), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary()),
+                                                  pa.array(np.full(len(chunks), float(n)))], names=["chunk", "total", "n"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            acc: dict[int, list] = {}
+            for b in batches:
+                for chunk, total, n in zip(b.column("chunk").to_pylist(), b.column("total").to_pylist(), b.column("n").to_pylist()):
+                    entry = acc.setdefault(chunk, [0.0, 0.0])
+                    entry[0] = entry[0] + np.frombuffer(total, np.float64)
+                    entry[1] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([(t / n).tobytes() for t, n in acc.values()], pa.binary())],
+                                             names=["chunk", "mean"])
+
+        dealt = tokens.select("key", "tokens").repartition(shards, "key").sortWithinPartitions("key", "tokens")
+        learned = dealt.select("tokens").mapInArrow(learn, "chunk int, total binary, n double")
+        found = learned.repartition("chunk").mapInArrow(add, "chunk int, mean binary").collect()                 # each weight once
+        if found:
+            flat = np.concatenate([np.frombuffer(r["mean"], np.float64) for r in sorted(found, key=lambda r: r["chunk"])])
     return flat
 
 
@@ -195,17 +287,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, ``n_tokens``, ``log_likelihood`` (the sum) and
     ``mean_log_likelihood``."""
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    vocabulary = Vocabulary(frequent_words(base.select("text")))
-    flat = train(base.select("text"), vocabulary, rounds)
+    found, words = frequent_words(base.select("text"))
+    vocabulary = Vocabulary(found)
+    tokens, size = to_tokens(base, vocabulary), vocabulary.size
+    flat = train(tokens, size, words, rounds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = Network(flat)
-        for part in text_slices(batches):
-            n, logs = score_texts(network, vocabulary, part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(logs, pa.float64())],
+        one_thread()
+        network = Network(size, flat)
+        for part in text_slices(batches, "tokens"):
+            mine = _unpacked(part)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(t) for t in mine], pa.int64()), pa.array(score_tokens(network, mine), pa.float64())],
                                              names=["id", "n_tokens", "log_likelihood"])
 
     id_type = base.schema["id"].dataType.simpleString()
-    out = base.mapInArrow(score, f"id {id_type}, n_tokens long, log_likelihood double")
+    out = tokens.select("id", "tokens").mapInArrow(score, f"id {id_type}, n_tokens long, log_likelihood double")
     mean = F.try_divide(F.col("log_likelihood"), F.col("n_tokens"))
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))
