@@ -39,6 +39,10 @@ HEADLINE = [
     "batch_predict",
     "prep_smoothed_variants",
     "loo_pls",
+    "model_rule_committee",
+    "model_krr",
+    "model_svr",
+    "isolation_outliers",
 ]
 
 

@@ -184,9 +184,11 @@ def top_tuned_combinations(oof: DataFrame, k: int = 5) -> DataFrame:
     return _ranked(best, [F.desc_nulls_last("best_r2"), "preprocessing", "model"], k)
 
 
-def score_heatmap(oof: DataFrame, models: list[str]) -> DataFrame:
-    """preprocessing x model pivot of mean fold R2, per dataset."""
+def score_heatmap(oof: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """preprocessing x model pivot of mean fold R2, per dataset; a column for every model
+    there is, unless ``models`` names some."""
     s = fold_summary(oof)
+    models = models or sorted(r["model"] for r in oof.select("model").distinct().collect())      # one row a model
     return s.groupBy("dataset", "preprocessing").pivot("model", models).agg(F.first("mean_r2"))
 
 

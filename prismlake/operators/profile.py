@@ -71,16 +71,22 @@ def target_skew_unbiased(spectra: DataFrame) -> DataFrame:
 
 
 def missing_profile(spectra: DataFrame) -> DataFrame:
-    """Null count per column (bands, and the target as band -1), >0 only."""
-    long = to_long(spectra.select("dataset", "sample_id", "spectrum"))
-    bands = long.groupBy("dataset", "band").agg(F.count_if(F.col("value").isNull() | F.isnan("value")).alias("n_missing"))
-    tgt = spectra.groupBy("dataset").agg(F.count_if(F.col("target").isNull()).alias("n_missing")).withColumn("band", F.lit(-1))
-    return bands.unionByName(tgt).where(F.col("n_missing") > 0)
+    """Null count per column (bands, and the target as band -1), >0 only, most first, with the
+    dataset's total beside it.  Bands are counted in place, without a row a value."""
+    missing = F.transform("spectrum", lambda x: F.when(x.isNull() | F.isnan(x), 1).otherwise(0))
+    marks = spectra.select("dataset", F.concat(F.array(F.when(F.col("target").isNull(), 1).otherwise(0)), missing).alias("m"))
+    found = marks.select("dataset", F.posexplode("m").alias("at", "x")).where("x = 1").groupBy(
+        "dataset", (F.col("at") - 1).alias("band")).agg(F.count(F.lit(1)).alias("n_missing"))
+    total = found.groupBy("dataset").agg(F.sum("n_missing").alias("total_missing"))
+    return found.join(total, "dataset").orderBy("dataset", F.desc("n_missing"), "band")
 
 
 def duplicate_rows(spectra: DataFrame) -> DataFrame:
-    """Rows identical in every data column (bands + target) beyond the first."""
-    g = spectra.groupBy("dataset", "spectrum", "target").count()
+    """Rows identical in every data column (bands + target) beyond the first.  Rows are
+    compared by a 256-bit digest of their values, so no array is a grouping key."""
+    text = lambda x: F.coalesce((x + F.lit(0.0)).cast("string"), F.lit("null"))
+    digest = F.sha2(F.concat_ws(",", F.array_join(F.transform("spectrum", text), ","), F.size("spectrum"), text(F.col("target"))), 256)
+    g = spectra.select("dataset", digest.alias("digest")).groupBy("dataset", "digest").count()
     return g.groupBy("dataset").agg(F.sum(F.col("count") - 1).alias("duplicate_rows"))
 
 

@@ -59,10 +59,10 @@ def q_target_skew_unbiased(spark, sf):
 
 
 @register("missing_profile", duck_with("""
-    select * from (
+    select *, cast(sum(n_missing) over (partition by dataset) as bigint) as total_missing from (
       select dataset, band, count_if(value is null or isnan(value)) as n_missing from dl group by dataset, band
       union all select dataset, -1 as band, count_if(target is null) as n_missing from spectra_dirty group by dataset) m
-    where n_missing > 0""", "spectra_dirty", extra=[("dl", duck_long("select dataset, sample_id, spectrum from spectra_dirty"))]))
+    where n_missing > 0 order by dataset, n_missing desc, band""", "spectra_dirty", extra=[("dl", duck_long("select dataset, sample_id, spectrum from spectra_dirty"))]))
 def q_missing_profile(spark, sf):
     return pf.missing_profile(fx.spectra_dirty(spark, sf))
 

@@ -9,7 +9,7 @@ from prismlake.plans.catalog import register
 from prismlake.sources import fixtures as fx
 from prismlake.sources.fixtures import duck_with
 
-MODELS = ["pls", "rf", "gbr", "svr", "krr"]
+MODELS = ["pls", "rf", "gbr", "svr", "krr"]          # of the fixture; SQL cannot pivot on what it finds
 _M = ["r2", "mse", "rmse", "mae", "bias", "rpd"]
 
 _VALID = ("valid", """select o.* from oof o semi join (select dataset, preprocessing, model, fold from oof
@@ -112,7 +112,7 @@ def q_top_tuned(spark, sf):
     f"max(case when model = '{m}' then mean_r2 end) as {m}" for m in MODELS) + " from fsum group by dataset, preprocessing",
     _FMET, _FSUM), MODELS)
 def q_score_heatmap(spark, sf):
-    return ev.score_heatmap(fx.oof(spark, sf), MODELS)
+    return ev.score_heatmap(fx.oof(spark, sf))
 
 
 @register("family_ranking", _sql("""

@@ -12,7 +12,7 @@ from prismlake.sources.fixtures import duck_with
 
 WL = wavelengths()
 LABELS = [str(int(w)) for w in WL]
-DATASETS = ["T1", "T2", "T3", "T4", "T5"]
+DATASETS = ["T1", "T2", "T3", "T4", "T5"]          # of the fixture; SQL cannot name columns by what it finds
 PFX = schema.DATASET_PREFIX
 
 
@@ -54,7 +54,7 @@ def q_columns_to_spectrum(spark, sf):
 def _merged(spark, sf):
     wide = _wide(spark, sf)
     frames = {}
-    for d in DATASETS:
+    for d in sorted(r["dataset"] for r in wide.select("dataset").distinct().collect()):          # one row a dataset
         part = wide.where(F.col("dataset") == d).drop("dataset")
         part = schema.prefix_columns(part, f"{PFX}{d}", keys=("sample_id",))
         frames[d] = part
@@ -83,6 +83,45 @@ def _merged_sql() -> str:
 _MERGED_COLS = [f"{PFX}{d}_{lbl}" for d in DATASETS for lbl in LABELS + ["target"]]
 
 
+# ---------------------------------------------------------------- column rules
+
+@register("resolve_target", duck_with("""
+    select dataset, 'Clay_Target' as target_column, avg(target) as mean, count(target) as n from spectra group by dataset""", "spectra"), ["mean"])
+def q_resolve_target(spark, sf):
+    table = fx.spectra(spark, sf).selectExpr("dataset", "sample_id", "spectrum[0] as B_410", "target as Clay_Target")
+    name = schema.resolve_target(table.columns)
+    return table.groupBy("dataset").agg(F.lit(name).alias("target_column"), F.avg(name).alias("mean"), F.count(name).alias("n"))
+
+
+_NUMERIC_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+
+
+@register("select_numeric_features", " union all ".join(
+    f"select '{c}' as feature, count({c}) as n, avg({c})::double as mean, stddev_samp({c})::double as sd from lineitem" for c in _NUMERIC_COLUMNS), ["mean", "sd"])
+def q_select_numeric_features(spark, sf):
+    table = fx.table(spark, sf, "lineitem")
+    features = schema.select_numeric_features(table, "l_extendedprice")
+    values = table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])).alias("x"))
+    return values.groupBy("x.feature").agg(F.count("x.value").alias("n"), F.avg("x.value").alias("mean"), F.stddev_samp("x.value").alias("sd"))
+
+
+@register("detect_actuals_column", """
+    select 'T2' as model_key, 'Soil_T2_target' as actuals, avg(l_quantity) as mean, count(*) as n from lineitem
+    union all select 'T1', 'observed', avg(l_extendedprice), count(*) from lineitem
+    union all select 'T9', 'T9_measured', avg(l_tax), count(*) from lineitem""".replace("Soil_", PFX), ["mean"])
+def q_detect_actuals_column(spark, sf):
+    table = fx.table(spark, sf, "lineitem")
+    uploads = {"T2": {"y_pred": "l_discount", "actual": "l_tax", f"{PFX}T2_target": "l_quantity"}, "T1": {"y_pred": "l_tax", "observed": "l_extendedprice"},
+               "T9": {"y_pred": "l_quantity", "T9_measured": "l_tax"}}
+    out = None
+    for key, columns in uploads.items():
+        upload = table.select(*[F.col(c).alias(name) for name, c in columns.items()])
+        name = schema.detect_actuals_column(upload.columns, key)
+        one = upload.agg(F.lit(key).alias("model_key"), F.lit(name).alias("actuals"), F.avg(name).alias("mean"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("concat_by_position", _merged_sql(), _MERGED_COLS)
 def q_concat_by_position(spark, sf):
     return _merged(spark, sf)
