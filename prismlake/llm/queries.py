@@ -186,6 +186,83 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(*repair_conversations(read(spark, sf_dir, "conversations")))
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string: each byte is mixed in (its code + 1), then eight single-bit steps (0)."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda z: [(ord(z) + 1)::bigint, 0, 0, 0, 0, 0, 0, 0, 0]))"
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda a, o: case when o > 0 then xor(a, o - 1) "
+            "when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295)")
+
+
+def _op11_sql() -> str:
+    """Every prefix of every rebuilt conversation as a row, and nodes joined to all their prefixes."""
+    return f"""with t as (select conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''),
+            md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as turns
+          from conversations where conv_id is not null group by conv_id),
+        h as (select conv_id, turns, {_crc32_sql("conv_id::varchar")} % 9 as h from t),
+        c as (select h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) as turns
+          from h left join t b on b.conv_id = h.conv_id - h.conv_id % 5),
+        k as (select conv_id, turns, list_transform(range(0, len(turns) + 1), lambda d: d || ':' || md5(array_to_string(
+            list_transform(turns[1:d], lambda y: md5(strlen(y.r) || ':' || y.r || y.x)), ','))) as keys from c),
+        p as (select conv_id, turns, keys, unnest(range(0, len(turns) + 1)) as depth from k),
+        m as (select conv_id, depth, keys[depth + 1] as node, keys[depth] as parent, keys[1:depth + 1] as path, len(turns) = depth as ended,
+            case when depth > 0 then strlen(turns[depth].x) else 0 end as bytes from p),
+        n as (select node, any_value(depth) as depth, any_value(parent) as parent, any_value(path) as path, min(conv_id) as conv_id, count(*) as n_convs,
+            (count(*) - 1) * any_value(bytes) as saved, list(conv_id order by conv_id) filter (ended) as ends from m group by node),
+        b as (select parent as node, count(*) as n_children from n where parent is not null group by parent),
+        l as (select n.*, coalesce(b.n_children, 0) as n_children from n left join b on n.node = b.node),
+        s as (select a as node, sum(saved) as saved_tokens, count_if(n_children = 0) as n_leaves
+            from (select unnest(path) as a, saved, n_children from l) q group by a)
+        select l.conv_id, l.depth::bigint as depth, u.conv_id as parent_conv_id, l.n_convs, l.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves,
+            s.saved_tokens::bigint as saved_tokens, sha256(coalesce(array_to_string(l.ends, ','), '')) as ends_sha256
+        from l join s on l.node = s.node left join n u on l.parent = u.node"""
+
+
+def _op12_sql() -> str:
+    """A fold over the damaged rows of a conversation.  A state of the role grammar holds the
+    cheapest way to it as one string: cost, audit, and the repaired lines behind a separator;
+    the smallest string is the smallest (cost, audit)."""
+    add = lambda state, cost, letter, line: (
+        f"lpad((substr({state}, 1, 6)::int + {cost})::varchar, 6, '0') || substr({state}, 7, strpos({state}, chr(1)) - 7) || '{letter}' || chr(1)"
+        f" || substr({state}, strpos({state}, chr(1)) + 1)" + (f" || chr(10) || {line}" if line else ""))
+    grown = lambda s: (f"{{'e': {s}.e, 's': {s}.s, 'u': least({s}.u, {add(s + '.e', 2, 'I', chr(39) + 'user:' + chr(39))}, "
+                       f"{add(s + '.s', 2, 'I', chr(39) + 'user:' + chr(39))}, {add(s + '.a', 2, 'I', chr(39) + 'user:' + chr(39))}), 'a': {s}.a, "
+                       "'r': 'x', 'f': '-', 'l': '', 'w': ''}")
+    closed = lambda s: (f"{{'e': {s}.e, 's': {s}.s, 'u': {s}.u, 'a': least({s}.a, {add(s + '.u', 2, 'I', chr(39) + 'assistant:' + chr(39))}), "
+                        "'r': 'x', 'f': '-', 'l': '', 'w': ''}")
+    keep = lambda state, role: f"case when ok and y.r = '{role}' then {add(state, 'more', 'K', 'y.l')} end"
+    rerole = lambda state, name: f"case when ok then {add(state, '2 + more', 'R', chr(39) + name + ':' + chr(39) + ' || y.w')} end"
+    delete = lambda state: add(state, 3, "D", "")
+    step = (f"{{'e': {delete('v.e')}, 's': least({delete('v.s')}, {keep('v.e', 's')}), 'u': least({delete('v.u')}, "
+            + ", ".join(f"{keep('v.' + q, 'u')}, {rerole('v.' + q, 'user')}" for q in "esa")
+            + f"), 'a': least({delete('v.a')}, {keep('v.u', 'a')}, {rerole('v.u', 'assistant')}), 'r': 'x', 'f': '-', 'l': '', 'w': ''}}")
+    step = step.replace("ok", "(y.f not in ('b', 'd'))").replace("more", "(case when y.f = 't' then 1 else 0 end)")
+    bind = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    fold = bind(step, "g", bind(grown("g"), "j", closed("j")))
+    blank = "regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+    start = bind("{'e': '000000' || chr(1), 's': null::varchar, 'u': null::varchar, 'a': null::varchar, 'r': 'x', 'f': '-', 'l': '', 'w': ''}", "g",
+                 bind(grown("g"), "j", closed("j")))
+    return f"""with d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+            {_crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fate from conversations),
+        x as (select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+            case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+            unnest(range(case when fate = 3 then 2 else 1 end)) as copy from d where fate <> 0),
+        o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, {blank} as bare from x),
+        f as (select *, case when bare = '' then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+            when right(bare, 1) not in ('.', '!', '?') then 't' else '-' end as fault,
+            case when substr(role, 1, 1) in ('s', 'u', 'a') then substr(role, 1, 1) else 'x' end as initial from o),
+        p as (select *, lag(initial) over (partition by conv_id order by i) || initial as pair from f),
+        g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 'b') as blank, count_if(fault = 'd') as duplicate,
+            count_if(fault = 't') as truncated, count_if(pair not in ('su', 'ua', 'au')) as illegal,
+            list({{'e': null::varchar, 's': null::varchar, 'u': null::varchar, 'a': null::varchar, 'r': initial, 'f': fault, 'l': role || ':' || text, 'w': text}} order by i) as ys
+            from p group by conv_id),
+        r as (select *, list_reduce(list_prepend({start}, ys), lambda v, y: {fold}) as z from g),
+        b as (select *, least(z.e, z.a) as best from r)
+        select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+            coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(substr(best, 1, 6)::bigint, 0) as cost,
+            coalesce(substr(best, 7, strpos(best, chr(1)) - 7), '') as audit, sha256(coalesce(substr(best, strpos(best, chr(1)) + 2), '')) as repaired_sha256
+        from (select distinct conv_id from conversations) i left join b on b.conv_id is not distinct from i.conv_id"""
+
+
 def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prismlake.llm.bpe import encode_documents
     from prismlake.llm.pattern_packing import WINDOW, cut_documents, place_pieces
@@ -211,4 +288,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_pattern_packing": op13_pattern_packing,
 }
 
-ORACLES: dict[str, str] = {"op5_pii": _op5_sql(), "op6_secrets": _op6_sql()}
+ORACLES: dict[str, str] = {"op5_pii": _op5_sql(), "op6_secrets": _op6_sql(), "op11_prefix_trie": _op11_sql(), "op12_structure_repair": _op12_sql()}

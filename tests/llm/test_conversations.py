@@ -224,6 +224,21 @@ def test_stretches_join_exactly(monkeypatch):
     check()
 
 
+def test_sql_of_both_queries():
+    import duckdb
+
+    from prismlake.llm.queries import ORACLES
+
+    con, rows = duckdb.connect(), many_rows()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    order = lambda r: (r[0] is not None, *(x or 0 for x in r[:2]))
+    for name, columns, want in (("op11_prefix_trie", "conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256", trie_by_hand(rows)),
+                                ("op12_structure_repair", "conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256", repairs_by_hand(rows))):
+        got = con.execute(f"select {columns} from ({ORACLES[name]}) q").fetchall()
+        assert sorted(got, key=order) == sorted(want, key=order)
+
+
 # -- pattern packing ---------------------------------------------------------------
 
 @pytest.mark.parametrize("which", ["tricky", "sample", "nothing"])
