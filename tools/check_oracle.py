@@ -38,12 +38,12 @@ def norm(df: pd.DataFrame) -> list[tuple]:
             elif v is pd.NaT:
                 v = None
             elif hasattr(v, "tolist"):
-                v = tuple(v.tolist())
-            elif isinstance(v, list):
+                v = v.tolist()
+            if isinstance(v, list):
                 v = tuple(v)
             out.append(v)
         rows.append(tuple(out))
-    return sorted(rows, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) if not isinstance(x, tuple) else (False, "t", str(x)) for x in t))
+    return sorted(rows, key=lambda t: tuple((x is None, "number" if isinstance(x, (int, float)) else str(type(x)), x if x is not None else 0) if not isinstance(x, tuple) else (False, "t", str(x)) for x in t))
 
 
 def compare(sdf: pd.DataFrame, ddf: pd.DataFrame) -> str:
