@@ -35,7 +35,7 @@ def norm(df: pd.DataFrame) -> list[tuple]:
         for v in r:
             if isinstance(v, float) and v != v:
                 v = None
-            elif v is pd.NaT:
+            elif v is pd.NaT or v is pd.NA:
                 v = None
             elif hasattr(v, "tolist"):
                 v = v.tolist()
