@@ -13,8 +13,9 @@ exactly.  Texts longer than ``LONG_CHARS`` are cut into leaves that different ta
 encode, and are put together by the same join.  Added tokens split a text before all else:
 no cut goes through one, and the window of a join ends at the nearest on either side.
 
-Edge cases: null text is the empty text (no ids); an empty table gives no rows;
-repeated rows each give a row; only the id and text columns are read, so other
+Edge cases: null text is the empty text (no ids); an empty table gives no rows; very long
+texts are encoded in leaves; merges have an order, so there are no ties; repeated rows each
+give a row; only the id and text columns are read, so other
 columns cannot clash.  An added token's string inside a text becomes that token's id,
 as in the tokenizers library.
 """

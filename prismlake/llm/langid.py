@@ -11,7 +11,7 @@ there are fewer); it keeps every language, and every word and n-gram
 of the sample, as 64-bit hashes with the log frequencies in the languages that have it.
 Every document is scored whole.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every
+Edge cases: a null or empty text, or one without a letter, is ``und`` with score 0; so is every
 text if nothing could be learned; a text of which nothing is known gets the most
 frequent language with an even score; ties go to the language that comes first by
 frequency, then name; rows with a null language or id are not learned from; repeated rows

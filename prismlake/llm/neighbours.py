@@ -16,7 +16,8 @@ Measured recall against brute force is above 0.95 on the test tables (see the te
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take
 no part, nor do rows with a null id; only vectors of equal length are compared; equal rows
-count once; rows that share the query's id are its own; ties go to the smaller id; with k
+count once, as one candidate; only the id and vector columns are read, so others cannot clash;
+rows that share the query's id are its own; ties go to the smaller id; with k
 or fewer candidates all are returned; an empty table gives no rows.
 """
 

@@ -18,8 +18,10 @@ documents.
 
 Edge cases: a null text has no words, so the base rules fail it; without trusted rows
 all ratios are zero; a document without n-grams scores zero; rows with a null id are
-counted and scored like any other; repeated rows each give a row; an empty table gives
-no rows; only the named columns are read.
+counted and scored like any other; very long texts cost in proportion to their length (and
+a sort of their windows where some repeat); a ratio equal to the threshold is kept, and no
+other tie can occur; repeated rows each give a row; an empty table gives no rows; only the
+named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations

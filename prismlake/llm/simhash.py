@@ -14,8 +14,9 @@ fingerprint has at most 2,080 others.
 Edge cases: null, empty and wordless texts have fingerprint zero and are linked like
 any other; with fewer words than a shingle the whole word sequence is hashed; null
 ids take part but are never the smallest id (a component of null ids has a null
-``component_id``); repeated rows each give a row; an empty table gives no rows; only
-the id and text columns are read.
+``component_id``); very long texts are hashed in slices; a bit set in exactly half the
+shingles is not set, and no other tie can occur; repeated rows each give a row; an empty
+table gives no rows; only the id and text columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
