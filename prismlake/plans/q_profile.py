@@ -206,7 +206,22 @@ def _snv_sql():
     return sql_snv, sql_sg
 
 
-@register("prep_corr_compare", None)
+def _prep_corr_sql() -> str:
+    from prismlake.plans.q_transforms import SPEC, sql_sg, sql_snv
+    top = "(case when list_max(spectrum) = 0 then 1e-6 else list_max(spectrum) end)"
+    variants = {"none": duck_long(SPEC), "rowmax": duck_long(f"select dataset, sample_id, list_transform(spectrum, lambda x: x / {top}) as spectrum from spectra"),
+                "snv": duck_long(sql_snv(SPEC)), "sg_deriv1": duck_long(sql_sg(SPEC, 1)),
+                "absorbance_mean_guard": f"""select l.dataset, l.sample_id, l.band, case when coalesce(l.value, 0) = 0 then (case when m.mu > 0 then log10(1 / m.mu) end)
+                    when l.value > 0 then log10(1 / l.value) end as value from ({duck_long(SPEC)}) l
+                    join (select dataset, band, avg(value) as mu from ({duck_long(SPEC)}) a group by dataset, band) m on l.dataset = m.dataset and l.band = m.band"""}
+    rows = " union all ".join(f"select '{name}' as preprocessing, v.dataset, v.sample_id, v.band, v.value from ({sql}) v" for name, sql in variants.items())
+    return duck_with(f"""select dataset, preprocessing, avg(r) as mean_abs_r, max(r) as max_abs_r from (
+        select v.dataset, v.preprocessing, v.band, abs(corr(v.value, s.target)) as r from ({rows}) v
+        join spectra s on v.dataset = s.dataset and v.sample_id = s.sample_id group by v.dataset, v.preprocessing, v.band) q
+        where r is not null and not isnan(r) group by dataset, preprocessing""", "spectra")
+
+
+@register("prep_corr_compare", _prep_corr_sql(), ["mean_abs_r", "max_abs_r"])
 def q_prep_corr_compare(spark, sf):
     variants = tr.apply_variants(S(spark, sf), ["none", "rowmax", "snv", "sg_deriv1", "absorbance_mean_guard"])
     return pf.prep_corr_compare(variants)
