@@ -22,15 +22,18 @@ DEFAULT_BUCKETS = 4096
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                     max_buffer: int = DEFAULT_MAX_BUFFER, buckets: int = DEFAULT_BUCKETS,
-                    force_selection: bool = False) -> DataFrame:
+                    force_selection: bool = False, wide: DataFrame | None = None) -> DataFrame:
     """Exact quantiles of ``value`` per ``keys`` group; nulls and NaN ignored.
 
-    Returns ``keys + list(probs)`` columns (one row per group with >= 1 value).
+    Returns ``keys + list(probs)`` columns (one row per group with >= 1 value).  ``wide``: the
+    frame ``df`` was exploded from, of which a row gives a group at most one value; group
+    sizes are then read from its rows, without exploding them once more.
     """
     v = F.col(value).cast("double")
     base = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if not force_selection:
-        stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        rows = base if wide is None else wide
+        stats = rows.groupBy(*[k for k in keys if k in rows.columns]).agg(F.count(F.lit(1)).alias("_n"))
         largest = stats.agg(F.max("_n")).first()[0] or 0
         if largest <= max_buffer:
             shares = F.array(*[F.lit(float(p)) for p in probs.values()])              # one buffer a group for all of them

@@ -52,7 +52,7 @@ def band_stat_arrays(df: DataFrame, how: str, spectrum: str = "spectrum") -> Dat
     """(dataset, stat ARRAY) of a per-band statistic: 'median', 'mean', 'std_pop'."""
     long = spectrum_to_long(df.select("dataset", "sample_id", spectrum).withColumnRenamed(spectrum, "spectrum"))
     if how == "median":
-        stats = group_quantiles(long, ["dataset", "band"], "value", {"stat": 0.5})
+        stats = group_quantiles(long, ["dataset", "band"], "value", {"stat": 0.5}, wide=df.select("dataset"))
     elif how == "mean":
         stats = long.groupBy("dataset", "band").agg(F.avg("value").alias("stat"))
     elif how == "std_pop":

@@ -182,7 +182,7 @@ def describe_columns(spectra: DataFrame) -> DataFrame:
     v = F.col("value")
     base = long.groupBy("dataset", "band").agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
                                                F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    q = group_quantiles(long, ["dataset", "band"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    q = group_quantiles(long, ["dataset", "band"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, wide=spectra.select("dataset"))
     return base.join(q, ["dataset", "band"], "left")
 
 
@@ -190,7 +190,7 @@ def band_quartile_envelope(spectra: DataFrame, sample_rank: int = 1) -> DataFram
     """Per band quartiles plus the values of one chosen sample (the ``sample_rank``-th
     smallest sample_id of each dataset)."""
     long = to_long(spectra.select("dataset", "sample_id", "spectrum"))
-    q = group_quantiles(long, ["dataset", "band"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    q = group_quantiles(long, ["dataset", "band"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, wide=spectra.select("dataset"))
     chosen = top_k_per_group(spectra.select("dataset", "sample_id", "spectrum"), ["dataset"], [F.col("sample_id")],
                              sample_rank).where(F.col("rank") == sample_rank)
     sample = to_long(chosen.select("dataset", "sample_id", "spectrum")).select(

@@ -264,7 +264,7 @@ def scale_robust(df: DataFrame) -> DataFrame:
     from prismlake.functions.distributed import group_quantiles
     from prismlake.sources.schema import spectrum_to_long
     long = spectrum_to_long(df.select("dataset", "sample_id", "spectrum"))
-    q = group_quantiles(long, ["dataset", "band"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    q = group_quantiles(long, ["dataset", "band"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, wide=df.select("dataset"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     st = q.groupBy("dataset").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("band", "q2"))), lambda s: s["q2"]).alias("_med"),
