@@ -107,26 +107,34 @@ def q_tuning_candidates(spark, sf):
     return sel.tuning_candidates(sel.prepare(fx.spectra(spark, sf), TUNED_PREPS, inner_k=5), points)
 
 
-@register("model_fixed_set", None)
+# The models of the fixed-parameter evaluation.
+def _fixed_set():
+    from prismlake.operators import boosting, forest, svr
+    boosted = lambda depth, rate: {"n_estimators": [200], "learning_rate": [rate], "max_depth": [depth], "subsample": [1.0]}
+    trees = {"n_estimators": [200], "max_depth": [10], "min_samples_split": [2], "min_samples_leaf": [1], "max_features": [1.0]}
+    return {"XGBoost": lambda rows, k: boosting.cv_boosting(rows, boosted(6, 0.1), k)[0],
+            "GBRT": lambda rows, k: boosting.cv_boosting(rows, boosted(5, 0.05), k)[0],
+            "RF": lambda rows, k: forest.cv_forest(rows, trees, k)[0],
+            "SVR_rbf": lambda rows, k: svr.cv_svr(rows, {"C": [1.0], "epsilon": [0.1], "gamma": ["scale"]}, k),
+            "PLSR": lambda rows, k: sel.score_candidates(rows, sel.tuning_candidates(
+                rows, {"pls": [{"n_components": 10, "scale": True}]}, k)).where("tuned")}
+
+
+@register("model_fixed_set", None, note="the stated models with fixed parameters: cross-validation and hold-out metrics in one row")
 def q_model_fixed_set(spark, sf):
-    """Fixed-parameter models: CV metrics plus a hold-out split in the same row."""
-    spectra = fx.spectra(spark, sf)
-    oof, _ = sel.cross_validate(spectra, ["Absorbance"], ["pls", "krr"], tuned=False)
-    cv = ev.regression_metrics(oof.drop("params")).select("dataset", "preprocessing", "model",
-                                                          F.col("r2").alias("cv_r2"), F.col("rmse").alias("cv_rmse"))
-    split = ev.train_test_split(spectra)
-    from prismlake.operators.transforms import prep_absorbance
-    prepped = prep_absorbance(split)
+    """A hold-out split is one fold: its test rows are fold 0, and only that fold is left out."""
+    cv = _absorbance(spark, sf)
+    split = ev.train_test_split(cv.drop("fold", "inner")).select("*", F.when(F.col("split") == "test", 0).otherwise(1).alias("fold"), F.lit(0).alias("inner"))
+    split = split.select(cv.columns)
     out = None
-    for model in ["pls", "krr"]:
-        fit = pr.fit_linear(prepped.where(F.col("split") == "train"), model, sel.DEFAULT_PARAMS[model])
-        test = pr.batch_predict(prepped.where(F.col("split") == "test"), fit, floor=None).select(
-            "dataset", F.lit("Absorbance").alias("preprocessing"), F.lit(model).alias("model"), F.lit(0).alias("fold"),
-            "sample_id", F.col("target").alias("y_true"), "y_pred")
-        out = test if out is None else out.unionByName(test)
-    ho = ev.regression_metrics(out).select("dataset", "preprocessing", "model", F.col("r2").alias("holdout_r2"),
-                                           F.col("rmse").alias("holdout_rmse"))
-    return cv.join(ho, ["dataset", "preprocessing", "model"])
+    for name, run in _fixed_set().items():
+        parts = []
+        for prefix, rows, k in (("cv", cv, 5), ("holdout", split, 1)):
+            oof = run(rows, k).select("dataset", "preprocessing", F.lit(name).alias("model"), "fold", "sample_id", "y_true", "y_pred")
+            parts.append(ev.regression_metrics(oof).select("dataset", "preprocessing", "model", F.col("r2").alias(f"{prefix}_r2"), F.col("rmse").alias(f"{prefix}_rmse")))
+        row = parts[0].join(parts[1], ["dataset", "preprocessing", "model"])
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # ----------------------------------------------------------------- leave-one-out
