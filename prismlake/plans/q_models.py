@@ -309,16 +309,17 @@ def q_map_actuals(spark, sf, model=ONE_COMPONENT):
 # ----------------------------------------------------------------- model bundle
 
 @register("write_model_bundle", duck_with("""
-    select c.dataset, 'Reflectance' as preprocessing, 'pls' as model, c.intercept, c.coef, l.n_log_lines
-    from co c join (select dataset, count(*) as n_log_lines from run_log_lines group by dataset) l on c.dataset = l.dataset""",
-    "spectra_long", "run_log_lines", extra=_PLS), {"intercept": 6, "[]coef": 6}, note="written, loaded again: every coefficient")
+    select c.dataset, 'Reflectance' as preprocessing, 'pls' as model, c.intercept, l.n_log_lines, unnest(range(len(c.coef)))::int as band,
+      unnest(c.coef) as coef from co c join (select dataset, count(*) as n_log_lines from run_log_lines group by dataset) l on c.dataset = l.dataset""",
+    "spectra_long", "run_log_lines", extra=_PLS), ["intercept", "coef"], note="written, loaded again: a row a coefficient")
 def q_write_model_bundle(spark, sf):
     from prismlake.operators import bundle as bu
     root = files.scratch_path(spark, "bundle")
     bu.write_model_bundle(root, fx.spectra(spark, sf), fx.bands(spark), "Reflectance", *ONE_COMPONENT, run_log=fx.run_log_lines(spark, sf))
     loaded = bu.load_model_bundle(spark, root)
     counts = loaded.run_log.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_log_lines"))
-    return loaded.model.select("dataset", "preprocessing", "model", "intercept", "coef").join(counts, "dataset")
+    model = loaded.model.select("dataset", "preprocessing", "model", "intercept", F.posexplode("coef").alias("band", "coef"))
+    return model.join(counts, "dataset")
 
 
 @register("bundle_predict", duck_with("""
