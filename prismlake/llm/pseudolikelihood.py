@@ -23,7 +23,7 @@ log-probabilities.
 
 Edge cases: a null or wordless text has no tokens, sum 0 and a null mean; an empty
 corpus leaves the initial weights; very long texts are trained on and scored in blocks;
-equally frequent words are ordered by the word; repeated rows each give a row; only the id
+equally frequent words are ordered by their hash; repeated rows each give a row; only the id
 and text columns are read, so others cannot clash.  Sums of weights are floating-point, so
 scores of two runs agree to about six digits, not bit by bit.
 """
@@ -43,13 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.common import WORD_SPACE, discard, materialize, text_or_empty, text_slices
+from prismlake.llm.common import discard, materialize, text_or_empty, text_slices
 
 RARITY = 0.4
 LEAST = 4
 CONTEXT = 2
 EMBEDDING = 12
-HIDDEN = 32
+HIDDEN = 24
 ROUNDS = 2
 SHARD_WORDS = 2_000_000
 WORDS_A_WEIGHT = 16
@@ -57,8 +57,9 @@ BATCH = 1024               # positions of a training step
 BLOCK = 1 << 13            # positions scored at once
 RATE = 0.07
 LARGEST = 60.0              # logits are held within it
-CHUNK = 1 << 12            # weights that are summed as one row
+CHUNK = 1 << 9             # weights that are summed as one row
 SEED = 3
+COUNTED_WORDS = 4_000_000  # counts that a task holds before it adds them up
 PAD = 0                    # token 0 stands for the ends of a text and is never predicted
 
 
@@ -71,29 +72,57 @@ def one_thread() -> None:
             found(1)
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts (A-Z in lower case), one text after the other,
+    and the number of words of each.  A word's bytes are mixed in eight at a time; different
+    words of up to eight bytes and equal length never share a hash."""
+    raw = [t.encode().lower() for t in texts]
+    data = b" ".join(raw) + b" "
+    padded = np.frombuffer(data + b"\0" * 40, np.uint8)
+    b = padded[:len(data)]
+    solid = (b != 32) & ((b < 9) | (b > 13))
+    edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)))
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    lanes = np.ndarray((len(data) + 32,), "<u8", padded, 0, (1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    h = sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for k in range(4):
+        at = np.flatnonzero(sizes > 8 * k) if k else slice(None)
+        v = (h[at] ^ (lanes[starts[at] + 8 * k] & masks[np.minimum(sizes[at] - 8 * k, 8)])) * np.uint64(0x9E3779B97F4A7C15)
+        h[at] = v ^ (v >> np.uint64(32))
+    for i in np.flatnonzero(sizes > 32).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]])
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    text_ends = np.cumsum([len(r) + 1 for r in raw])
+    return h, np.diff(np.searchsorted(starts, text_ends), prepend=0)
+
+
 class Vocabulary:
-    """Numbers from 1: first the given words, by frequency, then the shared hash tokens."""
+    """Numbers from 1: first the frequent words (given by their hashes, most frequent first),
+    then the shared hash tokens."""
 
-    def __init__(self, words: list[str]):
-        hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
+    def __init__(self, hashes: np.ndarray):
+        hashes = np.asarray(hashes, np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        self.words = len(words)
-        self.shared = max(64, len(words) // 3)
+        self.words = len(hashes)
+        self.shared = max(64, self.words // 3)
 
     @property
     def size(self) -> int:
         return self.words + self.shared
 
-    def tokens(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        out = (1 + self.words + hashes % np.uint64(self.shared)).astype(np.int32)
+    def tokens(self, texts: list[str]) -> list[np.ndarray]:
+        """The tokens of each text."""
+        h, counts = word_hashes(texts)
+        out = (1 + self.words + h % np.uint64(self.shared)).astype(np.int32)
         if self.words:
-            at = np.minimum(np.searchsorted(self.hashes, hashes), self.words - 1)
-            known = self.hashes[at] == hashes
+            at = np.minimum(np.searchsorted(self.hashes, h), self.words - 1)
+            known = self.hashes[at] == h
             out[known] = 1 + self.order[at[known]]
-        return out
+        return np.split(out, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
 def _sums(numbers: np.ndarray, values: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,25 +177,28 @@ class Network:
         for k in range(3):
             z[:, cuts[k]:cuts[k + 1]] += w["c0"] if k == 0 else w[f"c{k}"][before[k]]
         np.clip(z, -LARGEST, LARGEST, out=z)
-        at = np.arange(len(token))
-        chosen = sum(z[at, p].astype(np.float64) for p in places)
+        return x, h, before, places, z
+
+    def _odds(self, z: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """exp(z), in place, and its sums for each step."""
         e = np.exp(z, out=z)
-        totals = np.add.reduceat(e, cuts[:3], axis=1)
-        return x, h, before, places, e, totals, chosen
+        return e, [e[:, a:b].sum(1, keepdims=True) for a, b in zip(self.cuts, self.cuts[1:])]
 
     def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        *_, totals, chosen = self._forward(context, token)
-        return chosen - np.log(totals.astype(np.float64)).sum(1)
+        *_, places, z = self._forward(context, token)
+        at = np.arange(len(token))
+        chosen = sum(z[at, p].astype(np.float64) for p in places)
+        return chosen - sum(np.log(t[:, 0].astype(np.float64)) for t in self._odds(z)[1])
 
     def gradients(self, context: np.ndarray, token: np.ndarray) -> dict[str, tuple]:
         """Mean gradients of the negative log-probability: for each weight matrix the rows that
         the batch touches and their gradients."""
         w, n, cuts = self.w, len(token), self.cuts
-        x, h, before, places, d, totals, _ = self._forward(context, token)
+        x, h, before, places, z = self._forward(context, token)
+        d, totals = self._odds(z)
         at = np.arange(n)
-        totals *= n
         for k in range(3):
-            d[:, cuts[k]:cuts[k + 1]] /= totals[:, k:k + 1]
+            d[:, cuts[k]:cuts[k + 1]] *= 1 / (n * totals[k])
             d[at, places[k]] -= 1 / n
         d_hidden = (d @ w["out"].T) * (1 - h * h)
         d_x = (d_hidden @ w["w1"].T).reshape(-1, EMBEDDING)
@@ -212,17 +244,43 @@ def score_tokens(network: Network, tokens: list[np.ndarray]) -> list[float]:
     return np.bincount(owner, logs, len(tokens)).tolist()
 
 
-def frequent_words(texts: DataFrame) -> tuple[list[str], int]:
-    """The words of all texts (A-Z in lower case) that are frequent enough, most frequent
-    first, and the number of words.  At most n ** (1 - RARITY) words come to the driver."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = texts.select(F.explode(F.split("text", f"[{WORD_SPACE}]+")).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(words.where("raw <> ''").groupBy(F.translate("raw", upper, lower).alias("word")).agg(F.sum("n").alias("n")))
+def _add_up(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    h, n = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(n, first) if len(h) else n
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, counts, held = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        h, n = _add_up(hashes, counts) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        hashes.clear(), counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    for part in text_slices(batches):
+        h, n = np.unique(word_hashes(part.column("text").to_pylist())[0], return_counts=True)
+        hashes.append(h)
+        counts.append(n)
+        held += len(h)
+        if held > COUNTED_WORDS:
+            yield flush()
+            held = 0
+    yield flush()
+
+
+def frequent_words(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashes of the words of all texts that are frequent enough, most frequent first (equally
+    frequent ones by hash), and the number of words.  At most n ** (1 - RARITY) come to the
+    driver."""
+    counts = materialize(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST, math.ceil(total ** RARITY))
-    found = [r["word"] for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()]
+    found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word").toArrow().column("word").to_numpy()
     discard(counts)
-    return found, total
+    return found.view(np.uint64), total
 
 
 def to_tokens(base: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -232,7 +290,7 @@ def to_tokens(base: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            tokens = [vocabulary.tokens(t).tobytes() for t in part.column("text").to_pylist()]
+            tokens = [t.tobytes() for t in vocabulary.tokens(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(tokens, pa.binary())], names=["id", "key", "tokens"])
     return materialize(base.withColumn("key", F.xxhash64("id", "text")).mapInArrow(run, f"id {id_type}, key long, tokens binary"))
 
