@@ -418,7 +418,7 @@ def test_trigram_queries_lose_no_match():
         hits = {i for i, t in enumerate(texts) if rule.regex.search(t)}
         assert hits <= set(Index(texts, sorted(trigrams_of(query))).candidates(query).tolist())
         for i, t in enumerate(texts):
-            assert [(s, e) for k, s, e in got[i] if k == rule.kind] == [m.span() for m in rule.regex.finditer(t) if rule.valid(m)]
+            assert [(s, e) for k, s, e in got[i] if k == rule.kind] == [m.span(rule.group) for m in rule.regex.finditer(t) if rule.valid(m)]
     assert trigram_query("[0-9a-f]{24,}") is True and trigram_query("AKIA[A-Z0-9]+") == ("and", frozenset({"aki", "kia"}))
 
 
@@ -579,12 +579,17 @@ def test_pseudo_likelihood(sample, nothing, tricky):
     found, words = pl.frequent_words(base.select("text"))
     counts = Counter(w for _, t in pairs(sample) for w in (t or "").encode().lower().split())
     least = max(pl.LEAST, -(-words ** pl.RARITY // 1))
-    assert words == sum(counts.values()) and sorted(w.encode() for w in found) == sorted(w for w, n in counts.items() if n >= least)
+    number = {w: int(pl.word_hashes([w.decode()])[0][0]) for w in counts}
+    assert len(set(number.values())) == len(counts) and words == sum(counts.values())
+    assert sorted(found.tolist()) == sorted(number[w] for w, n in counts.items() if n >= least)
     vocabulary = pl.Vocabulary(found)
+    for text in ["", " \t", "a B\x0bé\x1c 　x", "x" * 50 + " y", *(t or "" for _, t in pairs(sample)[:20])]:
+        own = [int(pl.word_hashes([w.decode()])[0][0]) for w in text.encode().lower().split()]
+        assert pl.word_hashes(["z", text, "q"])[0].tolist()[1:-1] == own and pl.word_hashes(["z", text, "q"])[1].tolist() == [1, len(own), 1]
     tokens = pl.to_tokens(base, vocabulary)
     flat = pl.train(tokens, vocabulary.size, words, 1)
     network = pl.Network(vocabulary.size, flat)
-    texts = [vocabulary.tokens(t) for _, t in pairs(sample)][:20] + [vocabulary.tokens(""), vocabulary.tokens("one")]
+    texts = vocabulary.tokens([t or "" for _, t in pairs(sample)][:20] + ["", "one"])
     logs = pl.score_tokens(network, texts)
     for found, log in zip(texts, logs):
         row = [pl.PAD] * 2 + found.tolist() + [pl.PAD] * 2
@@ -645,13 +650,14 @@ def test_pseudo_likelihood_trains_on_every_token(spark):
     from prismlake.llm import pseudolikelihood as pl
 
     words = ["a", "b", "c", "d", "e", "f"]
-    vocabulary = pl.Vocabulary(words)
+    vocabulary = pl.Vocabulary(pl.word_hashes(words)[0])
     base = spark.createDataFrame([(1, " ".join(words))], "id long, text string")
     flat = pl.train(pl.to_tokens(base, vocabulary), vocabulary.size, 6, 1)
-    row, at = pl.positions([vocabulary.tokens(" ".join(words))])
+    row, at = pl.positions(vocabulary.tokens([" ".join(words)]))
     before, after = (n.log_probability(pl.contexts(row, at), row[at]) for n in (pl.Network(vocabulary.size), pl.Network(vocabulary.size, flat)))
     assert len(at) == 6 and (after > before).all()                          # every token was a target
-    tokens = [vocabulary.tokens(t) for t in ("a b c", "", "d", "a b c d e f f")]
+    tokens = vocabulary.tokens(["a b c", "", "d", "a b c d e f f"])
+    assert [t.tolist() for t in tokens] == [[1, 2, 3], [], [4], [1, 2, 3, 4, 5, 6, 6]]
     row, at = pl.positions(tokens)
     for rounds in (1, 2, 3):
         parts = [pl.targets(at, [len(t) for t in tokens], turn, rounds) for turn in range(rounds)]
