@@ -63,6 +63,33 @@ def test_neighbour_fill_crosses_empty_chunks(spark):
     assert got == [5.0] * 6 + [7.0] * 2
 
 
+def test_neighbour_fill_is_linear_and_keeps_every_row(spark, monkeypatch, capsys):
+    from prismlake.operators import clean
+
+    rng = np.random.default_rng(3)
+    data = [(d, int(i), [None if r < 0.2 else 0.0 if r < 0.5 else float(r) for r in rng.random(3 + i % 2)], float(i))
+            for d in "ab" for i in rng.permutation(60) * 1_000_003]
+    want = {}
+    for d in "ab":
+        mine = sorted((r for r in data if r[0] == d), key=lambda r: r[1])
+        for band in range(4):
+            known = [(r[1], r[2][band] or None) for r in mine if len(r[2]) > band]
+            for k, (i, _) in enumerate(known):
+                before, after = [v for _, v in known[:k + 1] if v], [v for _, v in known[k:] if v]
+                want.setdefault((d, i), []).append(before[-1] if before else after[0] if after else None)
+    rows = spectra(spark, data)
+    monkeypatch.setattr(clean, "FILL_VALUES", 40)
+    for span in (None, 4_000_000, 1 << 40):
+        filled = clean.zero_fill_neighbors(rows, span)
+        assert {(r["dataset"], r["sample_id"]): r["spectrum"] for r in filled.collect()} == want
+        assert [r["target"] for r in filled.orderBy("dataset", "sample_id").collect()] == [r[3] for r in sorted(data, key=lambda r: r[:2])]
+    twice = clean.zero_fill_neighbors(rows.unionAll(rows.where("sample_id = 0")))
+    assert twice.count() == len(data) + 2 and all(3 <= len(r["spectrum"]) <= 4 for r in twice.collect())
+    # a frame from the row to the end is added up anew for each row
+    filled.explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+
+
 def test_power_transform_finds_a_maximum_beyond_two(spark):
     from prismlake.operators.targets import power_lambdas
 
