@@ -2,14 +2,18 @@
 
 Power transforms choose lambda by maximum likelihood per dataset.  Instead of a
 sequential 1-D optimiser (one data pass per evaluation) every pass evaluates a
-whole grid of lambdas at once: each row contributes arrays of transformed values
-and the per-lambda sums are aggregated with map-side partial aggregation.  The
+whole grid of lambdas at once: a task transforms its batches with NumPy and keeps
+count, mean and squared deviations by (dataset, lambda), which are merged.  The
 grid is refined around the best point; a handful of passes pin lambda to ~1e-6.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +47,67 @@ def _transform(method, y, lam):
     return F.when(method == "box-cox", _boxcox(y, lam)).otherwise(_yeojohnson(y, lam))
 
 
+def _power_values(method: str, y: np.ndarray, lams: np.ndarray) -> Iterator[np.ndarray]:
+    """The transformed values (without missing ones) for each lambda."""
+    if method == "box-cox":
+        for lam in lams:
+            yield np.log(y[y > 0]) if abs(lam) < 1e-12 else (np.power(y, lam) - 1) / lam
+        return
+    up, down = y[~(y < 0)], -y[y < 0]
+    for lam in lams:
+        pos = np.log1p(up) if abs(lam) < 1e-12 else (np.power(up + 1, lam) - 1) / lam
+        neg = -np.log1p(down) if abs(lam - 2) < 1e-12 else -(np.power(down + 1, 2 - lam) - 1) / (2 - lam)
+        yield np.concatenate([pos, neg])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(3, lambdas): counts, means and squared deviations of two sets of rows together."""
+    n = a[0] + b[0]
+    share, d = b[0] / np.maximum(n, 1), b[1] - a[1]
+    return np.stack([n, a[1] + d * share, a[2] + b[2] + d * d * a[0] * share])
+
+
+def _grid_variances(base: DataFrame, settings: dict[str, tuple[str, float, float]]) -> DataFrame:
+    """(dataset, k, lam, var_t): population variance of the transformed target at every grid
+    point; ``settings``: dataset -> (method, center, step)."""
+    half = (GRID_POINTS - 1) // 2
+    grid = {name: center + np.arange(-half, half + 1) * step for name, (_, center, step) in settings.items()}
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[str, np.ndarray] = {}
+        for b in batches:
+            codes, y = b.column("dataset").dictionary_encode(), b.column("target").to_numpy(zero_copy_only=False)
+            at = codes.indices.to_numpy(zero_copy_only=False)
+            for code, name in enumerate(codes.dictionary.to_pylist()):
+                got = np.zeros((3, GRID_POINTS))
+                with np.errstate(all="ignore"):
+                    for k, t in enumerate(_power_values(settings[name][0], y[at == code], grid[name])):
+                        if len(t):
+                            d = t - t[0]
+                            m = d.mean()
+                            got[:, k] = len(t), t[0] + m, ((d - m) ** 2).sum()
+                    acc[name] = _merged(acc[name], got) if name in acc else got
+        yield pa.RecordBatch.from_pydict({"dataset": pa.array(list(acc), pa.string()), "sums": pa.array([x.tobytes() for x in acc.values()], pa.binary())})
+
+    def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        acc = np.zeros((3, GRID_POINTS))
+        with np.errstate(all="ignore"):
+            for x in pdf["sums"]:
+                acc = _merged(acc, np.frombuffer(x, float).reshape(3, -1))
+            var = acc[2] / acc[0]
+        return pd.DataFrame({"dataset": key[0], "k": range(GRID_POINTS), "lam": grid[key[0]], "var_t": var})
+
+    rows = base.where("dataset is not null").select(F.col("dataset").cast("string"), F.col("target").cast("double"))
+    return rows.mapInArrow(partial, "dataset string, sums binary").groupBy("dataset").applyInPandas(total, "dataset string, k int, lam double, var_t double")
+
+
 def power_lambdas(df: DataFrame, method: str = "auto") -> DataFrame:
     """(dataset, method, lambda, llf): Box-Cox when every target > 0 (or forced),
     otherwise Yeo-Johnson; lambda maximises the profile log-likelihood."""
     y = F.col("target")
     base = df.where(y.isNotNull()).select("dataset", "target")
     info = base.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("n"), F.min("target").alias("ymin"),
+        F.count(F.lit(1)).alias("n"), F.min("target").alias("ymin"), F.max("target").alias("ymax"),
         F.sum(F.log(y)).alias("sum_log"),                                   # Box-Cox Jacobian term
         F.sum(F.signum(y) * F.log1p(F.abs(y))).alias("sum_slog"))           # Yeo-Johnson Jacobian term
     if method == "auto":
@@ -63,14 +121,12 @@ def power_lambdas(df: DataFrame, method: str = "auto") -> DataFrame:
         info = info.checkpoint(eager=True)          # tiny: one row per dataset
         if info.where(F.col("step") > FINAL_STEP).isEmpty():
             break
-        lams = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.col("center") + k * F.col("step"))
-        rows = (base.join(info.select("dataset", "method", "center", "step"), "dataset")
-                .select("dataset", F.posexplode(F.transform(lams, lambda lam: F.struct(
-                    lam.alias("lam"), _transform(F.col("method"), F.col("target"), lam).alias("t")))).alias("k", "v")))
-        sums = rows.groupBy("dataset", "k").agg(F.first("v.lam").alias("lam"), F.var_pop("v.t").alias("var_t"))
-        llf = sums.join(info, "dataset").withColumn("llf", F.when(
+        settings = {r["dataset"]: (r["method"], r["center"], r["step"]) for r in info.where("dataset is not null").collect()}
+        sums = _grid_variances(base, settings).withColumnRenamed("dataset", "_set")
+        same = F.col("ymin") == F.col("ymax")       # without spread: no likelihood
+        llf = sums.join(info, F.col("_set") == F.col("dataset")).withColumn("llf", F.when(
             F.col("method") == "box-cox", (F.col("lam") - 1) * F.col("sum_log")).otherwise((F.col("lam") - 1) * F.col("sum_slog"))
-            - F.col("n") / 2 * F.log(F.col("var_t")))
+            - F.col("n") / 2 * F.log(F.when(same, F.lit(0.0)).otherwise(F.col("var_t"))))
         best = llf.groupBy("dataset").agg(F.max_by(F.struct("lam", "k"), "llf").alias("b"))
         # a maximum at the end of the grid moves the grid on (twice as wide); one inside it narrows the grid
         at_end = F.col("b.k").isin(0, 2 * half)

@@ -100,6 +100,32 @@ def test_power_transform_finds_a_maximum_beyond_two(spark):
     assert lam > 3 and all(llf(lam) >= llf(lam + d) - 1e-6 for d in (-0.05, -0.01, 0.01, 0.05))
 
 
+def test_power_grid_is_summed_in_batches(spark, capsys):
+    from prismlake.operators import targets
+
+    rng = np.random.default_rng(5)
+    data = {"a": rng.normal(0, 3, 500), "b": 1e6 + rng.random(300), "c": np.full(40, 2.7), "d": np.array([-1.5])}
+    base = spark.createDataFrame([(d, float(v)) for d, y in data.items() for v in y] + [(None, 1.0)], "dataset string, target double").repartition(7)
+    settings = {"a": ("yeo-johnson", 0.0, 0.1), "b": ("box-cox", 0.0, 0.1), "c": ("box-cox", 1.0, 0.01), "d": ("yeo-johnson", 2.0, 0.1)}
+    found = targets._grid_variances(base, settings)
+    got = {(r["dataset"], r["k"]): (r["lam"], r["var_t"]) for r in found.collect()}
+    assert len(got) == 4 * targets.GRID_POINTS
+    for d, (method, center, step) in settings.items():
+        for k in range(targets.GRID_POINTS):
+            lam = center + (k - 20) * step
+            values = spark.createDataFrame([(float(v),) for v in data[d]], "y double") if k in (0, 20, 33) else None
+            assert got[d, k][0] == lam
+            if values is not None:
+                t = targets._transform(F.lit(method), F.col("y"), F.lit(lam))
+                want = values.agg(F.var_pop(t)).first()[0]
+                assert math.isclose(got[d, k][1], want, rel_tol=1e-6, abs_tol=1e-25)
+    # rows are not multiplied by the grid's points before they are added up
+    found.explain()
+    assert "Generate" not in capsys.readouterr().out
+    lams = {r["dataset"]: r["lambda"] for r in targets.power_lambdas(base).collect() if r["dataset"]}
+    assert set(lams) == set(data) and lams["c"] == 1.0 and lams["d"] == 1.0
+
+
 def test_parameters_off_the_grid_are_used(spark):
     from prismlake.operators.predict import fit_linear
 
