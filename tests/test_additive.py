@@ -174,3 +174,38 @@ def test_inner_choice_is_the_smallest_error(spark):
 
     assert choose({(5, 0): [(4.0, 1), (0.0, 1)], (5, 1): [(1.0, 1), (1.0, 1)]}, [(5, 0), (5, 1)]) == ((5, 0), 1.0)
     assert choose({(5, 0): [(4.0, 1), (1.0, 1)], (5, 1): [(1.0, 1), (1.0, 1)]}, [(5, 0), (5, 1)]) == ((5, 1), 1.0)
+
+
+def test_sums_of_smaller_children_are_those_of_all_nodes():
+    from prismlake.operators import additive
+    from prismlake.operators.histograms import node_sums
+
+    rng = np.random.default_rng(3)
+    n, p, bins = 400, 5, 8
+    rows = additive.Rows(rng.integers(0, bins, (n, p)).astype(np.uint8), np.empty((n, 0)), rng.normal(size=n), np.arange(n) % 3, np.arange(n) % 2, np.arange(n))
+    fits = [additive.Fit((), 2, share, 0, inner) for inner in (-1, 0) for share in (0.5, 1.0) for _ in range(2)]
+    target, columns = rng.normal(size=(len(fits), n)), np.ascontiguousarray(rows.bins.T)
+    sums = additive.Sums(fits, columns, bins)
+    for turn in range(2):                                                  # the second round knows the counts of some roots
+        used, node = additive.drawn(fits, rows, turn), np.zeros((len(fits), n), int)
+        fit, row = np.nonzero(used)
+        got = sums.roots(used, target)
+        assert np.abs(got - node_sums(rows.bins, fit, row, target[fit, row], len(fits), bins)).max() < 1e-10
+        for level in range(2):
+            band, cut = rng.integers(-1, p, (len(fits), 1 << level)), rng.integers(0, bins, (len(fits), 1 << level))
+            before, node = node, additive.step_columns(columns, node, band, cut)
+            assert (node == additive.step(rows.bins, before, band, cut)).all()
+            at = (fit << level + 1) + node[fit, row]
+            want = node_sums(rows.bins, at, row, target[fit, row], len(fits) << level + 1, bins)
+            sides = want[:, :, 0].sum(2).reshape(2, -1, 2).transpose(1, 2, 0).reshape(len(fits), -1, 4)
+            assert np.abs(sums.children(used, target, node, sides) - want).max() < 1e-10
+
+
+def test_tens_of_thousands_of_rows_need_no_spark_pass_a_level(spark, monkeypatch):
+    from prismlake.operators import additive, boosting
+
+    monkeypatch.setattr(additive, "fit_on_spark", lambda *a: pytest.fail("a Spark job for each level of each round"))
+    df = spark.range(20_600).selectExpr("'A' as dataset", "'none' as preprocessing", "id as sample_id", "cast(id % 2 as int) as fold", "0 as inner",
+                                        "array(cast(id % 13 as double)) as spectrum", "cast(id % 13 as double) as target")
+    grid = {"n_estimators": [2], "learning_rate": [0.5], "max_depth": [1], "subsample": [1.0]}
+    assert boosting.cv_boosting(df, grid, k=2)[0].count() == 20_600
