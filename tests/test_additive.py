@@ -209,3 +209,21 @@ def test_tens_of_thousands_of_rows_need_no_spark_pass_a_level(spark, monkeypatch
                                         "array(cast(id % 13 as double)) as spectrum", "cast(id % 13 as double) as target")
     grid = {"n_estimators": [2], "learning_rate": [0.5], "max_depth": [1], "subsample": [1.0]}
     assert boosting.cv_boosting(df, grid, k=2)[0].count() == 20_600
+
+
+def test_permuted_predictions_touch_only_trees_of_the_band(spark, monkeypatch):
+    from prismlake.operators import additive, boosting
+
+    df = frame(spark, n=120)
+    x = table(df)[0]
+    model = additive.fit_models(df, boosting.search({"n_estimators": [12], "learning_rate": [0.2], "max_depth": [3], "subsample": [1.0]}))["A", "none"]
+    partner = np.random.default_rng(0).permutation(len(x))
+    want = []
+    for band in range(x.shape[1]):
+        moved = x.copy()
+        moved[:, band] = x[partner, band]
+        want.append(model.predict(moved))
+    calls, predict = [], additive.Fitted.predict
+    monkeypatch.setattr(additive.Fitted, "predict", lambda self, rows: calls.append(len(rows)) or predict(self, rows))
+    assert np.abs(model.predict_permuted(x, partner) - np.array(want)).max() < 1e-12
+    assert calls == [len(x)]                                               # not once more for each band
