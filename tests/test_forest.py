@@ -145,3 +145,34 @@ def test_correlation_tiles(spark):
     for tile in (2, 3, 128):
         got = corr_matrix(df, tile).toPandas()
         assert len(got) == 25 and np.abs(got["r"] - want[got["i"], got["j"]]).max() < 1e-9
+
+
+def test_one_growth_gives_every_least_node_size():
+    rng = np.random.default_rng(6)
+    n, limits, sizes, least = 90, (fo.DEEPEST, 3), [2, 5], (2, 5, 12)
+    bins, y, rid = rng.integers(0, 32, (n, 7)).astype(np.uint8), 1e4 + rng.normal(size=n), np.arange(n)
+    trained, wanted = np.arange(n) % 3 > 0, np.arange(n) % 3 == 0
+    got = fo.forest_rows(bins, y, rid, trained, fo.Spec(2, 1, "sqrt"), limits, sizes, min_splits=least)
+    few = fo.forest_rows(bins, y, rid, trained, fo.Spec(2, 1, "sqrt"), limits, sizes, min_splits=least, wanted=wanted)
+    for v, m in enumerate(least):
+        alone = fo.forest_rows(bins, y, rid, trained, fo.Spec(m, 1, "sqrt"), limits, sizes)
+        for a, b in zip(got, alone):
+            assert np.allclose(a[2 * v:2 * v + 2], b, atol=1e-9, equal_nan=True)
+    assert np.allclose(few[0][..., wanted], got[0][..., wanted], atol=1e-9) and np.allclose(few[2], got[2])
+    grid = fo.Search(fo.GRID, 5, 3, 32)
+    assert sorted(i for f in grid.forests for i in f) == list(range(8)) and len(grid.forests) == 4
+
+
+def test_equal_gains_stay_equal_among_many_nodes():
+    """Splits of a node must not change with what else is added up beside it."""
+    rng = np.random.default_rng(8)
+    n = 400
+    bins, y, rid = rng.integers(0, 32, (n, 12)).astype(np.uint8), 1e5 + rng.normal(size=n), np.arange(n)
+    args = (bins, y, rid, np.ones(n, bool), fo.Spec(2, 1, 0.5), (fo.DEEPEST,), [60])
+    whole = fo.forest_rows(*args)[0]
+    trees = fo.ENTRIES
+    try:
+        fo.ENTRIES = 200
+        assert np.abs(whole - fo.forest_rows(*args)[0]).max() < 1e-6
+    finally:
+        fo.ENTRIES = trees
