@@ -133,3 +133,30 @@ def test_rows_that_cannot_be_used(spark):
     for got in (oof, sv.cv_svr(both, sv.FIXED, k=3)):
         rows = {(r["dataset"], r["sample_id"]): r["y_pred"] for r in got.collect()}
         assert len(rows) == 31 and [k for k, v in rows.items() if v is None] == [("B", 0)]
+
+
+def test_svr_fits_of_a_task_share_their_rows_and_stop_at_the_length_taken():
+    import tracemalloc
+
+    from prismlake.operators import svr
+
+    rng = np.random.default_rng(1)
+    n, q = 3000, 20
+    x, y, fold, inner = rng.normal(size=(n, q)), rng.normal(size=n), np.arange(n) % 5, np.arange(n) // 5 % 3
+    fits = svr._fits(svr.GRID, [0], 3)
+    tracemalloc.start()
+    sums = svr._in_memory(fits, [x, 2 * x], y, fold, inner)
+    assert tracemalloc.get_traced_memory()[1] < 6 * x.nbytes               # not a copy for each of 72 fits
+    tracemalloc.stop()
+    v = rng.normal(size=q + 1)
+    for i in (0, 1, 40):
+        f, at = fits[i], fits[i].used(fold, inner)
+        u = np.column_stack([np.ones(n), (x, 2 * x)[f.kernel]])[at]
+        d, slope, objective, norm = svr.direction(svr.newton_sums(u, y[at], f, v, 0.1, 0.1), v, 0.1)
+        got = sums([(i, v, 0.1, 0.1)], "newton")[0]
+        assert np.allclose(got[0], d, rtol=1e-8) and np.isclose(got[2], objective)
+        whole = svr.step_losses(u, y[at], f, v, d, 0.1)
+        short = sums([(i, v, d, 0.1, objective, slope)], "length")[0]
+        assert svr.pick_length(short, v, d, objective, slope) == svr.pick_length(whole, v, d, objective, slope)
+        assert np.allclose(short[np.isfinite(short)], whole[np.isfinite(short)])
+        assert np.allclose(sums([(i, v, None, 0.1)], "kkt")[0], svr.violations(u, y[at], f, v, 0.1))
