@@ -176,3 +176,11 @@ def test_equal_gains_stay_equal_among_many_nodes():
         assert np.abs(whole - fo.forest_rows(*args)[0]).max() < 1e-6
     finally:
         fo.ENTRIES = trees
+
+
+def test_tens_of_thousands_of_rows_grow_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(fo, "_large", lambda *a: pytest.fail("Spark passes for each level"))
+    df = spark.range(20_600).selectExpr("'A' as dataset", "'none' as preprocessing", "id as sample_id", "cast(id % 2 as int) as fold", "0 as inner",
+                                        "array(cast(id % 13 as double)) as spectrum", "cast(id % 13 as double) as target")
+    grid = {"n_estimators": [2], "max_depth": [2], "min_samples_split": [2], "min_samples_leaf": [1], "max_features": [1.0]}
+    assert fo.cv_forest(df, grid, k=2)[0].count() == 20_600
