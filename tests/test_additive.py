@@ -201,6 +201,55 @@ def test_sums_of_smaller_children_are_those_of_all_nodes():
             assert np.abs(sums.children(used, target, node, sides) - want).max() < 1e-10
 
 
+def test_sums_of_many_rows_take_two_bands_together(monkeypatch):
+    from prismlake.operators import additive
+    from prismlake.operators.histograms import node_sums
+
+    rng = np.random.default_rng(4)
+    n, p, bins, added, plain = 12_000, 5, 32, [], np.bincount
+    rows = additive.Rows(rng.integers(0, bins, (n, p)).astype(np.uint8), np.empty((n, 0)), rng.normal(size=n), np.ones(n, int), np.ones(n, int), np.arange(n))
+    fits = [additive.Fit((), 2, share, 0, 0) for share in (0.5, 1.0)]
+    target, columns = rng.normal(size=(2, n)), np.ascontiguousarray(rows.bins.T)
+    used, node = additive.drawn(fits, rows, 0), np.zeros((2, n), int)
+    fit, row = np.nonzero(used)
+    sums = additive.Sums(fits, columns, bins)
+    with monkeypatch.context() as m:
+        m.setattr(np, "bincount", lambda at, *a, **k: added.append(len(at)) or plain(at, *a, **k))
+        got = sums.roots(used, target)
+    assert np.abs(got - node_sums(rows.bins, fit, row, target[fit, row], 2, bins)).max() < 1e-9
+    assert sum(added) == 2 * used.sum() * (p + 1) // 2                     # counts and sums of three tables, not of five bands
+    for level in range(2):
+        band, cut = rng.integers(0, p, (2, 1 << level)), np.full((2, 1 << level), bins // 2)
+        node = additive.step_columns(columns, node, band, cut)
+        want = node_sums(rows.bins, (fit << level + 1) + node[fit, row], row, target[fit, row], 2 << level + 1, bins)
+        sides = want[:, :, 0].sum(2).reshape(2, -1, 2).transpose(1, 2, 0).reshape(2, -1, 4)
+        assert np.abs(sums.children(used, target, node, sides) - want).max() < 1e-9
+
+
+def test_a_task_has_the_fits_of_one_inner_fold(monkeypatch):
+    """The choice of an outer fold comes from tasks of one inner fold each; only the chosen point is
+    fitted on the whole training set."""
+    import pandas as pd
+
+    from prismlake.operators import additive, boosting
+
+    rng = np.random.default_rng(6)
+    n, search = 60, boosting.search({"n_estimators": [2, 4], "learning_rate": [0.3, 0.6], "max_depth": [1, 2], "subsample": [1.0]}, n_bins=8)
+    pdf = pd.DataFrame({"dataset": "A", "preprocessing": "none", "cv": 0, "sample_id": range(n), "fold": np.arange(n) % 3, "inner": np.arange(n) // 3 % 3,
+                        "rid": range(n), "bins": [r.tobytes() for r in rng.integers(0, 8, (n, 3)).astype(np.uint8)], "y": rng.normal(size=n)})
+    taken, plain = [], additive.fit_rows
+    monkeypatch.setattr(additive, "fit_rows", lambda method, rounds, *a: taken.append([(f.inner, rounds) for f in method.fits]) or plain(method, rounds, *a))
+    errors: dict = {}
+    for j in range(3):
+        part = additive._error_task(search)(("A", "none", 0, j), pdf[pdf["fold"] != 0].assign(cj=j))
+        for r in part.itertuples():
+            errors.setdefault((r.rounds, r.setting), []).append((r.sse, r.n))
+    assert taken == [[(j, 4)] * 4 for j in range(3)] and {len(v) for v in errors.values()} == {3}
+    point, rmse = additive.choose(errors, search.points)
+    out = additive._fold_task(search, {("A", "none", 0): (point, rmse)})(("A", "none", 0), pdf)
+    assert taken[3:] == [[(-1, point[0])]] and set(out["inner_rmse"]) == {rmse} and out["y_pred"].notna().sum() == 20
+
+
 def test_tens_of_thousands_of_rows_need_no_spark_pass_a_level(spark, monkeypatch):
     from prismlake.operators import additive, boosting
 
