@@ -1,6 +1,7 @@
 """Random forests against plain recursion, and task against Spark passes."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,34 @@ def test_tens_of_thousands_of_rows_grow_in_a_task(spark, monkeypatch):
                                         "array(cast(id % 13 as double)) as spectrum", "cast(id % 13 as double) as target")
     grid = {"n_estimators": [2], "max_depth": [2], "min_samples_split": [2], "min_samples_leaf": [1], "max_features": [1.0]}
     assert fo.cv_forest(df, grid, k=2)[0].count() == 20_600
+
+
+def test_java_growth_equals_numpy(spark):
+    """Variants that grow together until they split differently, and parts of the chosen forest."""
+    rng = np.random.default_rng(11)
+    n, p, limits, sizes = 150, 9, (fo.DEEPEST, 3), [4, 7]
+    fold, inner, rid = np.arange(n) % 3, np.arange(n) // 3 % 2, rng.integers(-(1 << 62), 1 << 62, n)
+    for n_bins, features in ((12, "sqrt"), (32, 1.0), (200, 0.5)):
+        bins, y = rng.integers(0, n_bins, (n, p)).astype(np.uint8), 1e3 + np.round(rng.normal(size=n), 1)
+        rows = pd.DataFrame({"rid": rid, "y": y, "fold": fold, "inner": inner, "bins": [b.tobytes() for b in bins]})
+        tables = spark.createDataFrame([(None, "none", fo.pack_rows(rows))], "dataset string, preprocessing string, rows binary")
+        specs = [fo.Spec(2, 1, features), fo.Spec(5, 1, features), fo.Spec(2, 2, features), fo.Spec(9, 4, features)]
+        jobs = [(None, "none", 1, 0, 0, 0, fo.pack_job(1, 0, (0, 7), specs, limits, sizes, p, n_bins)),
+                *((None, "none", 1, -1, 0, a, fo.pack_job(1, -1, (a, b), specs[2:3], limits[:1], [], p, n_bins)) for a, b in ((0, 4), (4, 7)))]
+        got = {(r["cj"], r["first"]): r["part"] for r in fo._grown(tables, jobs).collect()}
+        held, *sse = np.frombuffer(got[0, 0], "<f8")
+        at = (fold != 1) & (inner == 0)
+        assert held == at.sum()
+        want = [((fo.forest_rows(bins, y, rid, (fold != 1) & (inner != 0), s, limits, sizes, n_bins)[0][..., at] - y[at]) ** 2).sum(2) for s in specs]
+        assert np.allclose(np.reshape(sse, (4, 2, 2)), want, rtol=1e-9)
+        _, bag, importance = fo.forest_rows(bins, y, rid, fold != 1, specs[2], limits[:1], [7], n_bins)
+        total, count, shares = (sum(np.frombuffer(got[-1, a], t, m, start) for a in (0, 4)) for t, m, start in (("<f8", n, 0), ("<i4", n, 8 * n), ("<f8", p, 12 * n)))
+        known = count > 0
+        assert np.allclose(total[known] / count[known], bag[0, 0][known], rtol=1e-9) and np.isnan(bag[0, 0][~known]).all()
+        assert np.allclose(shares / 7, importance[0, 0], atol=1e-9)
+
+
+def test_growths_share_leaf_sizes():
+    search = fo.Search(fo.GRID, 5, 3, 32)
+    assert sorted(i for g in search.growths for i in g) == list(range(8)) and len(search.growths) == 2
+    assert all([search.specs[i].min_leaf for i in g] == sorted(search.specs[i].min_leaf for i in g) for g in search.growths)
