@@ -160,3 +160,45 @@ def test_svr_fits_of_a_task_share_their_rows_and_stop_at_the_length_taken():
         assert svr.pick_length(short, v, d, objective, slope) == svr.pick_length(whole, v, d, objective, slope)
         assert np.allclose(short[np.isfinite(short)], whole[np.isfinite(short)])
         assert np.allclose(sums([(i, v, None, 0.1)], "kkt")[0], svr.violations(u, y[at], f, v, 0.1))
+
+
+def test_interior_points_reach_the_optimum_where_newton_steps_do_not():
+    """A strong C on thousands of rows: rounding the kink ended with a violation of 0.02 and more."""
+    rng = np.random.default_rng(5)
+    x = rng.uniform(size=(6000, 6))
+    y = 30 + 3 * np.sin(5 * x[:, 0]) + x[:, 1] ** 2 + rng.normal(size=len(x))
+    phi = ke.Landmarks(x[:60]).features(ke.Kernel("rbf", "scale"), x)
+    u = np.column_stack([np.ones(len(x)), phi])
+    for C, eps in ((1.0, 0.05), (100.0, 0.2)):
+        v, off = sv.interior(u, y, C, eps)
+        objective = lambda v: v[1:] @ v[1:] / 2 + C * np.maximum(np.abs(y - u @ v) - eps, 0).sum()  # noqa: B023, E731
+        fit = sv.Fit(0, C, eps, 0, -1)
+        newton = sv.Solver([fit], u.shape[1], sv._in_memory([fit], [phi], y, np.ones(len(y), int), np.zeros(len(y), int)), np.array([y.mean()]))
+        newton.run()
+        assert off <= 1e-6 and objective(v) <= objective(newton.v[0]) + 1e-6
+        for _ in range(20):                                # no way down from the optimum
+            assert objective(v + rng.normal(size=len(v)) * 1e-3) > objective(v)
+
+
+def test_interior_points_of_few_rows():
+    for n in (0, 1, 2, 5):
+        u, y = np.column_stack([np.ones(n), np.eye(n, 3)]), np.arange(n) * 1.0
+        v, off = sv.interior(u, y, 10.0, 0.1)
+        assert off <= 1e-6 and (np.abs(u @ v - y) <= 0.11 + (n == 5)).all() and np.isfinite(v).all()
+
+
+def test_svr_chooses_before_it_fits_the_whole_training_set(spark, monkeypatch):
+    monkeypatch.setattr(sv, "_large", lambda *a: pytest.fail("Spark passes for each step"))
+    df = spark.range(130_100).selectExpr("'A' as dataset", "'none' as preprocessing", "id as sample_id", "cast(id % 2 as int) as fold", "0 as inner",
+                                         "array(cast(id % 13 as double)) as spectrum", "cast(id % 13 as double) as target")
+    got = sv.cv_svr(df, {"C": [1.0], "epsilon": [0.1], "gamma": ["scale"]}, k=2, m=5)
+    assert got.count() == 130_100 and got.where("kkt > 1e-6 or y_pred is null").count() == 0
+
+
+def test_equal_scores_take_the_first_point():
+    grid = {"C": [1.0, 10.0], "epsilon": [0.1], "gamma": ["scale"]}
+    fits = sv._fits(grid, [0], 1)
+    at = {(f.C, f.inner): i for i, f in enumerate(fits)}
+    errors = {at[1.0, 0]: (4.0 * (1 + 1e-9), 1), at[10.0, 0]: (4.0, 1)}
+    assert sv._choose(fits, grid, 1, 0, errors)[0] == at[1.0, -1]
+    assert sv._choose(fits, grid, 1, 0, errors | {at[10.0, 0]: (3.9, 1)})[0] == at[10.0, -1]
