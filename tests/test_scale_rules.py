@@ -162,3 +162,18 @@ def test_leaderboard_lists_all_combinations(spark):
     rows = [("a", f"p{k}", "m", f, i, float(i), i + 0.1 * k) for k in range(20) for f in range(2) for i in range(f, 10, 2)]
     oof = spark.createDataFrame(rows, "dataset string, preprocessing string, model string, fold int, sample_id long, y_true double, y_pred double")
     assert leaderboard_r2(oof).count() == 20 and leaderboard_r2(oof, 15).count() == 15
+
+
+def test_fixed_set_runs_its_models_side_by_side(spark, monkeypatch):
+    import threading
+
+    from prismlake.plans import q_models
+
+    both = threading.Barrier(2, timeout=60)
+
+    def run(rows, k):
+        both.wait()                                        # breaks if the hold-out waits for the cross-validation
+        return rows.where(f"fold < {k}").selectExpr("dataset", "preprocessing", "fold", "sample_id", "target as y_true", "target + 1 as y_pred")
+    monkeypatch.setattr(q_models, "_fixed_set", lambda: {"shifted": run})
+    got = q_models.q_model_fixed_set(spark, "/root/testdata/sf0.001").collect()
+    assert got and all(abs(r["cv_rmse"] - 1) < 1e-12 and abs(r["holdout_rmse"] - 1) < 1e-12 for r in got)
